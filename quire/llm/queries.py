@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import lookalike, mixing, tokens
+from . import lookalike, mixing, tokens, turns
 from .common import table
 
 
+def _both_turns(spark: SparkSession, sf_dir: str, made) -> DataFrame:
+    inputs = turns.inputs(table(spark, sf_dir, "new_turns"), table(spark, sf_dir, "ref_turns"))
+    roster = table(spark, sf_dir, "speakers")
+    return reduce(DataFrame.unionByName, [made(df, roster).select(F.lit(src).alias("src"), "*") for src, df in inputs.items()])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _both_turns(spark, sf_dir, turns.found)
+
+
+def p4_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _both_turns(spark, sf_dir, turns.clean_turns)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.found(spark, table(spark, sf_dir, "fragments"), table(spark, sf_dir, "gsents"))
 
@@ -28,5 +45,5 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_forms, p6_ids, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_turns, p5_found, p5_forms, p6_ids, p7_mix, p7_shares)}
 SQL: dict[str, str] = {}
