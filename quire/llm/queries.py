@@ -7,10 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lookalike, mixing, tokens, turns
+from . import lookalike, mixing, sentences, tokens, turns
 from .common import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.found(table(spark, sf_dir, "gsents"))
+
+
 def _both_turns(spark: SparkSession, sf_dir: str, made) -> DataFrame:
     inputs = turns.inputs(table(spark, sf_dir, "new_turns"), table(spark, sf_dir, "ref_turns"))
     roster = table(spark, sf_dir, "speakers")
@@ -45,5 +49,5 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_turns, p5_found, p5_forms, p6_ids, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_turns, p5_found, p5_forms, p6_ids, p7_mix, p7_shares)}
 SQL: dict[str, str] = {}
