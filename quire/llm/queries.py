@@ -7,10 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lookalike, mixing, sentences, tokens, turns
+from . import bitext, lookalike, mixing, sentences, tokens, turns
 from .common import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitext.found(table(spark, sf_dir, "chapter_refs"), table(spark, sf_dir, "gsents"), table(spark, sf_dir, "analyses"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.found(table(spark, sf_dir, "gsents"))
 
@@ -49,5 +53,5 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_turns, p5_found, p5_forms, p6_ids, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_turns, p5_found, p5_forms, p6_ids, p7_mix, p7_shares)}
 SQL: dict[str, str] = {}
