@@ -6,8 +6,9 @@ by log-likelihood ratio, with the glosses that there are), equal numbers, and na
 equal after transliteration. From the origin a rectangle of the bitext's slope grows
 until it holds a chain of points with small dispersal about the slope; the chain's end is
 the next origin. Points in crowded rows and columns count as noise within a rectangle.
-The chains give a map; sentence cells along it, and dense cells off it (inversions),
-compete for the words that support them and become blocks of sentence pairs.
+The chains give a map; cells of clauses along it, and dense cells off it (inversions),
+compete for the words that support them, and the sentences of the cells that win are
+blocks of pairs.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ _GREEK = {
     "a": "a", "β": "b", "y": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "i": "i", "k": "k", "λ": "l", "μ": "m", "v": "n",
     "ξ": "x", "o": "o", "π": "p", "p": "r", "σ": "s", "ς": "s", "τ": "t", "u": "y", "φ": "ph", "x": "ch", "ψ": "ps", "ω": "o",
 }
+#: Signs between the clauses of a sentence: each statement lies within one.
+_BREAK = re.compile(r"[,;:··;()\[\]“”„«»\"…!?]|\.\s*[.“”„«»\"]|\.\s+")
 _WORD = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*")
 
 
@@ -56,6 +59,7 @@ def latin(folded: str) -> str:
 @dataclass(frozen=True)
 class Token:
     sent: int
+    clause: int
     at: float
     key: str
     name: str
@@ -63,17 +67,20 @@ class Token:
 
 def tokens(sents: list[str], lang: str) -> list[Token]:
     """Words of a side in order; ``name`` is set where a capital stands within a sentence, or may be one at its start."""
-    out, at = [], 0
+    out, at, clause = [], 0, 0
     for k, s in enumerate(sents):
         s = "".join(ch for ch in unicodedata.normalize("NFC", s or "") if unicodedata.category(ch) != "Cf")
+        clause, last = clause + 1, 0
         for m in _WORD.finditer(s):
             w = m[0]
+            clause += bool(_BREAK.search(s, last, m.start()))
+            last = m.end()
             if w[0].isdigit():
-                out.append(Token(k, at + m.start(), "#" + w, ""))
+                out.append(Token(k, clause, at + m.start(), "#" + w, ""))
                 continue
             f = fold(w)
             name = (latin(f) if lang == "grc" else f) if w[0].isupper() and len(w) > 2 else ""
-            out.append(Token(k, at + m.start(), f, name))
+            out.append(Token(k, clause, at + m.start(), f, name))
         at += len(s) + 1
     return out
 
@@ -290,7 +297,7 @@ def _at(kx: list[float], ky: list[float], x: float) -> float:
     return ky[k] + (x - kx[k]) * (ky[k + 1] - ky[k]) / (kx[k + 1] - kx[k])
 
 
-ON_MAP, OFF_MAP, LEAST = 0.4, 0.5, 6.0
+ON_MAP, OFF_MAP, LEAST, FEW = 0.46, 0.5, 4.0, 0.85
 
 
 def align(sa: list[str], la: str, sb: list[str], lb: str, lex: Lexicon) -> list[tuple[int, int, float]]:
@@ -302,14 +309,14 @@ def align(sa: list[str], la: str, sb: list[str], lb: str, lex: Lexicon) -> list[
     band = 1.5 * max(height / max(1, len(sb)), 40.0)
     cells: dict[tuple[int, int], list] = defaultdict(list)
     for x, y, w, p, q in pts:
-        cells[ta[p].sent, tb[q].sent].append((w, abs(y - _at(kx, ky, x)) <= band, p, q))
+        cells[ta[p].clause, tb[q].clause].append((w, abs(y - _at(kx, ky, x)) <= band, p, q))
     mass_a, mass_b = Counter(), Counter()
     for t in ta:
         if not lex.stop(la, t.key):
-            mass_a[t.sent] += lex.idf(la, t.key)
+            mass_a[t.clause] += lex.idf(la, t.key)
     for t in tb:
         if not lex.stop(lb, t.key):
-            mass_b[t.sent] += lex.idf(lb, t.key)
+            mass_b[t.clause] += lex.idf(lb, t.key)
     used_a: set[int] = set()
     used_b: set[int] = set()
 
@@ -334,7 +341,8 @@ def align(sa: list[str], la: str, sb: list[str], lb: str, lex: Lexicon) -> list[
 
     heap = [(-rate(c)[0] * math.sqrt(support(c)[0]), c) for c in sorted(cells)]
     heapq.heapify(heap)
-    out = []
+    home_a, home_b = {t.clause: t.sent for t in ta}, {t.clause: t.sent for t in tb}
+    best: dict[tuple[int, int], float] = {}
     while heap:
         was, c = heapq.heappop(heap)
         score, got, on, pairs = rate(c)
@@ -343,11 +351,12 @@ def align(sa: list[str], la: str, sb: list[str], lb: str, lex: Lexicon) -> list[
             if got > 0:
                 heapq.heappush(heap, (now, c))
             continue
-        if score >= (ON_MAP if on else OFF_MAP) and got >= LEAST and len(pairs) >= 2:
-            out.append((*c, score))
+        if score >= (ON_MAP if on else OFF_MAP) and got >= LEAST and (len(pairs) > 2 or len(pairs) == 2 and score >= FEW):
+            pair = home_a[c[0]], home_b[c[1]]
+            best[pair] = max(best.get(pair, 0.0), score)
             used_a.update(p for p, _ in pairs)
             used_b.update(q for _, q in pairs)
-    return out
+    return [(*k, v) for k, v in sorted(best.items())]
 
 
 def pairs(rows: DataFrame, lex: Lexicon) -> DataFrame:
