@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitext, lookalike, mixing, sentences, tokens, turns
+from . import abuse, bitext, lookalike, mixing, sentences, tokens, turns
 from .common import table
 
 
@@ -53,5 +53,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_turns, p5_found, p5_forms, p6_ids, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_turns, p5_found, p5_forms, p6_ids, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)}
 SQL: dict[str, str] = {}
