@@ -83,7 +83,7 @@ SQL = {
     "search_and_or": f"select seg from {POSTINGS} where term in ('soldier', 'oath') group by seg having count(distinct term) = 2 union select seg from {POSTINGS} where term in ('proverb', 'grief') group by seg having count(distinct term) = 2",
     "hit_positions": f"select seg, count(*) as n, string_agg(cast(pos as varchar), ',' order by pos) as positions from {POSTINGS} where term in ('harbour', 'island') group by seg",
     "kwic_phrase": f"select p.seg, p.pos, array_to_string(w[greatest(1, p.pos - 7):p.pos], ' ') as \"left\", array_to_string(w[p.pos + 1:p.pos + 3], ' ') as hit, array_to_string(w[p.pos + 4:p.pos + 11], ' ') as \"right\" from {_PHRASE} p join (select doc_id as seg, regexp_extract_all(lower(text), '([a-z'']+)', 1) as w from documents) t on p.seg = t.seg",
-    "kwic_chars": "select doc_id as seg, at, substring(text, greatest(1, at - 40), at + 53 - greatest(1, at - 40)) as snippet from (select *, position('in the garden' in text) as at from documents) where at > 0",
+    "kwic_chars": "select doc_id as seg, p as \"at\", substring(text, greatest(1, p - 40), p + 53 - greatest(1, p - 40)) as snippet from (select *, position('in the garden' in text) as p from documents) where p > 0",
     "term_rollup": f"select term, owner, count(*) as n from {POSTINGS} join {_DOCS} using (seg) group by grouping sets ((term, owner), (term)) having count(*) >= 3",
     "top_terms": f"select source, term, n, rank from (select owner as source, term, count(*) as n, row_number() over (partition by owner order by count(*) desc, term) as rank from {POSTINGS} join {_DOCS} using (seg) group by owner, term) where rank <= 5",
     "palette": "select work_id, title, tier from (select work_id, title, case when lower(title) = 'on the lamps' then 0 when starts_with(lower(title), 'on the lamps') then 1 when contains(lower(title), ' on the lamps') then 2 when starts_with(work_id, 'on the lamps') then 3 when contains(lower(title), 'on the lamps') then 4 end as tier from works) where tier is not null order by tier, title, work_id limit 6",

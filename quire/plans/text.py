@@ -72,7 +72,7 @@ POSTINGS = f"(select doc_id as seg, unnest(w) as term, generate_subscripts(w, 1)
 _FOLD = "replace(replace(strip_accents(replace(replace(lower(text), 'æ', 'ae'), 'œ', 'oe')), 'v', 'u'), 'j', 'i')"
 _LINES = r"(select distinct def_id, unnest(l) as line, generate_subscripts(l, 1) - 1 as ord from (select def_id, string_split(replace(text, chr(13), ''), chr(10)) as l from footnote_defs where text is not null))"
 _BETA = "translate(strip_accents(lower(form)), 'αβγδεζηθικλμνξοπρσςτυφχψω', 'abgdezhqiklmncoprsstufxyw')"
-_ROMAN = "list_sum(list_transform(generate_series(1, length(numeral)), i -> case when {v0} < {v1} then -{v0} else {v0} end))".format(
+_ROMAN = "list_sum(list_transform(generate_series(1, length(numeral)), lambda i: case when {v0} < {v1} then -{v0} else {v0} end))".format(
     v0="map {'i': 1, 'v': 5, 'x': 10, 'l': 50, 'c': 100}[numeral[i]]", v1="coalesce(map {'i': 1, 'v': 5, 'x': 10, 'l': 50, 'c': 100}[nullif(numeral[i + 1], '')], 0)"
 )
 
@@ -87,7 +87,7 @@ SQL = {
     "letters_key": r"select form, lang, regexp_replace(replace(strip_accents(lower(form)), 'ς', 'σ'), '[^\p{L}]+', '', 'g') as key from analyses",
     "beta_keys": f"select form, {_BETA} as key from analyses where lang = 'grc'",
     "roman_values": rf"select numeral, count(*) as n, cast({_ROMAN} as bigint) as value from (select unnest(regexp_extract_all(lower(text), '\b([ivxlc]+)\b', 1)) as numeral from documents) group by numeral",
-    "collapse_trim": r"select doc_id, c as collapsed, regexp_replace(string_split(c, ' ')[1], '^[\s\p{P}]+|[\s\p{P}]+$', '', 'g') as first_word from (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as c from documents where text is not null)",
+    "collapse_trim": r"select doc_id, c as collapsed, regexp_replace(string_split(c, ' ')[1], '^[\s\p{P}]+|[\s\p{P}]+$', '', 'g') as first_word from (select doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ +| +$', '', 'g') as c from documents where text is not null)",
     "cite_numbers": "select distinct chapter_id, try_cast(nullif(regexp_extract(citation, '^([0-9]+)', 1), '') as bigint) as num, regexp_extract(citation, '^[0-9]+([a-z]*)', 1) as suffix from chapter_refs where citation is not null",
     "line_heal": rf"""with l as (select *, regexp_matches(line, '[A-Za-z]-$') as parted from {_LINES}),
         n as (select *, lead(line) over w as nxt, coalesce(lag(parted) over w, false) as took from l window w as (partition by def_id order by ord)),
