@@ -48,7 +48,7 @@ def beta_keys(s, d):
 
 
 def roman_values(s, d):
-    n = read(s, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b([ivxlc]+)\b"), F.lit(1))).alias("numeral"))
+    n = read(s, d, "documents").select(F.explode(T.words(F.col("text"))).alias("numeral")).where("numeral rlike '^[ivxlc]+$'")
     return n.groupBy("numeral").agg(F.count(F.lit(1)).alias("n")).withColumn("value", T.roman(F.col("numeral")).cast("long"))
 
 
@@ -86,7 +86,7 @@ SQL = {
     "script_runs": r"select run, count(*) as n from (select unnest(regexp_extract_all(text, '[\p{Greek}]+', 0)) as run from gsents) group by run",
     "letters_key": r"select form, lang, regexp_replace(replace(strip_accents(lower(form)), 'ς', 'σ'), '[^\p{L}]+', '', 'g') as key from analyses",
     "beta_keys": f"select form, {_BETA} as key from analyses where lang = 'grc'",
-    "roman_values": rf"select numeral, count(*) as n, cast({_ROMAN} as bigint) as value from (select unnest(regexp_extract_all(lower(text), '\b([ivxlc]+)\b', 1)) as numeral from documents) group by numeral",
+    "roman_values": rf"select numeral, count(*) as n, cast({_ROMAN} as bigint) as value from (select unnest({_WORDS}) as numeral from documents) where regexp_matches(numeral, '^[ivxlc]+$') group by numeral",
     "collapse_trim": r"select doc_id, c as collapsed, regexp_replace(string_split(c, ' ')[1], '^[\s\p{P}]+|[\s\p{P}]+$', '', 'g') as first_word from (select doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ +| +$', '', 'g') as c from documents where text is not null)",
     "cite_numbers": "select distinct chapter_id, try_cast(nullif(regexp_extract(citation, '^([0-9]+)', 1), '') as bigint) as num, regexp_extract(citation, '^[0-9]+([a-z]*)', 1) as suffix from chapter_refs where citation is not null",
     "line_heal": rf"""with l as (select *, regexp_matches(line, '[A-Za-z]-$') as parted from {_LINES}),
