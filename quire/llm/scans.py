@@ -435,6 +435,7 @@ class Editor:
         while i < len(text):
             tag = tags.get(i)
             if tag in ("H", "P"):
+                out.append("\0")
                 i += 1
             elif tag == "J":
                 i += 1
@@ -460,7 +461,8 @@ class Editor:
             else:
                 out.append(text[i])
                 i += 1
-        s = "".join(out)
+        # Where furniture stood, the text goes on.
+        s = re.sub(r"\s*\0[\s\0]*", lambda m: "\n" if "\n" in m[0] else " ", "".join(out))
         parts = re.split(r"\n\s*\n", s)
         return "\n\n".join(p for p in (" ".join(x.split()) for x in parts) if p)
 
