@@ -22,7 +22,7 @@ def _bases() -> tuple[str, str]:
     for c in range(0xA0, 0x2000):
         ch = chr(c)
         d = unicodedata.normalize("NFD", ch)
-        if len(d) > 1 and not unicodedata.combining(d[0]) and all(unicodedata.combining(x) for x in d[1:]):
+        if d != ch and not unicodedata.combining(d[0]) and all(unicodedata.combining(x) for x in d[1:]):
             src.append(ch)
             dst.append(d[0])
     marks = [chr(c) for a, b in ((0x300, 0x370), (0x1AB0, 0x1ACF), (0x20D0, 0x20F1), (0xFE00, 0xFE10)) for c in range(a, b)]
