@@ -191,7 +191,7 @@ def line_kind(text: str, head: Heads) -> str:
     own = sum(w.lower() in head.words or any(len(w) > 4 and edits(w.lower(), x) < 2 for x in head.words if len(x) > 4) or bool(re.fullmatch(r"(?i)book|bk|ch|cap|lib|[ivxlc]+", w)) for w in words)
     if own >= 3 and own >= 0.8 * len(words) and single < 5:
         return "full+"
-    style = "sp" if single >= 5 and single > 0.7 * len(words) else "up" if caps > 0.75 and len(letters) > 5 else "br" if s[0] in "[(" and s[-1] in "])" else "mid" if "·" in s else "lo"
+    style = "sp" if single >= 5 and single > 0.7 * len(words) and caps > 0.5 else "up" if caps > 0.75 and len(letters) > 5 else "br" if s[0] in "[(" and s[-1] in "])" else "mid" if "·" in s else "lo"
     return style + ("+" if named else "-")
 
 
