@@ -273,7 +273,7 @@ def test_editor_learns_and_repairs():
     assert e.noises("the river-\nbank path in the year", None, "w") == []
     assert e.noises("the ship sailed be-", "fore the king", "w") == ["hyphen"]
     assert e.repair("the ship\n[156]\nsaw be-\nfore", "w") == "the ship saw before"
-    for t in (None, "", " \n ", "x", "a " * 30_000):
+    for t in (None, "", " \n ", "king", "a " * 30_000):
         assert e.noises(t, None, None) == []
 
 
