@@ -14,12 +14,14 @@ blocks of pairs.
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -46,6 +48,7 @@ _BREAK = re.compile(r"[,;:··;()\[\]“”„«»\"…!?]|\.\s*[.“”„«»\
 _WORD = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*")
 
 
+@lru_cache(200_000)
 def fold(word: str) -> str:
     w = unicodedata.normalize("NFKD", word.lower())
     w = "".join(ch for ch in w if not unicodedata.combining(ch)).translate(_FOLD)
@@ -69,7 +72,9 @@ def tokens(sents: list[str], lang: str) -> list[Token]:
     """Words of a side in order; ``name`` is set where a capital stands within a sentence, or may be one at its start."""
     out, at, clause = [], 0, 0
     for k, s in enumerate(sents):
-        s = "".join(ch for ch in unicodedata.normalize("NFC", s or "") if unicodedata.category(ch) != "Cf")
+        s = s or ""
+        if not s.isascii():
+            s = "".join(ch for ch in unicodedata.normalize("NFC", s) if ch.isascii() or unicodedata.category(ch) != "Cf")
         clause, last = clause + 1, 0
         for m in _WORD.finditer(s):
             w = m[0]
@@ -144,40 +149,57 @@ def _sides(r) -> list[tuple[str, list, list, str, list, list]]:
 def learn(rows: DataFrame, glosses: DataFrame) -> Lexicon:
     """Word links over all chapters, by log-likelihood ratio of joint occurrence in sentence pairs about the diagonal."""
 
+    def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n: dict[str, Counter] = defaultdict(Counter)
+            for r in batch.itertuples():
+                for la, _, sa, lb, _, sb in _sides(r):
+                    for s, lang in ((sa, la), (sb, lb)):
+                        n[lang][""] += len(s)
+                        n[lang].update({(t.sent, t.key) for t in tokens(s, lang) if not t.key.startswith("#")})
+            flat: Counter = Counter()
+            for lang, c in n.items():
+                for k, v in c.items():
+                    flat[lang, k[1] if k else ""] += v
+            yield pd.DataFrame([(*k, v) for k, v in flat.items()], columns=["la", "w", "n"])
+
+    words = cut(rows.mapInPandas(count_words, "la string, w string, n long").groupBy("la", "w").agg(F.sum("n").alias("n")))
+    lex = Lexicon()
+    for r in words.where("w = ''").collect():
+        lex.sents[r["la"]] = r["n"]
+    total = words.where("w = ''").select("la", F.col("n").alias("total"))
+    # A word in one of a hundred thousand sentences, or more: rare ones need no count.
+    for r in bounded(words.where("w <> ''").join(F.broadcast(total), "la").where("n > 1 and n >= total / 1e5"), MOST_WORDS, "frequent words"):
+        lex.df.setdefault(r["la"], {})[r["w"]] = r["n"]
+    # Links are learned between words of one in twenty thousand sentences, three at least: names are told by their letters.
+    vocabulary = rows.sparkSession.sparkContext.broadcast({lang: {w for w, n in df.items() if n > 2 and n >= 5e-5 * lex.sents[lang]} for lang, df in lex.df.items()})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = vocabulary.value
         for batch in batches:
-            n: Counter = Counter()
+            both: dict[tuple[str, str], Counter] = defaultdict(Counter)
+            left: dict[tuple[str, str], Counter] = defaultdict(Counter)
+            right: dict[tuple[str, str], Counter] = defaultdict(Counter)
+            total: Counter = Counter()
             for r in batch.itertuples():
                 for la, _, sa, lb, _, sb in _sides(r):
                     ka, kb = ([set() for _ in s] for s in (sa, sb))
                     for keys, s, lang in ((ka, sa, la), (kb, sb, lb)):
                         for t in tokens(s, lang):
-                            if not t.key.startswith("#"):
+                            if t.key in known.get(lang, ()):
                                 keys[t.sent].add(t.key)
-                    for keys, lang in ((ka, la), (kb, lb)):
-                        n[lang, "", "", ""] += len(keys)
-                        for k in keys:
-                            for w in k:
-                                n[lang, "", w, ""] += 1
                     for i, j in _near(len(sa), len(sb)):
-                        n[la, lb, "", ""] += 1
-                        for w in ka[i]:
-                            n[la, lb, w, ""] += 1
-                        for v in kb[j]:
-                            n[la, lb, "", v] += 1
-                        for w in ka[i]:
-                            for v in kb[j]:
-                                n[la, lb, w, v] += 1
-            yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["la", "lb", "w", "v", "n"])
+                        total[la, lb] += 1
+                        left[la, lb].update(ka[i])
+                        right[la, lb].update(kb[j])
+                        both[la, lb].update(itertools.product(ka[i], kb[j]))
+            out = [(*k, "", "", n) for k, n in total.items()]
+            out += [(*k, w, "", n) for k, c in left.items() for w, n in c.items()]
+            out += [(*k, "", v, n) for k, c in right.items() for v, n in c.items()]
+            out += [(*k, w, v, n) for k, c in both.items() for (w, v), n in c.items()]
+            yield pd.DataFrame(out, columns=["la", "lb", "w", "v", "n"])
 
     n = cut(rows.mapInPandas(run, "la string, lb string, w string, v string, n long").groupBy("la", "lb", "w", "v").agg(F.sum("n").alias("n")))
-    lex = Lexicon()
-    for r in n.where("lb = '' and w = ''").collect():
-        lex.sents[r["la"]] = r["n"]
-    total = n.where("lb = '' and w = ''").select("la", F.col("n").alias("total"))
-    # A word in one sentence of a million, or more: at most some millions of words a language, rare ones need no count.
-    for r in bounded(n.where("lb = '' and w <> ''").join(F.broadcast(total), "la").where("n > 1 and n >= total / 1e5"), MOST_WORDS, "frequent words"):
-        lex.df.setdefault(r["la"], {})[r["w"]] = r["n"]
     keys = ["la", "lb"]
     all_ = n.where("lb <> '' and w = '' and v = ''").select(*keys, F.col("n").alias("total"))
     ws = n.where("lb <> '' and w <> '' and v = ''").select(*keys, "w", F.col("n").alias("nw"))
