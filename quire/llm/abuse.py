@@ -29,8 +29,8 @@ from .lookalike import LOOKALIKES
 CATEGORIES = ("abuse", "hate", "sexual")
 TAGS = ("none", *CATEGORIES)
 #: Bounds of the training sample: documents with a mark of a category, and documents marked "none".
-MARKED, CLEAN = 3000, 8000
-ROUNDS, EPOCHS, BITS, LONGEST, WINDOW = 2, 7, 18, 160, 6
+MARKED, CLEAN, COPIES = 3000, 12000, 8
+ROUNDS, EPOCHS, BITS, LONGEST, WINDOW = 2, 5, 18, 160, 6
 SIGNIFICANT, SHARE, USUAL = 1.5, 0.5, 0.03
 THRESHOLD = 0.5
 
@@ -168,8 +168,10 @@ def fit(feats: list[np.ndarray], tags: list[np.ndarray], weight: np.ndarray, see
     Features that the sample holds once are left out: their weights stay 0.
     """
     k = len(TAGS)
-    ids, counts = np.unique(np.concatenate([x.ravel() for x in feats]), return_counts=True)
-    ids = ids[counts > 1]
+    counts = np.zeros(1 << BITS, dtype=np.int32)
+    for x in feats:
+        np.add.at(counts, x.ravel(), 1)
+    ids = np.flatnonzero(counts > 1)
     dense = np.zeros(1 << BITS, dtype=np.int32)
     dense[ids] = np.arange(1, len(ids) + 1)
     size = len(ids) + 1
@@ -177,21 +179,19 @@ def fit(feats: list[np.ndarray], tags: list[np.ndarray], weight: np.ndarray, see
     model = Field(np.zeros((size, k)), np.zeros((k, k)))
     g_emit, g_move = np.full((size, k), 1e-6), np.full((k, k), 1e-6)
     rng = np.random.default_rng(seed)
-    groups = []
-    for rows in _batches(np.array([len(x) for x in feats]), 12_000):
-        f, mask = _pad([feats[i] for i in rows])
-        gold = np.zeros((*mask.shape, k))
-        seen = np.zeros((k, k))
-        for r, i in enumerate(rows):
-            gold[r, np.arange(len(tags[i])), tags[i]] = 1.0
-            np.add.at(seen, (tags[i][:-1], tags[i][1:]), 1.0)
-        hit, at = np.unique(f[mask], return_inverse=True)
-        groups.append((f, mask, gold, seen, weight[rows][:, None, None], hit, at.ravel()))
+    groups = list(_batches(np.array([len(x) for x in feats]), 12_000))
     for _ in range(EPOCHS):
         for g in rng.permutation(len(groups)):
-            f, mask, gold, seen, w, hit, at = groups[g]
+            rows = groups[g]
+            f, mask = _pad([feats[i] for i in rows])
+            gold, seen = np.zeros((*mask.shape, k), dtype=np.float32), np.zeros((k, k))
+            for r, i in enumerate(rows):
+                gold[r, np.arange(len(tags[i])), tags[i]] = 1.0
+                np.add.at(seen, (tags[i][:-1], tags[i][1:]), 1.0)
+            hit, at = np.unique(f[mask], return_inverse=True)
+            at = at.ravel()
             marg, pair, _ = model.marginals(f, mask)
-            diff = ((gold - marg) * w)[mask]
+            diff = ((gold - marg) * weight[rows][:, None, None])[mask]
             grad = np.stack([np.bincount(at, np.repeat(diff[:, c], WIDTH), minlength=len(hit)) for c in range(k)], axis=1)
             part = grad - 1e-3 * model.emit[hit]
             part[hit == 0] = 0.0
@@ -288,66 +288,86 @@ def _llr(k1: float, n1: float, k2: float, n2: float) -> float:
 def train(documents: DataFrame, labels: DataFrame) -> Field | None:
     """The field, or None where no document is marked."""
     docs = sample(documents, labels)
-    texts = [list(sentences(t)) for t, _ in docs]
-    held: list[tuple[int, list]] = [(d, toks) for d, ss in enumerate(texts) for _, toks in ss if toks]
     votes_ = [v for _, v in docs]
     strength = {c: [v[c] / max(1, sum(v.values())) for v in votes_] for c in CATEGORIES}
     is_marked = [any(v[c] for c in CATEGORIES) for v in votes_]
     if not any(is_marked):
         return None
-    gs = [grams(toks) if is_marked[d] else set() for d, toks in held]
+    # Texts are cut anew in each pass: the driver holds neither tokens nor word sequences of the sample.
+    seen_in: Counter = Counter()
+    in_docs: dict[str, list[int]] = defaultdict(list)
+    for d, (text, _) in enumerate(docs):
+        words: set[str] = set()
+        sequences: set[str] = set()
+        for _, toks in sentences(text):
+            words.update(normal(t[0]) for t in toks)
+            if is_marked[d]:
+                sequences |= grams(toks)
+        seen_in.update(words)
+        for x in sequences:
+            in_docs[x].append(d)
+    in_docs = {x: ds for x, ds in in_docs.items() if len(ds) > 1}
+    usual = {w for w, n in seen_in.items() if n >= USUAL * len(docs)}
+    del seen_in
     # Sequences in two marked documents or more: bounded by the sample.
-    in_docs: dict[str, set[int]] = defaultdict(set)
-    for (d, _), g in zip(held, gs):
-        if is_marked[d]:
-            for x in g:
-                in_docs[x].add(d)
-    wanted = {x for x, ds in in_docs.items() if len(ds) > 1}
+    wanted = set(in_docs)
     marked, clean, counts = occurrences(documents, labels, wanted)
     value: dict[str, tuple[float, dict[str, float]]] = {}
     for x in wanted:
         m, c = counts.get(x, (0.0, 0.0))
         if m >= SHARE * (m + c) and (s := _llr(m, marked, c, clean)) > 0:
             value[x] = s, {k: sum(strength[k][d] for d in in_docs[x]) for k in CATEGORIES}
+    least = SIGNIFICANT * math.log(len(wanted) + 1)
+    del in_docs, wanted, counts
+    f = Featurizer()
+    copies: Counter = Counter()
+    keys: list[int] = []
+    home: list[int] = []
+    feats: list[np.ndarray] = []
     tags: list[np.ndarray] = []
     kinds: list[int] = []
-    for (d, toks), g in zip(held, gs):
-        tag = kind = 0
-        if is_marked[d]:
-            best = sorted(((value[x][0], x) for x in g if x in value), reverse=True)[:3]
-            if best:
-                by = {c: sum(value[x][1][c] for _, x in best) * (1.0 + strength[c][d]) for c in CATEGORIES}
-                kind = TAGS.index(max(CATEGORIES, key=lambda c: (by[c], c)))
-            if best and sum(s for s, _ in best) / 3 >= SIGNIFICANT * math.log(len(wanted) + 1):
-                tag = kind
-        tags.append(np.full(len(toks), tag))
-        kinds.append(kind)
-    # Of clean documents, sentences of usual words alone teach little: a quarter of them is kept.
-    seen_in: Counter = Counter()
-    for ss in texts:
-        seen_in.update({normal(t[0]) for _, toks in ss for t in toks})
-    usual = {w for w, n in seen_in.items() if n >= USUAL * len(texts)}
-    kept = [
-        i for i, (d, toks) in enumerate(held)
-        if is_marked[d] or zlib.crc32(repr(toks).encode()) % 4 == 0 or any(normal(t[0]) not in usual for k, t in enumerate(toks) if t[0][:1].isalpha() and (k == 0 or not t[0][:1].isupper()))
-    ]
-    held, tags, kinds = [held[i] for i in kept], [tags[i] for i in kept], [kinds[i] for i in kept]
-    f = Featurizer()
-    feats = [np.array(f.rows(toks), dtype=np.int32) for _, toks in held]
-    # Sentences that occur in clean documents are sure; those of marked ones may be wrongly left.
-    weight = np.array([1.0 if not is_marked[d] or t[0] else 0.6 for (d, _), t in zip(held, tags)])
+    for d, (text, _) in enumerate(docs):
+        for _, toks in sentences(text):
+            if not toks:
+                continue
+            # Of clean documents, sentences of usual words alone and further copies teach little:
+            # a quarter of the one and COPIES of the other are kept.
+            copy = -1
+            if not is_marked[d]:
+                copy = _hash(" ".join("N" if k and t[0][:1].isupper() else "0" if t[0][:1].isdigit() else t[0] for k, t in enumerate(toks)))
+                copies[copy] += 1
+                if copies[copy] > COPIES:
+                    continue
+            if not is_marked[d] and zlib.crc32(repr(toks).encode()) % 4 and all(normal(t[0]) in usual for k, t in enumerate(toks) if t[0][:1].isalpha() and (k == 0 or not t[0][:1].isupper())):
+                continue
+            tag = kind = 0
+            if is_marked[d]:
+                best = sorted(((value[x][0], x) for x in grams(toks) if x in value), reverse=True)[:3]
+                if best:
+                    by = {c: sum(value[x][1][c] for _, x in best) * (1.0 + strength[c][d]) for c in CATEGORIES}
+                    kind = TAGS.index(max(CATEGORIES, key=lambda c: (by[c], c)))
+                    tag = kind if sum(s for s, _ in best) / 3 >= least else 0
+            home.append(d)
+            feats.append(np.array(f.rows(toks), dtype=np.int32))
+            tags.append(np.full(len(toks), tag, dtype=np.int8))
+            kinds.append(kind)
+            keys.append(copy)
+    # Kept copies stand for those left out.
+    stands = np.array([max(1.0, copies[k] / COPIES) if k >= 0 else 1.0 for k in keys])
+    # Sentences of clean documents are sure; those of marked ones may be wrongly left.
+    weight = stands * np.array([1.0 if not is_marked[d] or t[0] else 0.6 for d, t in zip(home, tags)])
     model = fit(feats, tags, weight)
     for _ in range(ROUNDS - 1):
         marg = predict(model, feats)
         fresh = []
-        for (d, toks), m, kind in zip(held, marg, kinds):
+        for d, m, kind in zip(home, marg, kinds):
             p = m.mean(axis=0)
             # Readers' marks of the same words, summed over documents, tell the category best.
             c = kind or int(p[1:].argmax()) + 1
             ok = p[1:].sum() > 0.5 and is_marked[d]
-            fresh.append(np.full(len(toks), c if ok else 0))
+            fresh.append(np.full(len(m), c if ok else 0, dtype=np.int8))
         tags = fresh
-        weight = np.array([1.0 if not is_marked[d] or t[0] else 0.6 for (d, _), t in zip(held, tags)])
+        weight = stands * np.array([1.0 if not is_marked[d] or t[0] else 0.6 for d, t in zip(home, tags)])
         model = fit(feats, tags, weight)
     return Field(model.emit.astype(np.float32), model.move.astype(np.float32))
 
