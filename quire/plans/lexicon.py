@@ -118,7 +118,7 @@ def longest_prefix(s, d):
     """For each document the longest work title that its text begins with, or holds at its start in capitals."""
     head = F.lower(F.substring("text", 1, 80))
     docs = read(s, d, "documents").where("text is not null").select("doc_id", head.alias("head"))
-    w = F.broadcast(read(s, d, "works").select("work_id", F.lower("title").alias("t")))
+    w = read(s, d, "works").select("work_id", F.lower("title").alias("t"))
     hit = docs.join(w, F.contains("head", "t"))
     return hit.groupBy("doc_id").agg(F.max_by("work_id", F.struct(F.length("t"), "work_id")).alias("work_id"))
 
@@ -195,7 +195,7 @@ def word_lookup(s, d):
     """Words of the first chapter's originals with their first gloss."""
     w = read(s, d, "gsents").where("chapter_id = 1").select("sent_id", F.posexplode(F.split("text", r"[\s.,;]+")).alias("pos", "form")).where("form <> ''").distinct()
     a = read(s, d, "analyses").groupBy("form").agg(F.min("gloss").alias("gloss"))
-    return w.join(F.broadcast(a), "form", "left").select("sent_id", F.col("pos").cast("long").alias("pos"), "form", "gloss")
+    return w.join(a, "form", "left").select("sent_id", F.col("pos").cast("long").alias("pos"), "form", "gloss")
 
 
 def navigation(s, d):

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("text", "search", "relations", "content", "lexicon")
+MODULES: tuple[str, ...] = ("text", "search", "relations", "content", "lexicon", "structure")
 
 
 def _gather(what: str) -> dict:
