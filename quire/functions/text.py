@@ -56,6 +56,12 @@ def beta(c: Column) -> Column:
     return F.translate(strip_accents(F.lower(c)), *BETA_LETTERS)
 
 
+def greek_from_beta(c: Column) -> Column:
+    """Accentless Greek of Beta Code; sigma at a word's end takes its final form."""
+    greek, code = "".join(ch for ch in BETA_LETTERS[0] if ch != "ς"), "".join(b for ch, b in zip(*BETA_LETTERS) if ch != "ς")
+    return F.regexp_replace(F.translate(F.lower(c), code, greek), r"σ(?![\p{IsGreek}])", "ς")
+
+
 def words(c: Column) -> Column:
     """Lower-cased runs of letters and apostrophes, in order."""
     return F.regexp_extract_all(F.lower(c), F.lit("([a-z']+)"), F.lit(1))

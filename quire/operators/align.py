@@ -148,6 +148,25 @@ def align_groups(left: DataFrame, right: DataFrame, by: str, how: str) -> DataFr
     return left.select(*cols).groupBy(by).cogroup(right.select(*cols).groupBy(by)).applyInPandas(run, "g long, a long, b long").withColumnRenamed("g", by)
 
 
+def hunks(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """(key, at, removed, added): runs of words outside a longest common subsequence, each row by itself."""
+
+    def run(batches):
+        for x in batches:
+            out = []
+            for k, s, t in zip(x["k"], x["a"], x["b"]):
+                u, v = s.split(), t.split()
+                i = j = 0
+                for p, q in [*lcs(u, v), (len(u), len(v))]:
+                    if p > i or q > j:
+                        out.append((k, i, " ".join(u[i:p]), " ".join(v[j:q])))
+                    i, j = p + 1, q + 1
+            yield pd.DataFrame(out, columns=["k", "at", "removed", "added"])
+
+    rows = df.select(F.col(key).alias("k"), F.col(a).alias("a"), F.col(b).alias("b")).where("k is not null and a is not null and b is not null")
+    return rows.mapInPandas(run, "k long, at long, removed string, added string").withColumnRenamed("k", key)
+
+
 def pages(df: DataFrame, by: str, order: str, size: str, target: int) -> DataFrame:
     """(by, order, page): whole blocks packed in order up to ``target``; a larger block has a page of its own."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import cite
+from quire.operators import align, cite
 from quire.sources.tables import read
 
 
@@ -106,10 +106,33 @@ def sound_levels(s, d):
     return t.select("ref_id", F.least(F.lit(5), F.dense_rank().over(Window.partitionBy("dialogue_id").orderBy(F.col("len").desc()))).cast("long").alias("level"))
 
 
+def beta_round(s, d):
+    """Forms by way of Beta Code and back: letters without accents, final sigma restored."""
+    a = read(s, d, "analyses").where("lang = 'grc' and form is not null").select("form").distinct()
+    return a.select("form", T.greek_from_beta(T.beta(F.col("form"))).alias("plain"))
+
+
+def chained_refs(s, d):
+    """Numbers of a note with the series letter in force: named once, it holds until the next."""
+    f = read(s, d, "footnote_defs").select("def_id", "text").distinct()
+    m = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(r"\b([A-Z]?)([0-9]+)\b"), F.lit(k)).alias(n) for k, n in ((1, "letter"), (2, "number"))])
+    x = f.select("def_id", F.posexplode(m).alias("ord", "m")).select("def_id", "ord", F.nullif(F.col("m.letter"), F.lit("")).alias("letter"), F.col("m.number").alias("number"))
+    held = F.last("letter", ignorenulls=True).over(Window.partitionBy("def_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    return x.select("def_id", F.col("ord").cast("long").alias("ord"), held.alias("series"), "number")
+
+
+def diff_hunks(s, d):
+    """Where a correction changes the words: the runs of words that differ on both sides."""
+    c = read(s, d, "corrections").select("corr_id", "find", "replace").distinct().where("find is not null and replace is not null")
+    return align.hunks(c, "corr_id", "find", "replace")
+
+
 _W = r"regexp_extract_all(lower(text), '([a-z'']+)', 1)"
 _OFF = "coalesce(sum(length(piece)) over (partition by {k} order by ord rows between unbounded preceding and 1 preceding), 0)"
 _KEY = r"case when regexp_matches(x, '^([AB])\s?(\d+)') then regexp_extract(x, '^([AB])', 1) else '' end, cast(regexp_extract(x, '(\d+)', 1) as bigint), case when regexp_matches(x, '^(\d+)([a-e])(?:\.?(\d+))?$') then regexp_extract(x, '^\d+([a-e])', 1) when regexp_matches(x, '^(\d+)\.(\d+)') then lpad(regexp_extract(x, '^\d+\.(\d+)', 1), 9, '0') else '' end"
 SQL = {
+    "beta_round": r"select distinct form, regexp_replace(replace(strip_accents(lower(form)), 'ς', 'σ'), 'σ($|[^\p{Greek}])', 'ς\1', 'g') as plain from analyses where lang = 'grc' and form is not null",
+    "chained_refs": r"select def_id, ord, last_value(letter ignore nulls) over (partition by def_id order by ord rows between unbounded preceding and current row) as series, number from (select def_id, nullif(unnest(a), '') as letter, unnest(b) as number, generate_subscripts(a, 1) - 1 as ord from (select def_id, regexp_extract_all(text, '\b([A-Z]?)([0-9]+)\b', 1) as a, regexp_extract_all(text, '\b([A-Z]?)([0-9]+)\b', 2) as b from (select distinct def_id, text from footnote_defs)))",
     "tok_offsets": rf"select doc_id, cast(off as bigint) as off, piece as tok from (select *, {_OFF.format(k='doc_id')} as off from (select doc_id, unnest(p) as piece, generate_subscripts(p, 1) as ord from (select doc_id, regexp_extract_all(lower(text), '[a-z'']+|[^a-z'']+', 0) as p from documents))) where regexp_matches(piece, '^[a-z'']')",
     "sentence_offsets": rf"select def_id, cast({_OFF.format(k='def_id')} as bigint) as off, piece from (select def_id, unnest(p) as piece, generate_subscripts(p, 1) as ord from (select def_id, regexp_extract_all(text, '[^.!?]*[.!?]+|[^.!?]+$', 0) as p from (select distinct def_id, text from footnote_defs)))",
     "shingles": f"with w as (select doc_id, {_W} as w from documents) select shingle, count(*) as docs from (select distinct doc_id, array_to_string(w[i:i + 2], ' ') as shingle from (select doc_id, w, unnest(generate_series(1, len(w) - 2)) as i from w where len(w) > 2)) group by shingle having count(*) > 1",
@@ -126,4 +149,4 @@ SQL = {
     "gate_report": "select ref_lang, count(*) as n, cast(sum(case when r < 0.7 or r > 1.4 then 1 else 0 end) as bigint) as caught, round(avg(case when r < 0.7 or r > 1.4 then 1.0 else 0.0 end), 4) as share from (select distinct chapter_id, ref_lang, length(ref_text) / length(ross_text) as r from chapter_refs where length(ross_text) > 0 and length(ref_text) > 0) group by ref_lang",
     "sound_levels": "select ref_id, least(5, dense_rank() over (partition by dialogue_id order by len desc)) as level from (select distinct ref_id, dialogue_id, length(text) as len from ref_turns where text is not null)",
 }
-QUERIES = {f.__name__: f for f in (tok_offsets, sentence_offsets, shingles, year_mentions, roster, unmatched, monotone_check, note_numbers, book_starts, catalog_counts, broken_mentions, cite_labels, cite_order, gate_report, sound_levels)}
+QUERIES = {f.__name__: f for f in (tok_offsets, sentence_offsets, shingles, year_mentions, roster, unmatched, monotone_check, note_numbers, book_starts, catalog_counts, broken_mentions, cite_labels, cite_order, gate_report, sound_levels, beta_round, chained_refs, diff_hunks)}

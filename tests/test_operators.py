@@ -129,3 +129,10 @@ def test_stream_equals_batch(spark, tmp_path):
     q = terms.term_counts(terms.documents(spark, str(tmp_path / "in"), docs.schema)).writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination()
     assert rows(spark.table("counts")) == [("a", 2), ("b", 2)]
+
+
+def test_hunks_and_beta(spark):
+    df = spark.createDataFrame([(1, "the kiug saw", "the king saw"), (2, "a b c", "a c d"), (3, None, "x"), (4, "", "")], "k long, a string, b string")
+    assert rows(align.hunks(df, "k", "a", "b")) == [(1, 1, "kiug", "king"), (2, 1, "b", ""), (2, 3, "", "d")]
+    g = spark.createDataFrame([("ναύτης",), ("Σωσίας",)], "c string").select(text.greek_from_beta(text.beta(F.col("c"))))
+    assert [r[0] for r in g.collect()] == ["ναυτης", "σωσιας"]
