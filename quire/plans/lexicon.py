@@ -178,8 +178,8 @@ def interpolate_lines(s, d):
 
 
 def snap_offsets(s, d):
-    """Middle of each document, moved to the nearest word start."""
-    docs = read(s, d, "documents").where("length(text) between 1 and 2000").select("doc_id", F.col("text").alias("t"), F.floor(F.length("text") / 2).cast("int").alias("mid"))
+    """Middle of each document, moved to the nearest word start; 0 for an empty text, no row for a null one."""
+    docs = read(s, d, "documents").where("text is not null").select("doc_id", F.col("text").alias("t"), F.floor(F.length("text") / 2).cast("int").alias("mid"))
     return docs.select("doc_id", spans.snap_to_word(F.col("t"), F.col("mid")).cast("long").alias("at"))
 
 

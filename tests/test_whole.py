@@ -1,0 +1,45 @@
+"""Operators and queries take all of their input."""
+
+from __future__ import annotations
+
+import re
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from quire.operators import spans
+from quire.plans import registry
+
+FOLDER = Path("/root/testdata/sf0.001")
+tables = pytest.mark.skipif(not FOLDER.exists(), reason="no test tables")
+
+
+def table(spark, name, *cols):
+    return [tuple(r) for r in spark.read.parquet(str(FOLDER / f"{name}.parquet")).select(*cols).collect()]
+
+
+def result(spark, name):
+    return sorted(tuple(r) for r in registry.queries()[name](spark, str(FOLDER)).collect())
+
+
+def snapped(text: str, at: int) -> int:
+    if at == 0 or text[at - 1] in " \t\n\x0b\f\r":
+        return at
+    left = re.search(r"[^ \t\n\x0b\f\r]*\Z", text[:at]).start()
+    right = at + re.match(r"[^ \t\n\x0b\f\r]*[ \t\n\x0b\f\r]*", text[at:]).end()
+    return left if at - left <= right - at else right
+
+
+@tables
+def test_snap_offsets_takes_every_text(spark):
+    docs = [(i, t) for i, t in table(spark, "documents", "doc_id", "text") if t is not None]
+    assert max(len(t) for _, t in docs) > 2000 and min(len(t) for _, t in docs) == 0
+    assert result(spark, "snap_offsets") == sorted((i, snapped(t, len(t) // 2)) for i, t in docs)
+
+
+def test_snap_to_word_in_long_texts(spark):
+    texts = ["x" * 120_000, "ab " * 40_000, "a " + "y" * 60_000 + " b"]
+    df = spark.createDataFrame([(k, t, len(t) // 2) for k, t in enumerate(texts)], "k int, t string, at int")
+    got = df.select("k", spans.snap_to_word(F.col("t"), F.col("at")).alias("to")).orderBy("k").collect()
+    assert [r["to"] for r in got] == [snapped(t, len(t) // 2) for t in texts]
