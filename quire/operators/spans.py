@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,14 +33,28 @@ def snap_to_word(text: Column, at: Column) -> Column:
 
 
 def disjoint(df: DataFrame, by: str, lo: str, hi: str) -> DataFrame:
-    """(by, n): most intervals of a group that do not overlap, by earliest end; groups are bounded evidence sets."""
+    """(by, n): most intervals of a group that do not overlap, by earliest end; closed ends, those with a null end not counted.
 
-    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        n, end = 0, None
-        for a, z in b.sort_values([hi, lo])[[lo, hi]].itertuples(index=False):
-            if end is None or a > end:
-                n, end = n + 1, z
-        return pd.DataFrame({"g": [key[0]], "n": [n]})
+    One pass over runs sorted by end, so that a group of any size holds no more than one batch.
+    """
+
+    def run(batches):
+        key, n, end, any_ = None, 0, None, False
+        for b in batches:
+            ks, ns = [], []
+            for k, a, z in zip(*[c.to_pylist() for c in b.columns]):
+                if not any_ or k != key:
+                    if any_:
+                        ks.append(key)
+                        ns.append(n)
+                    key, n, end, any_ = k, 0, None, True
+                if a is not None and z is not None and (end is None or a > end):
+                    n, end = n + 1, z
+            if ks:
+                yield pa.RecordBatch.from_arrays([pa.array(ks, b.column(0).type), pa.array(ns, pa.int64())], ["g", "n"])
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array([key], b.column(0).type), pa.array([n], pa.int64())], ["g", "n"])
 
     kind = df.schema[by].dataType.simpleString()
-    return df.select(by, lo, hi).groupBy(by).applyInPandas(run, f"g {kind}, n long").withColumnRenamed("g", by)
+    runs = df.select(by, lo, hi).repartition(by).sortWithinPartitions(by, hi, lo)
+    return runs.mapInArrow(run, f"g {kind}, n long").withColumnRenamed("g", by)

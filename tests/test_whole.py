@@ -43,3 +43,26 @@ def test_snap_to_word_in_long_texts(spark):
     df = spark.createDataFrame([(k, t, len(t) // 2) for k, t in enumerate(texts)], "k int, t string, at int")
     got = df.select("k", spans.snap_to_word(F.col("t"), F.col("at")).alias("to")).orderBy("k").collect()
     assert [r["to"] for r in got] == [snapped(t, len(t) // 2) for t in texts]
+
+
+@tables
+def test_independent_evidence_counts_every_line(spark):
+    by: dict = {}
+    for k, o, q in table(spark, "lineitem", "l_suppkey", "l_orderkey", "l_quantity"):
+        by.setdefault(k, []).append((o + int(q), o))
+    expected = []
+    for k, v in by.items():
+        n, end = 0, None
+        for hi, lo in sorted(v):
+            if end is None or lo > end:
+                n, end = n + 1, hi
+        expected.append((k, n))
+    assert result(spark, "independent_evidence") == sorted(expected)
+
+
+def test_disjoint_over_batches_and_nulls(spark):
+    hot = [("hot", 2 * i, 2 * i + 1) for i in range(30_000)] + [("hot", 0, 60_000)]
+    rows = [*hot, ("one", 5, 5), ("none", None, 3), (None, 1, 2), (None, 2, 4), (None, 3, 4)]
+    df = spark.createDataFrame(rows, "k string, a long, z long")
+    got = {r["k"]: r["n"] for r in spans.disjoint(df, "k", "a", "z").collect()}
+    assert got == {"hot": 30_000, "one": 1, "none": 0, None: 2}
