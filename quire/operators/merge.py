@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,3 +52,52 @@ def resolve_chain(links: DataFrame, key: str, parent: str, depth: int = 8) -> Da
         cur = cur.join(nxt, cur["p"] == nxt["_k"], "left").select("k", F.coalesce("_p", "p").alias("p"), (F.col("h") + F.when(F.col("p") == F.col("k"), 0).otherwise(F.coalesce("_h", F.lit(0)))).alias("h"))
     ends = links.where(F.col(parent).isNull()).select(F.col(key).alias("_e"))
     return cur.join(ends, cur["p"] == ends["_e"], "left").select(F.col("k").alias(key), F.col("_e").alias("root"), F.when(F.col("_e").isNotNull(), F.col("h")).alias("hops"))
+
+
+def port(df: DataFrame, key: str, scope: str, at: str, source: str) -> DataFrame:
+    """(key, root, hops, state): the places at whose end a record's text comes from, by chains of references within a scope.
+
+    A reference names a place (``at``), and the references of all records there lead on. Records without one are
+    ``own``, 0 hops from their place; others have a row ``ported`` for each end, a place with a text of its own,
+    with the fewest hops to it, one ``cycle`` without a root where a way comes back to itself, and one ``missing``
+    where a place has no record. Records with a null scope or place are left out. Groups are the references of a
+    scope and the places named.
+    """
+
+    def run(_: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        to: dict[str, set] = {}
+        own, out, refs = set(), [], []
+        for k, a, f in b[["k", "a", "f"]].itertuples(index=False):
+            if isinstance(f, str):
+                to.setdefault(a, set()).add(f)
+                refs.append((int(k), f))
+            else:
+                own.add(a)
+        known: dict[str, tuple] = {}
+        for k, f in refs:
+            if f not in known:
+                hops, level = {f: 1}, [f]
+                while level:
+                    ahead = []
+                    for x in level:
+                        for y in to.get(x, ()):
+                            if y not in hops:
+                                hops[y] = hops[x] + 1
+                                ahead.append(y)
+                    level = ahead
+                # What is left after taking away all that only leads to ends holds a cycle.
+                left = set(hops)
+                while done := {x for x in left if left.isdisjoint(to.get(x, ()))}:
+                    left -= done
+                known[f] = [(x, h) for x, h in hops.items() if x in own], bool(left), any(x not in own and x not in to for x in hops)
+            ends, cycle, missing = known[f]
+            out += [(k, x, h, "ported") for x, h in ends] + [(k, None, None, "cycle")] * cycle + [(k, None, None, "missing")] * missing
+        return pd.DataFrame(out, columns=["k", "r", "h", "s"]).astype({"h": "Int64"})
+
+    r = df.select(F.col(key).alias("k"), F.col(scope).alias("g"), F.col(at).alias("a"), F.col(source).alias("f")).where("g is not null and a is not null")
+    refs, plain = r.where("f is not null"), r.where("f is null")
+    texts = plain.select("g", "a").join(refs.select("g", F.col("f").alias("a")).distinct(), ["g", "a"], "left_semi").distinct()
+    use = refs.unionByName(texts, allowMissingColumns=True)
+    chains = use.groupBy("g").applyInPandas(run, "k long, r string, h long, s string")
+    own = plain.select("k", F.col("a").alias("r"), F.lit(0).cast("long").alias("h"), F.lit("own").alias("s"))
+    return own.unionByName(chains).select(F.col("k").alias(key), F.col("r").alias("root"), F.col("h").alias("hops"), F.col("s").alias("state"))

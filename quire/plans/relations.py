@@ -177,6 +177,15 @@ def port_text(s, d):
     return merge.resolve_chain(links.dropDuplicates(["frag_id"]), "frag_id", "parent", 4)
 
 
+def port_text_from(s, d):
+    """Fragments and where the text that they take by text_from comes from, along chains within a file.
+
+    port_text keeps to its SQL, which goes by place alone.
+    """
+    f = read(s, d, "fragments").select("frag_id", "source_file", "column_key", "text_from").distinct()
+    return merge.port(f, "frag_id", "source_file", "column_key", "text_from")
+
+
 def facet_counts(s, d):
     w = read(s, d, "works")
     return w.groupingSets([[F.col("lang")], [F.col("scheme")], []], F.col("lang"), F.col("scheme")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("author").alias("authors"))
@@ -248,4 +257,4 @@ SQL = {
     "duplicates_casefold": "select lower(speaker) as k, count(*) as n, count(distinct dialogue_id) as dialogues from new_turns where speaker is not null group by 1 having count(*) > 1",
     "embedding_neighbours": "with e as (select vec_id, cast(embedding as double[]) as v from embeddings), s as (select a.vec_id as q, b.vec_id, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 4) as sim from e a, e b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id) select q, vec_id, sim from (select *, row_number() over (partition by q order by sim desc, vec_id) as r from s) where r <= 3",
 }
-QUERIES = {f.__name__: f for f in (asof_event, asof_citation, point_in_range, nearest_range, ranked_lookup, semi_needed, reconcile_works, range_expand, span_slices, line_gaps, transposed, chapter_ranges, label_suppress, speaker_runs, coverage_depth, sessionise, cumulative_words, ratio_robust_z, ratio_outliers, error_summary, mode_first_seen, name_window, config_grid, merge_existing_wins, tree_diff, publish_decision, revision_fold, port_text, facet_counts, catalog_model, recent_docs, duplicates_casefold, embedding_neighbours)}
+QUERIES = {f.__name__: f for f in (asof_event, asof_citation, point_in_range, nearest_range, ranked_lookup, semi_needed, reconcile_works, range_expand, span_slices, line_gaps, transposed, chapter_ranges, label_suppress, speaker_runs, coverage_depth, sessionise, cumulative_words, ratio_robust_z, ratio_outliers, error_summary, mode_first_seen, name_window, config_grid, merge_existing_wins, tree_diff, publish_decision, revision_fold, port_text, port_text_from, facet_counts, catalog_model, recent_docs, duplicates_casefold, embedding_neighbours)}

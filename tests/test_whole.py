@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import spans
+from quire.operators import merge, spans
 from quire.plans import registry
 
 FOLDER = Path("/root/testdata/sf0.001")
@@ -66,3 +66,17 @@ def test_disjoint_over_batches_and_nulls(spark):
     df = spark.createDataFrame(rows, "k string, a long, z long")
     got = {r["k"]: r["n"] for r in spans.disjoint(df, "k", "a", "z").collect()}
     assert got == {"hot": 30_000, "one": 1, "none": 0, None: 2}
+
+
+def test_port_follows_references(spark):
+    rows = [
+        (1, "f", "A", None), (2, "f", "B", "A"), (3, "f", "C", "B"), (4, "f", "A", None), (5, "g", "A", None), (6, "g", "D", "Z"),
+        (7, "f", "X", "Y"), (8, "f", "Y", "X"), (9, "f", "Q", "X"), (10, "f", "S", "S"), (11, "f", "S", None), (12, None, "A", "A"), (13, "f", "B2", "B"),
+    ]
+    df = spark.createDataFrame(rows, "k long, g string, a string, f string")
+    got = {tuple(r) for r in merge.port(df, "k", "g", "a", "f").collect()}
+    assert got == {
+        (1, "A", 0, "own"), (4, "A", 0, "own"), (5, "A", 0, "own"), (11, "S", 0, "own"),
+        (2, "A", 1, "ported"), (3, "A", 2, "ported"), (13, "A", 2, "ported"),
+        (6, None, None, "missing"), (7, None, None, "cycle"), (8, None, None, "cycle"), (9, None, None, "cycle"), (10, "S", 1, "ported"), (10, None, None, "cycle"),
+    }
