@@ -143,6 +143,19 @@ def name_window(s, d):
     return g.withColumn("near", near).where("name <> '' and near").select("sent_id", "name")
 
 
+def name_window_all(s, d):
+    """Sentences and each name that a chapter neighbour holds as well.
+
+    name_window keeps to its SQL, which takes the first name of a sentence alone.
+    """
+    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r" ([A-Z][a-z]+)"), F.lit(1)))
+    g = read(s, d, "gsents").where("lang = 'lat'").select("chapter_id", "sent_id", "seq", names.alias("names")).distinct()
+    g = g.withColumn("pos", F.row_number().over(Window.partitionBy("chapter_id").orderBy("seq", "sent_id")))
+    w = Window.partitionBy("chapter_id", "name").orderBy("pos")
+    near = (F.col("pos") - F.lag("pos").over(w) == 1) | (F.lead("pos").over(w) - F.col("pos") == 1)
+    return g.select("chapter_id", "sent_id", "pos", F.explode("names").alias("name")).withColumn("near", near).where("near").select("sent_id", "name")
+
+
 def config_grid(s, d):
     g = read(s, d, "lineitem").groupBy("l_linestatus").pivot("l_returnflag", ["A", "N", "R"]).agg(F.round(F.avg("l_discount"), 4))
     return g.select("l_linestatus", *[F.col(x).alias(f"avg_{x.lower()}") for x in "ANR"])
@@ -257,4 +270,4 @@ SQL = {
     "duplicates_casefold": "select lower(speaker) as k, count(*) as n, count(distinct dialogue_id) as dialogues from new_turns where speaker is not null group by 1 having count(*) > 1",
     "embedding_neighbours": "with e as (select vec_id, cast(embedding as double[]) as v from embeddings), s as (select a.vec_id as q, b.vec_id, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 4) as sim from e a, e b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id) select q, vec_id, sim from (select *, row_number() over (partition by q order by sim desc, vec_id) as r from s) where r <= 3",
 }
-QUERIES = {f.__name__: f for f in (asof_event, asof_citation, point_in_range, nearest_range, ranked_lookup, semi_needed, reconcile_works, range_expand, span_slices, line_gaps, transposed, chapter_ranges, label_suppress, speaker_runs, coverage_depth, sessionise, cumulative_words, ratio_robust_z, ratio_outliers, error_summary, mode_first_seen, name_window, config_grid, merge_existing_wins, tree_diff, publish_decision, revision_fold, port_text, port_text_from, facet_counts, catalog_model, recent_docs, duplicates_casefold, embedding_neighbours)}
+QUERIES = {f.__name__: f for f in (asof_event, asof_citation, point_in_range, nearest_range, ranked_lookup, semi_needed, reconcile_works, range_expand, span_slices, line_gaps, transposed, chapter_ranges, label_suppress, speaker_runs, coverage_depth, sessionise, cumulative_words, ratio_robust_z, ratio_outliers, error_summary, mode_first_seen, name_window, name_window_all, config_grid, merge_existing_wins, tree_diff, publish_decision, revision_fold, port_text, port_text_from, facet_counts, catalog_model, recent_docs, duplicates_casefold, embedding_neighbours)}
