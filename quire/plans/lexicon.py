@@ -199,6 +199,18 @@ def word_lookup(s, d):
     return w.join(a, "form", "left").select("sent_id", F.col("pos").cast("long").alias("pos"), "form", "gloss")
 
 
+def word_lookup_all(s, d):
+    """Words of all originals with their first gloss.
+
+    word_lookup keeps to its SQL, which takes the first chapter alone.
+    """
+    g = read(s, d, "gsents").select("sent_id", "text").distinct()
+    w = g.select("sent_id", F.posexplode(F.split("text", r"[\s.,;]+")).alias("pos", "form")).where("form <> ''")
+    # Analyses have a fixed size.
+    a = read(s, d, "analyses").groupBy("form").agg(F.min("gloss").alias("gloss"))
+    return w.join(F.broadcast(a), "form", "left").select("sent_id", F.col("pos").cast("long").alias("pos"), "form", "gloss")
+
+
 def navigation(s, d):
     """Author, works and books as one row an author."""
     w = read(s, d, "works")
@@ -242,4 +254,4 @@ SQL = {
     "navigation": "select author, string_agg(distinct title, '; ' order by title) as titles, cast(sum(n_books) as bigint) as books from works group by author",
     "latest_version": "select scheme, work_id, corpus_version from (select *, row_number() over (partition by scheme order by released_at desc, work_id) as r from works where corpus_version is not null) where r = 1",
 }
-QUERIES = {f.__name__: f for f in (enclitic_hosts, caps_fallback, homonym_filter, pos_class, short_gloss, shard_assign, dict_topup, match_rate, parse_filter, facet_predicate, narrow_library, version_predicate, safe_path, looks_like_citation, two_sided, longest_prefix, bridge, fingerprint, column_ranges, independent_evidence, tick_windows, straddle, patch_overlay, interpolate_lines, snap_offsets, lemma_index, word_lookup, navigation, latest_version)}
+QUERIES = {f.__name__: f for f in (enclitic_hosts, caps_fallback, homonym_filter, pos_class, short_gloss, shard_assign, dict_topup, match_rate, parse_filter, facet_predicate, narrow_library, version_predicate, safe_path, looks_like_citation, two_sided, longest_prefix, bridge, fingerprint, column_ranges, independent_evidence, tick_windows, straddle, patch_overlay, interpolate_lines, snap_offsets, lemma_index, word_lookup, word_lookup_all, navigation, latest_version)}

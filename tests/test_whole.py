@@ -90,3 +90,17 @@ def test_name_window_all_compares_every_name(spark, tmp_path):
     spark.createDataFrame(said, "chapter_id long, sent_id long, seq int, lang string, text string").write.parquet(str(tmp_path / "gsents.parquet"))
     got = sorted(tuple(r) for r in registry.queries()["name_window_all"](spark, str(tmp_path)).collect())
     assert got == [(10, "Marcus"), (10, "Tullius"), (11, "Marcus"), (11, "Tullius")]
+
+
+@tables
+def test_word_lookup_all_takes_every_chapter(spark):
+    gloss: dict = {}
+    for form, g in table(spark, "analyses", "form", "gloss"):
+        gloss[form] = min([x for x in (gloss.get(form), g) if x is not None], default=None)
+    expected = set()
+    for i, t in table(spark, "gsents", "sent_id", "text"):
+        for k, form in enumerate(re.split(r"[ \t\n\x0b\f\r.,;]+", t or "")):
+            if form:
+                expected.add((i, k, form, gloss.get(form)))
+    got = [tuple(r) for r in registry.queries()["word_lookup_all"](spark, str(FOLDER)).collect()]
+    assert len(got) == len(expected) and set(got) == expected
