@@ -173,6 +173,20 @@ def tree_diff(s, d):
     return merge.diff(one, two, "doc_id", "h")
 
 
+def tree_diff_resent(s, d):
+    """Each original as first sent against as last sent, all rows by content.
+
+    tree_diff keeps to its SQL, which makes up both sides from samples.
+    """
+    g = read(s, d, "gsents").where("sent_id is not null")
+    h = F.md5(F.to_json(F.struct(*sorted(c for c in g.columns if c != "loaded_at")), {"ignoreNullFields": "false"}))
+    g = g.select("sent_id", "loaded_at", h.alias("h"))
+    # Of equal stamps the smaller content is the earlier.
+    one = g.groupBy("sent_id").agg(F.min(F.struct("loaded_at", "h"))["h"].alias("h"))
+    two = g.groupBy("sent_id").agg(F.max(F.struct("loaded_at", "h"))["h"].alias("h"))
+    return merge.diff(one, two, "sent_id", "h")
+
+
 def publish_decision(s, d):
     return merge.decision(tree_diff(s, d))
 
@@ -270,4 +284,4 @@ SQL = {
     "duplicates_casefold": "select lower(speaker) as k, count(*) as n, count(distinct dialogue_id) as dialogues from new_turns where speaker is not null group by 1 having count(*) > 1",
     "embedding_neighbours": "with e as (select vec_id, cast(embedding as double[]) as v from embeddings), s as (select a.vec_id as q, b.vec_id, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 4) as sim from e a, e b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id) select q, vec_id, sim from (select *, row_number() over (partition by q order by sim desc, vec_id) as r from s) where r <= 3",
 }
-QUERIES = {f.__name__: f for f in (asof_event, asof_citation, point_in_range, nearest_range, ranked_lookup, semi_needed, reconcile_works, range_expand, span_slices, line_gaps, transposed, chapter_ranges, label_suppress, speaker_runs, coverage_depth, sessionise, cumulative_words, ratio_robust_z, ratio_outliers, error_summary, mode_first_seen, name_window, name_window_all, config_grid, merge_existing_wins, tree_diff, publish_decision, revision_fold, port_text, port_text_from, facet_counts, catalog_model, recent_docs, duplicates_casefold, embedding_neighbours)}
+QUERIES = {f.__name__: f for f in (asof_event, asof_citation, point_in_range, nearest_range, ranked_lookup, semi_needed, reconcile_works, range_expand, span_slices, line_gaps, transposed, chapter_ranges, label_suppress, speaker_runs, coverage_depth, sessionise, cumulative_words, ratio_robust_z, ratio_outliers, error_summary, mode_first_seen, name_window, name_window_all, config_grid, merge_existing_wins, tree_diff, tree_diff_resent, publish_decision, revision_fold, port_text, port_text_from, facet_counts, catalog_model, recent_docs, duplicates_casefold, embedding_neighbours)}

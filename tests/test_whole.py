@@ -104,3 +104,11 @@ def test_word_lookup_all_takes_every_chapter(spark):
                 expected.add((i, k, form, gloss.get(form)))
     got = [tuple(r) for r in registry.queries()["word_lookup_all"](spark, str(FOLDER)).collect()]
     assert len(got) == len(expected) and set(got) == expected
+
+
+def test_tree_diff_resent_compares_every_row(spark, tmp_path):
+    sent = [(35, 1, "a"), (35, 2, "b"), (70, 1, "a"), (70, 3, "a"), (1, 1, None), (1, 2, ""), (2, 1, None)]
+    df = spark.createDataFrame(sent, "sent_id long, at long, text string").selectExpr("sent_id", "timestamp_seconds(at) as loaded_at", "text")
+    df.write.parquet(str(tmp_path / "gsents.parquet"))
+    got = sorted(tuple(r) for r in registry.queries()["tree_diff_resent"](spark, str(tmp_path)).collect())
+    assert got == [(1, "changed"), (2, "identical"), (35, "changed"), (70, "identical")]
