@@ -183,6 +183,52 @@ def test_profile_decides_an_ambiguous_label(spark):
     assert rows(turns.found(df, people))[-1] == (1, 4, "Bemoro", 4)
 
 
+def talk(n, seed=4, withheld=0.0):
+    """A dialogue of two who take turns, each with words of their own; and who really speaks on each line."""
+    rng = random.Random(seed)
+    own = {"Bemara": ["ships", "sails", "harbour", "oar"], "Kitoso": ["wheat", "barley", "fields", "plough"]}
+    out, who, now = [], [], "Bemara"
+    for k in range(n):
+        now = now if rng.random() < 0.2 else "Kitoso" if now == "Bemara" else "Bemara"
+        hide = k > 3 and rng.random() < withheld
+        out.append((1, k, k, None if hide else rng.choice([now, now.upper(), now[:3] + "."]), "the " + " ".join(rng.choice(own[now]) for _ in range(3))))
+        who.append(now)
+    return out, who
+
+
+def test_missing_labels_are_inferred_from_words_and_moves(spark):
+    lines, who = talk(300, withheld=0.4)
+    people = spark.createDataFrame([(1, 1, "Bemara"), (1, 2, "Kitoso")], "dialogue_id long, speaker_no int, speaker string")
+    df = spark.createDataFrame(lines, "dialogue_id long, line long, rec long, speaker string, text string")
+
+    def right(carry):
+        starts = {r["line"]: r["speaker"] for r in turns.turns(df, people, carry=carry).collect()}
+        now, n = None, 0
+        for k, x in enumerate(who):
+            now = starts.get(k, now)
+            n += now == x
+        return n / len(who)
+
+    assert right(False) > 0.97 and right(True) < 0.85
+
+
+@pytest.mark.parametrize("carry", [True, False])
+def test_long_dialogues_are_decoded_across_blocks(spark, monkeypatch, carry):
+    lines, _ = talk(90, 6, 0.3)
+    lines = [(1, k, k, None, "before any label") for k in range(-9, 0)] + lines
+    people = spark.createDataFrame([(1, 1, "Bemara"), (1, 2, "Kitoso")], "dialogue_id long, speaker_no int, speaker string")
+    df = spark.createDataFrame(lines, "dialogue_id long, line long, rec long, speaker string, text string")
+    whole = rows(turns.clean_turns(df, people) if carry else turns.turns(df, people, carry=False))
+    monkeypatch.setattr(turns, "BLOCK", 4)
+    assert rows(turns.clean_turns(df, people) if carry else turns.turns(df, people, carry=False)) == whole
+
+
+def test_annotations_of_any_length_are_no_speech():
+    for n in (8, 98, 500):
+        assert not turns.has_speech("[" + "door slams " * n + "]") and not turns.has_speech("*" + "x" * n + "*")
+    assert turns.segments(None, "Rekero the son of the old king of Mosa: Yes.", ["Rekero the son of the old king of Mosa"])[0][0] == {0: 0.0}
+
+
 def test_distance_equals_brute_force():
     def slow(a, b):
         t = np.zeros((len(a) + 1, len(b) + 1), int)
