@@ -6,15 +6,16 @@ by log-likelihood ratio, with the glosses that there are), equal numbers, and na
 equal after transliteration. From the origin a rectangle of the bitext's slope grows
 until it holds a chain of points with small dispersal about the slope; the chain's end is
 the next origin. Points in crowded rows and columns count as noise within a rectangle.
-The chains give a map; cells of clauses along it, and dense cells off it (inversions),
-compete for the words that support them, and the sentences of the cells that win are
-blocks of pairs.
+What lies beside the chains is searched for chains of its own (inversions), in
+rectangles of a clause by a clause. Chains become blocks: within their rectangles, and
+nowhere else, cells of clauses compete for the points that support them, and the
+sentences of the cells that win are pairs.
 """
 
 from __future__ import annotations
 
 import bisect
-import itertools
+import heapq
 import math
 import re
 import unicodedata
@@ -23,19 +24,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, latest
+from .common import TooLarge, bounded, cut, latest
 from .lookalike import LOOKALIKES
 
 CHAIN = 5
 DISPERSAL = 0.35
-MOST_WORDS = 1_000_000
-MOST_LINKS = 2_000_000
+#: Up to these rows the lexicon is sent to every task; beyond, each chapter gets the rows it needs by a join.
+MOST_WORDS, MOST_LINKS = 500_000, 500_000
 LINK_LLR = 15.0
 FREQUENT = 0.22
+#: Occurrences from which a type's capitals are counted, and the share of capitalised types from which they mark no names.
+TYPES, CAPITALS = 20, 0.2
 
 _FOLD = str.maketrans({k: v for k, v in LOOKALIKES.items() if k.islower()})
 # Latin letters for Greek ones, given after look-alike folding.
@@ -59,18 +63,32 @@ def latin(folded: str) -> str:
     return "".join(_GREEK.get(ch, ch) for ch in folded.replace("ou", "\0")).replace("\0", "u")
 
 
-@dataclass(frozen=True)
-class Token:
-    sent: int
-    clause: int
-    at: float
-    key: str
-    name: str
-
-
-def tokens(sents: list[str], lang: str) -> list[Token]:
-    """Words of a side in order; ``name`` is set where a capital stands within a sentence, or may be one at its start."""
-    out, at, clause = [], 0, 0
+@dataclass
+class Side:
+    """Words of one text in order: keys, whether each may be a name, its place, sentence and clause."""
+
+    lang: str
+    ids: list[int]
+    keys: list[str]
+    name: list[bool]
+    at: list[int]
+    sent: list[int]
+    clause: list[int]
+    length: int
+
+    def row(self) -> tuple:
+        nums = np.array([self.at, self.sent, self.clause, self.name], dtype=np.int32)
+        return self.lang, self.ids, "\n".join(self.keys), nums.tobytes(), self.length
+
+    @staticmethod
+    def of(lang: str | None, ids, keys: str, nums: bytes, length: int) -> Side:
+        at, sent, clause, name = np.frombuffer(nums, dtype=np.int32).reshape(4, -1).tolist()
+        return Side(lang, [] if ids is None else list(ids), keys.split("\n") if keys else [], name, at, sent, clause, int(length))
+
+
+def read(lang: str, ids: list[int], sents: list[str]) -> Side:
+    """``name`` is set where a capital stands within a sentence, or may be one at its start."""
+    out, at, clause = Side(lang, ids, [], [], [], [], [], 0), 0, 0
     for k, s in enumerate(sents):
         s = s or ""
         if not s.isascii():
@@ -80,13 +98,13 @@ def tokens(sents: list[str], lang: str) -> list[Token]:
             w = m[0]
             clause += bool(_BREAK.search(s, last, m.start()))
             last = m.end()
-            if w[0].isdigit():
-                out.append(Token(k, clause, at + m.start(), "#" + w, ""))
-                continue
-            f = fold(w)
-            name = (latin(f) if lang == "grc" else f) if w[0].isupper() and len(w) > 2 else ""
-            out.append(Token(k, clause, at + m.start(), f, name))
+            out.keys.append("#" + w if w[0].isdigit() else fold(w))
+            out.name.append(w[0].isupper() and len(w) > 2)
+            out.at.append(at + m.start())
+            out.sent.append(k)
+            out.clause.append(clause)
         at += len(s) + 1
+    out.length = at
     return out
 
 
@@ -95,6 +113,13 @@ class Lexicon:
     links: dict[tuple[str, str], dict[str, dict[str, float]]] = field(default_factory=dict)
     df: dict[str, dict[str, int]] = field(default_factory=dict)
     sents: dict[str, int] = field(default_factory=dict)
+    names: dict[str, set[str]] = field(default_factory=dict)
+    memo: dict[str, dict[str, float]] = field(default_factory=dict)
+
+    def add_word(self, lang: str, word: str, n: int, name: bool) -> None:
+        self.df.setdefault(lang, {})[word] = n
+        if name:
+            self.names.setdefault(lang, set()).add(word)
 
     def idf(self, lang: str, key: str) -> float:
         n = self.sents.get(lang, 0) + 1
@@ -104,6 +129,20 @@ class Lexicon:
         return not key.startswith("#") and self.df.get(lang, {}).get(key, 0) > FREQUENT * self.sents.get(lang, 1)
 
 
+def weights(side: Side, lex: Lexicon) -> list[float]:
+    """The weight of each word of a side; 0 for words too frequent to tell anything."""
+    memo = lex.memo.setdefault(side.lang, {})
+    out = []
+    for key in side.keys:
+        w = memo.get(key)
+        if w is None:
+            if len(memo) > 500_000:
+                memo.clear()
+            w = memo[key] = 0.0 if lex.stop(side.lang, key) else max(1e-6, lex.idf(side.lang, key))
+        out.append(w)
+    return out
+
+
 def _near(n: int, m: int) -> Iterator[tuple[int, int]]:
     """Sentence pairs about the diagonal of an n by m grid."""
     for i in range(n):
@@ -134,77 +173,155 @@ def chapters(chapter_refs: DataFrame, gsents: DataFrame) -> DataFrame:
     return c.join(g, "chapter_id", "left")
 
 
-def _sides(r) -> list[tuple[str, list, list, str, list, list]]:
-    """The two bitexts of a chapter row: original with the first translation, that with the second."""
+SIDES = ("a", "b", "c")
+CUT = "chapter_id long, " + ", ".join(f"{x}_lang string, {x}_ids array<long>, {x}_keys string, {x}_nums binary, {x}_length int" for x in SIDES)
 
-    def arr(x) -> list:
-        return [] if x is None else list(x)
 
-    a_lang = r.a_lang if isinstance(r.a_lang, str) else ("grc" if any("Ͱ" <= ch < "Ѐ" or "ἀ" <= ch < " " for s in arr(r.a)[:3] for ch in s) else "lat")
-    b_lang, c_lang = (x if isinstance(x, str) else "en" for x in (r.ross_lang, r.ref_lang))
-    a, b, c = (a_lang, arr(r.a_ids), arr(r.a)), ("1" + b_lang, arr(r.b_ids), arr(r.b)), ("2" + c_lang, arr(r.c_ids), arr(r.c))
-    return [(*x, *y) for x, y in ((a, b), (b, c)) if x[1] and y[1]]
+def cut_up(rows: DataFrame) -> DataFrame:
+    """Each chapter's three sides cut into words, once for all later passes."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def arr(x) -> list:
+            return [] if x is None else list(x)
 
-def learn(rows: DataFrame, glosses: DataFrame) -> Lexicon:
-    """Word links over all chapters, by log-likelihood ratio of joint occurrence in sentence pairs about the diagonal."""
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                a = arr(r.a)
+                told = r.a_lang if isinstance(r.a_lang, str) else "grc" if any("Ͱ" <= ch < "Ѐ" or "ἀ" <= ch < "\u2000" for s in a for ch in s) else "lat"
+                b_lang, c_lang = (x if isinstance(x, str) else "en" for x in (r.ross_lang, r.ref_lang))
+                sides = read(told, arr(r.a_ids), a), read("1" + b_lang, arr(r.b_ids), arr(r.b)), read("2" + c_lang, arr(r.c_ids), arr(r.c))
+                out.append((r.chapter_id, *(v for x in sides for v in x.row())))
+            yield pd.DataFrame(out, columns=["chapter_id", *(f"{x}_{c}" for x in SIDES for c in ("lang", "ids", "keys", "nums", "length"))])
 
-    def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    return rows.mapInPandas(run, CUT)
+
+
+def _bitexts(r) -> list[tuple[Side, Side]]:
+    """The two bitexts of a chapter row: original with the first translation, that with the second."""
+    a, b, c = (Side.of(*(getattr(r, f"{x}_{k}") for k in ("lang", "ids", "keys", "nums", "length"))) for x in SIDES)
+    return [(x, y) for x, y in ((a, b), (b, c)) if x.ids and y.ids]
+
+
+def _words(cuts: DataFrame) -> DataFrame:
+    """(la, w, n, caps): sentences that hold each word, and in how many it is capitalised; w = '' counts the sentences."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
             n: dict[str, Counter] = defaultdict(Counter)
-            for r in batch.itertuples():
-                for la, _, sa, lb, _, sb in _sides(r):
-                    for s, lang in ((sa, la), (sb, lb)):
-                        n[lang][""] += len(s)
-                        n[lang].update({(t.sent, t.key) for t in tokens(s, lang) if not t.key.startswith("#")})
-            flat: Counter = Counter()
-            for lang, c in n.items():
-                for k, v in c.items():
-                    flat[lang, k[1] if k else ""] += v
-            yield pd.DataFrame([(*k, v) for k, v in flat.items()], columns=["la", "w", "n"])
-
-    words = cut(rows.mapInPandas(count_words, "la string, w string, n long").groupBy("la", "w").agg(F.sum("n").alias("n")))
+            caps: dict[str, Counter] = defaultdict(Counter)
+            for r in b.itertuples():
+                for side in (x for two in _bitexts(r) for x in two):
+                    n[side.lang][""] += len(side.ids)
+                    held = {(k, key): c for k, key, c in zip(side.sent, side.keys, side.name) if key[0] != "#"}
+                    n[side.lang].update(key for _, key in held)
+                    caps[side.lang].update(key for (_, key), c in held.items() if c)
+            yield pd.DataFrame([(la, w, k, caps[la][w]) for la, c in n.items() for w, k in c.items()], columns=["la", "w", "n", "caps"])
+
+    return cuts.mapInPandas(run, "la string, w string, n long, caps long").groupBy("la", "w").agg(F.sum("n").alias("n"), F.sum("caps").alias("caps"))
+
+
+def _attach(cuts: DataFrame, words: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``cuts`` with the rows of the lexicon that each chapter needs: a chapter holds few words, whatever the lexicon's size."""
+    parts = [cuts.select("chapter_id", F.col(f"{x}_lang").alias("la"), F.explode(F.array_distinct(F.split(f"{x}_keys", "\n"))).alias("w")) for x in SIDES]
+    need = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("w <> ''")
+    own = need.join(words, ["la", "w"]).groupBy("chapter_id").agg(F.collect_list(F.struct("la", "w", "n", "name")).alias("own_words"))
+    out = cuts.join(own, "chapter_id", "left")
+    if links is not None:
+        hit = need.join(links, ["la", "w"]).join(need.select("chapter_id", F.col("la").alias("lb"), F.col("w").alias("v")), ["chapter_id", "lb", "v"], "left_semi")
+        out = out.join(hit.groupBy("chapter_id").agg(F.collect_list(F.struct("la", "lb", "w", "v", "s")).alias("own_links")), "chapter_id", "left")
+    return out
+
+
+@dataclass
+class Model:
+    """A lexicon held whole, or (``whole`` is false) tables to join with each chapter."""
+
+    lex: Lexicon
+    words: DataFrame
+    links: DataFrame | None = None
+    whole: bool = True
+
+    def rows(self, cuts: DataFrame) -> DataFrame:
+        return cuts if self.whole else _attach(cuts, self.words, self.links)
+
+
+def _few(df: DataFrame, limit: int) -> list | None:
+    try:
+        return bounded(df, limit, "rows")
+    except TooLarge:
+        return None
+
+
+def _own(r, lex: Lexicon) -> Lexicon:
+    """The lexicon of a row: the shared one, or that of the rows joined to it."""
+    if not hasattr(r, "own_words"):
+        return lex
+    out = Lexicon(sents=lex.sents)
+    for x in r.own_words if r.own_words is not None else ():
+        out.add_word(x["la"], x["w"], x["n"], x["name"])
+    for x in getattr(r, "own_links", None) if getattr(r, "own_links", None) is not None else ():
+        out.links.setdefault((x["la"], x["lb"]), {}).setdefault(x["w"], {})[x["v"]] = x["s"]
+    return out
+
+
+def learn(cuts: DataFrame, glosses: DataFrame) -> Model:
+    """Word links over all chapters, by log-likelihood ratio of joint occurrence in sentence pairs about the diagonal.
+
+    Words only ever written with a capital are names, which are told by their letters and
+    need no link; in a language where many types are so written, capitals mark no names.
+    """
+    spark = cuts.sparkSession
+    words = cut(_words(cuts))
     lex = Lexicon()
-    for r in words.where("w = ''").collect():
-        lex.sents[r["la"]] = r["n"]
-    total = words.where("w = ''").select("la", F.col("n").alias("total"))
-    # A word in one of a hundred thousand sentences, or more: rare ones need no count.
-    for r in bounded(words.where("w <> ''").join(F.broadcast(total), "la").where("n > 1 and n >= total / 1e5"), MOST_WORDS, "frequent words"):
-        lex.df.setdefault(r["la"], {})[r["w"]] = r["n"]
-    # Links are learned between words of one in twenty thousand sentences, three at least: names are told by their letters.
-    vocabulary = rows.sparkSession.sparkContext.broadcast({lang: {w for w, n in df.items() if n > 2 and n >= 5e-5 * lex.sents[lang]} for lang, df in lex.df.items()})
+    per = words.groupBy("la").agg(
+        F.sum(F.when(F.col("w") == "", F.col("n"))).alias("sents"),
+        F.sum((F.col("n") >= TYPES).cast("int")).alias("types"),
+        F.sum(((F.col("n") >= TYPES) & (F.col("caps") == F.col("n"))).cast("int")).alias("capital"),
+    )
+    marks = []
+    for r in per.collect():
+        lex.sents[r["la"]] = r["sents"] or 0
+        if r["capital"] <= CAPITALS * r["types"]:
+            marks.append(r["la"])
+    known = words.where("w <> '' and n > 1").select("la", "w", "n", ((F.col("caps") == F.col("n")) & F.col("la").isin(marks)).alias("name"))
+    rows = _few(known, MOST_WORDS)
+    for r in rows or ():
+        lex.add_word(r["la"], r["w"], r["n"], r["name"])
+    model = Model(lex, known, None, rows is not None)
+    shared = spark.sparkContext.broadcast(lex)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = vocabulary.value
         for batch in batches:
-            both: dict[tuple[str, str], Counter] = defaultdict(Counter)
-            left: dict[tuple[str, str], Counter] = defaultdict(Counter)
-            right: dict[tuple[str, str], Counter] = defaultdict(Counter)
-            total: Counter = Counter()
+            number: dict[str, int] = {}
+            jobs: dict[tuple[str, str], list[np.ndarray]] = defaultdict(list)
             for r in batch.itertuples():
-                for la, _, sa, lb, _, sb in _sides(r):
-                    ka, kb = ([set() for _ in s] for s in (sa, sb))
-                    for keys, s, lang in ((ka, sa, la), (kb, sb, lb)):
-                        for t in tokens(s, lang):
-                            if t.key in known.get(lang, ()):
-                                keys[t.sent].add(t.key)
-                    for i, j in _near(len(sa), len(sb)):
-                        total[la, lb] += 1
-                        left[la, lb].update(ka[i])
-                        right[la, lb].update(kb[j])
-                        both[la, lb].update(itertools.product(ka[i], kb[j]))
-            out = [(*k, "", "", n) for k, n in total.items()]
-            out += [(*k, w, "", n) for k, c in left.items() for w, n in c.items()]
-            out += [(*k, "", v, n) for k, c in right.items() for v, n in c.items()]
-            out += [(*k, w, v, n) for k, c in both.items() for (w, v), n in c.items()]
-            yield pd.DataFrame(out, columns=["la", "lb", "w", "v", "n"])
-
-    n = cut(rows.mapInPandas(run, "la string, lb string, w string, v string, n long").groupBy("la", "lb", "w", "v").agg(F.sum("n").alias("n")))
+                own = _own(r, shared.value)
+                for x, y in _bitexts(r):
+                    ids = []
+                    for side in (x, y):
+                        use: list[set] = [set() for _ in side.ids]
+                        df, names = own.df.get(side.lang, {}), own.names.get(side.lang, ())
+                        for k, key in zip(side.sent, side.keys):
+                            if df.get(key, 0) > 2 and key not in names:
+                                use[k].add(number.setdefault(key, len(number)))
+                        ids.append([np.array([-1, *sorted(u)], dtype=np.int64) + 1 for u in use])
+                    near = list(_near(len(x.ids), len(y.ids)))
+                    if near:
+                        # Number 0 stands for the sentence itself, so that its products count totals and single words.
+                        jobs[x.lang, y.lang].append(np.concatenate([((ids[0][i][:, None] << 32) + ids[1][j][None, :]).ravel() for i, j in near]))
+            back = ["", *number]
+            for (la, lb), parts in jobs.items():
+                code, n = np.unique(np.concatenate(parts), return_counts=True)
+                w, v = [back[k] for k in (code >> 32).tolist()], [back[k] for k in (code & 0xFFFFFFFF).tolist()]
+                yield pd.DataFrame({"la": la, "lb": lb, "w": w, "v": v, "n": n})
+
+    n = cut(model.rows(cuts).mapInPandas(run, "la string, lb string, w string, v string, n long").groupBy("la", "lb", "w", "v").agg(F.sum("n").alias("n")))
     keys = ["la", "lb"]
-    all_ = n.where("lb <> '' and w = '' and v = ''").select(*keys, F.col("n").alias("total"))
-    ws = n.where("lb <> '' and w <> '' and v = ''").select(*keys, "w", F.col("n").alias("nw"))
-    vs = n.where("lb <> '' and w = '' and v <> ''").select(*keys, "v", F.col("n").alias("nv"))
-    both = n.where("lb <> '' and w <> '' and v <> '' and n > 2")
+    all_ = n.where("w = '' and v = ''").select(*keys, F.col("n").alias("total"))
+    ws = n.where("w <> '' and v = ''").select(*keys, "w", F.col("n").alias("nw"))
+    vs = n.where("w = '' and v <> ''").select(*keys, "v", F.col("n").alias("nv"))
+    both = n.where("w <> '' and v <> '' and n > 2")
     both = both.join(F.broadcast(all_), keys).join(ws, [*keys, "w"]).join(vs, [*keys, "v"])
 
     def ll(k, m, p):
@@ -217,163 +334,202 @@ def learn(rows: DataFrame, glosses: DataFrame) -> Lexicon:
     scored = both.withColumn("llr", F.when(p1 > p2, llr).otherwise(0.0)).where(F.col("llr") > LINK_LLR)
     scored = scored.withColumn("best_w", F.max("llr").over(Window.partitionBy(*keys, "w"))).withColumn("best_v", F.max("llr").over(Window.partitionBy(*keys, "v")))
     kept = scored.where("llr >= 0.2 * best_w and llr >= 0.06 * best_v").select(*keys, "w", "v", (F.col("llr") / F.greatest("best_w", F.lit(1.0))).alias("s"))
-    for r in bounded(kept, MOST_LINKS, "word links"):
-        lex.links.setdefault((r["la"], r["lb"]), {}).setdefault(r["w"], {})[r["v"]] = float(r["s"])
-    for r in bounded(glosses.where("form is not null and gloss is not null").select("form", "lang", "gloss").distinct(), MOST_WORDS, "glosses"):
-        words = [fold(x) for x in _WORD.findall(r["gloss"])]
-        words = [x for x in words if len(x) > 2 and not lex.stop("1en", x)]
-        for f in [fold(x) for x in _WORD.findall(r["form"])]:
-            if lex.stop(r["lang"], f) or len(f) < 2:
-                continue
-            for v in words:
-                if r["lang"] in ("grc", "lat"):
-                    lex.links.setdefault((r["lang"], "1en"), {}).setdefault(f, {}).setdefault(v, 0.8)
-                else:
-                    lex.links.setdefault(("1en", "2" + r["lang"]), {}).setdefault(v, {}).setdefault(f, 0.8)
-    return lex
-
-
-def points(ta: list[Token], tb: list[Token], la: str, lb: str, lex: Lexicon) -> list[tuple[float, float, float, int, int]]:
-    """(x, y, weight, index of token a, index of token b)."""
-    links = lex.links.get((la, lb), {})
+    # The glosses are a table of fixed size.
+    told = []
+    for r in bounded(glosses.where("form is not null and lang is not null and gloss is not null").select("form", "lang", "gloss").distinct(), 1_000_000, "glosses"):
+        for f in {fold(x) for x in _WORD.findall(r["form"])}:
+            for v in {fold(x) for x in _WORD.findall(r["gloss"])}:
+                if len(f) > 1 and len(v) > 2:
+                    told.append((r["lang"], "1en", f, v, 0.8) if r["lang"] in ("grc", "lat") else ("1en", "2" + r["lang"], v, f, 0.8))
+    told = sorted(set(told))
+    listed = _few(kept, MOST_LINKS) if model.whole else None
+    if listed is None:
+        extra = spark.createDataFrame(told, "la string, lb string, w string, v string, s double")
+        model.links = cut(kept.unionByName(extra).groupBy("la", "lb", "w", "v").agg(F.max("s").alias("s")))
+        model.whole = False
+        return model
+    for la, lb, w, v, x in [*told, *((r["la"], r["lb"], r["w"], r["v"], float(r["s"])) for r in listed)]:
+        at = lex.links.setdefault((la, lb), {}).setdefault(w, {})
+        at[v] = max(x, at.get(v, 0.0))
+    return model
+
+
+Point = tuple[float, float, float, int, int]
+
+
+def points(a: Side, b: Side, lex: Lexicon, wa: list[float], wb: list[float]) -> list[Point]:
+    """(x, y, weight, index of word a, index of word b)."""
+    links = lex.links.get((a.lang, b.lang), {})
     by: dict[str, list[int]] = defaultdict(list)
     names: dict[str, list[int]] = defaultdict(list)
-    for k, t in enumerate(tb):
-        by[t.key].append(k)
-        if t.name:
-            names[t.name].append(k)
-    same = la[-2:] == lb[-2:]
+    for k, key in enumerate(b.keys):
+        if wb[k]:
+            by[key].append(k)
+            if b.name[k]:
+                names[key].append(k)
+    same = a.lang[-2:] == b.lang[-2:]
     out = []
-    for k, t in enumerate(ta):
-        if lex.stop(la, t.key):
+    for k, key in enumerate(a.keys):
+        if not wa[k]:
             continue
         hit: dict[int, float] = {}
-        if t.key.startswith("#") or same:
-            for q in by.get(t.key, ()):
+        if key[0] == "#" or same:
+            for q in by.get(key, ()):
                 hit[q] = 1.0
-        for v, s in links.get(t.key, {}).items():
-            if not lex.stop(lb, v):
-                for q in by.get(v, ()):
+        for v, s in links.get(key, {}).items():
+            if v in by:
+                for q in by[v]:
                     hit[q] = max(hit.get(q, 0.0), min(1.0, 0.5 + s / 2))
-        if t.name:
-            for q in names.get(t.name, ()):
+        if a.name[k]:
+            for q in names.get(latin(key) if a.lang == "grc" else key, ()):
                 hit[q] = 1.0
-        w = lex.idf(la, t.key)
         for q, s in hit.items():
-            out.append((t.at, tb[q].at, s * min(w, lex.idf(lb, tb[q].key)), k, q))
+            out.append((a.at[k], b.at[q], s * min(wa[k], wb[q]), k, q))
     return out
 
 
-def chains(pts: list[tuple[float, float, float, int, int]], width: float, height: float) -> list[tuple[float, float]]:
-    """The map: chains of points found by growing rectangles from the origin."""
+def tightest(pts: list[Point], ox: float, oy: float, slope: float, size: int, limit: float) -> list[Point]:
+    """The chain of ``size`` points, all in different rows and columns, that lies closest about a line of the slope.
+
+    [] where the least dispersal is above ``limit``. Points are taken in order of their
+    displacement from the slope line through (ox, oy), ties by place.
+    """
+    near = sorted((y - oy - slope * (x - ox), x, y, w, p, q) for x, y, w, p, q in pts)
+    best, chain = None, []
+    for k in range(len(near) - size + 1):
+        part = near[k : k + size]
+        mean = sum(v[0] for v in part) / size
+        spread_ = math.sqrt(sum((v[0] - mean) ** 2 for v in part) / size)
+        if spread_ <= limit and len({v[1] for v in part}) == size and len({v[2] for v in part}) == size:
+            key = spread_ + abs(mean) * 0.25
+            if best is None or key < best:
+                best, chain = key, part
+    return [(x, y, w, p, q) for _, x, y, w, p, q in chain]
+
+
+@dataclass
+class Chain:
+    """A chain's points and its rectangle, from the corner where the search began to the chain's own end."""
+
+    points: list[Point]
+    x0: float
+    y0: float
+    x1: float
+    y1: float
+    inverted: bool = False
+
+
+def chains(pts: list[Point], width: float, height: float) -> list[Chain]:
+    """Chains of points found by growing rectangles from the origin; a text's end takes what is left, from two points on."""
     slope = height / max(width, 1.0)
-    pts = sorted(set((x, y) for x, y, *_ in pts))
+    pts = sorted(pts)
     xs = [p[0] for p in pts]
-    ox = oy = 0.0
-    out: list[tuple[float, float]] = []
+    ox = oy = -1.0
+    out: list[Chain] = []
     while ox < width and oy < height:
-        size, found = 90.0, None
-        while found is None:
+        size, found = 90.0, []
+        while not found:
             lo, hi = bisect.bisect_right(xs, ox), bisect.bisect_right(xs, ox + size)
-            inside = [(x, y) for x, y in pts[lo:hi] if oy < y <= oy + size * slope]
-            rows, cols = Counter(y for _, y in inside), Counter(x for x, _ in inside)
+            inside = [p for p in pts[lo:hi] if oy < p[1] <= oy + size * slope]
+            rows, cols = Counter(p[1] for p in inside), Counter(p[0] for p in inside)
             # Points in crowded rows and columns are noise at this size.
-            quiet = [(x, y) for x, y in inside if rows[y] <= 2 and cols[x] <= 2]
-            near = sorted(quiet, key=lambda q: (q[1] - oy) - slope * (q[0] - ox))
-            best = None
-            for k in range(len(near) - CHAIN + 1):
-                part = near[k : k + CHAIN]
-                off = [(y - oy) - slope * (x - ox) for x, y in part]
-                mean = sum(off) / CHAIN
-                spread = math.sqrt(sum((v - mean) ** 2 for v in off) / CHAIN)
-                if len({x for x, _ in part}) < CHAIN or len({y for _, y in part}) < CHAIN:
-                    continue
-                key = (spread + abs(mean) * 0.25) / (size * slope)
-                if spread <= DISPERSAL * min(size * slope, 160.0) and (best is None or key < best[0]):
-                    best = (key, part)
-            if best:
-                found = best[1]
-            elif ox + size >= width and oy + size * slope >= height:
+            quiet = [p for p in inside if rows[p[1]] <= 2 and cols[p[0]] <= 2]
+            limit = DISPERSAL * min(size * slope, 160.0)
+            whole = ox + size >= width and oy + size * slope >= height
+            for k in range(CHAIN, (1 if whole else CHAIN - 1), -1):
+                if found := tightest(quiet, ox, oy, slope, k, limit):
+                    break
+            if whole and not found:
                 return out
             size *= 1.4
-        out += found
-        ex, ey = max(x for x, _ in found), max(y for _, y in found)
+        ex, ey = max(p[0] for p in found), max(p[1] for p in found)
+        out.append(Chain(found, ox, oy, ex, ey))
         ox, oy = ex, ey
     return out
 
 
-def _mapped(chain: list[tuple[float, float]], width: float, height: float) -> tuple[list[float], list[float]]:
-    """Monotone knots of the map through the chains' points."""
-    kx, ky = [0.0], [0.0]
-    for x, y in sorted(chain):
-        if x > kx[-1] and y >= ky[-1]:
-            kx.append(x)
-            ky.append(y)
-    kx.append(max(width, kx[-1] + 1))
-    ky.append(max(height, ky[-1] + 1))
-    return kx, ky
-
-
-def _at(kx: list[float], ky: list[float], x: float) -> float:
-    k = min(max(bisect.bisect_right(kx, x) - 1, 0), len(kx) - 2)
-    return ky[k] + (x - kx[k]) * (ky[k + 1] - ky[k]) / (kx[k + 1] - kx[k])
+def inversions(a: Side, b: Side, pts: list[Point], slope: float, held: set[tuple[int, int]]) -> list[Chain]:
+    """Chains beside the map: of two points or more in a rectangle of a clause by a clause that no chain's rectangle holds."""
+    by: dict[tuple[int, int], list[Point]] = defaultdict(list)
+    for p in pts:
+        cell = a.clause[p[3]], b.clause[p[4]]
+        if cell not in held:
+            by[cell].append(p)
+    out = []
+    for _, part in sorted(by.items()):
+        if len(part) < 2:
+            continue
+        x, y = min(p[0] for p in part), min(p[1] for p in part)
+        tall = max(slope * (max(p[0] for p in part) - x), max(p[1] for p in part) - y)
+        for k in range(min(CHAIN, len(part)), 1, -1):
+            if got := tightest(part, x, y, slope, k, DISPERSAL * min(max(tall, 40.0), 160.0)):
+                out.append(Chain(got, x, y, max(p[0] for p in got), max(p[1] for p in got), True))
+                break
+    return out
 
 
 ON_MAP, OFF_MAP, LEAST, FEW = 0.46, 0.5, 4.0, 0.85
 
 
-def align(sa: list[str], la: str, sb: list[str], lb: str, lex: Lexicon) -> list[tuple[int, int, float]]:
-    """Pairs of sentence indices with their score."""
-    ta, tb = tokens(sa, la), tokens(sb, lb)
-    pts = points(ta, tb, la, lb, lex)
-    width, height = sum(len(s or "") + 1 for s in sa), sum(len(s or "") + 1 for s in sb)
-    kx, ky = _mapped(chains(pts, width, height), width, height)
-    band = 1.5 * max(height / max(1, len(sb)), 40.0)
+def align(a: Side, b: Side, lex: Lexicon) -> list[tuple[int, int, float]]:
+    """Pairs of sentence indices with their score: blocks of the chains of a bitext."""
+    wa, wb = weights(a, lex), weights(b, lex)
+    pts = points(a, b, lex, wa, wb)
+    width, height = max(a.length, 1), max(b.length, 1)
+    slope = height / width
+    found = chains(pts, width, height)
+    if not found:
+        return []
+    # The clauses of a chain's rectangle, and those about its ends.
+    held: set[tuple[int, int]] = set()
+    for c in found:
+        ca = [a.clause[min(max(bisect.bisect_left(a.at, x), 0), len(a.at) - 1)] for x in (c.x0, c.x1)]
+        cb = [b.clause[min(max(bisect.bisect_left(b.at, y), 0), len(b.at) - 1)] for y in (c.y0, c.y1)]
+        held.update((i, j) for i in range(ca[0] - 1, ca[1] + 2) for j in range(cb[0] - 1, cb[1] + 2))
+    beside = {(a.clause[c.points[0][3]], b.clause[c.points[0][4]]) for c in inversions(a, b, pts, slope, held)}
     cells: dict[tuple[int, int], list] = defaultdict(list)
-    for x, y, w, p, q in pts:
-        cells[ta[p].clause, tb[q].clause].append((w, abs(y - _at(kx, ky, x)) <= band, p, q))
+    for _, _, w, p, q in pts:
+        cell = a.clause[p], b.clause[q]
+        if cell in held or cell in beside:
+            cells[cell].append((w, p, q))
     mass_a, mass_b = Counter(), Counter()
-    for t in ta:
-        if not lex.stop(la, t.key):
-            mass_a[t.clause] += lex.idf(la, t.key)
-    for t in tb:
-        if not lex.stop(lb, t.key):
-            mass_b[t.clause] += lex.idf(lb, t.key)
+    for side, mass, ws in ((a, mass_a, wa), (b, mass_b, wb)):
+        for w, c in zip(ws, side.clause):
+            mass[c] += w
     used_a: set[int] = set()
     used_b: set[int] = set()
 
-    def support(cell: tuple[int, int]) -> tuple[float, bool, list]:
-        got, near, seen_p, seen_q, pairs = 0.0, 0.0, set(), set(), []
-        for w, on, p, q in sorted(cells[cell], key=lambda v: (-v[0], v[2], v[3])):
-            if p in used_a or q in used_b or p in seen_p or q in seen_q:
-                continue
-            seen_p.add(p)
-            seen_q.add(q)
-            got += w
-            near += w * on
-            pairs.append((p, q))
-        return got, near >= 0.5 * got, pairs
-
-    def rate(cell: tuple[int, int]) -> tuple[float, float, bool, list]:
-        got, on, pairs = support(cell)
-        least = max(1e-9, min(mass_a[cell[0]], mass_b[cell[1]]))
-        return got / least * (1.0 if on else 0.85), got, on, pairs
-
-    import heapq
-
-    heap = [(-rate(c)[0] * math.sqrt(support(c)[0]), c) for c in sorted(cells)]
+    def rate(cell: tuple[int, int]) -> tuple[float, float, list]:
+        """The block's score, the weight of its points, and these: each word once, those that no other block holds."""
+        got, seen_p, seen_q, pairs = 0.0, set(), set(), []
+        for w, p, q in cells[cell]:
+            if p not in used_a and q not in used_b and p not in seen_p and q not in seen_q:
+                seen_p.add(p)
+                seen_q.add(q)
+                got += w
+                pairs.append((p, q))
+        return got / max(1e-9, min(mass_a[cell[0]], mass_b[cell[1]])) * (1.0 if cell in held else FEW), got, pairs
+
+    heap = []
+    for cell in sorted(cells):
+        most = sum(v[0] for v in cells[cell])
+        if most < LEAST or most < ON_MAP * min(mass_a[cell[0]], mass_b[cell[1]]) or len(cells[cell]) < 2:
+            continue  # even with all its points the block falls short
+        cells[cell].sort(key=lambda v: (-v[0], v[1], v[2]))
+        score, got, _ = rate(cell)
+        heap.append((-score * math.sqrt(got), cell))
     heapq.heapify(heap)
-    home_a, home_b = {t.clause: t.sent for t in ta}, {t.clause: t.sent for t in tb}
+    home_a, home_b = dict(zip(a.clause, a.sent)), dict(zip(b.clause, b.sent))
     best: dict[tuple[int, int], float] = {}
     while heap:
         was, c = heapq.heappop(heap)
-        score, got, on, pairs = rate(c)
+        score, got, pairs = rate(c)
         now = -score * math.sqrt(got)
         if now > was + 1e-9:
-            if got > 0:
+            if got >= LEAST:
                 heapq.heappush(heap, (now, c))
             continue
-        if score >= (ON_MAP if on else OFF_MAP) and got >= LEAST and (len(pairs) > 2 or len(pairs) == 2 and score >= FEW):
+        if score >= (ON_MAP if c in held else OFF_MAP) and got >= LEAST and (len(pairs) > 2 or len(pairs) == 2 and score >= FEW):
             pair = home_a[c[0]], home_b[c[1]]
             best[pair] = max(best.get(pair, 0.0), score)
             used_a.update(p for p, _ in pairs)
@@ -381,23 +537,23 @@ def align(sa: list[str], la: str, sb: list[str], lb: str, lex: Lexicon) -> list[
     return [(*k, v) for k, v in sorted(best.items())]
 
 
-def pairs(rows: DataFrame, lex: Lexicon) -> DataFrame:
+def pairs(cuts: DataFrame, model: Model) -> DataFrame:
     """(chapter_id, a, b, score) for the sentence pairs of both bitexts of each chapter."""
-    shared = rows.sparkSession.sparkContext.broadcast(lex)
+    shared = cuts.sparkSession.sparkContext.broadcast(model.lex)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = shared.value
         for batch in batches:
             out = []
             for r in batch.itertuples():
-                for la, ia, sa, lb, ib, sb in _sides(r):
-                    out += [(r.chapter_id, ia[i], ib[j], s) for i, j, s in align(sa, la, sb, lb, lexicon)]
+                lex = _own(r, shared.value)
+                for x, y in _bitexts(r):
+                    out += [(r.chapter_id, x.ids[i], y.ids[j], s) for i, j, s in align(x, y, lex)]
             yield pd.DataFrame(out, columns=["chapter_id", "a", "b", "score"])
 
-    return rows.mapInPandas(run, "chapter_id long, a long, b long, score double")
+    return model.rows(cuts).mapInPandas(run, "chapter_id long, a long, b long, score double")
 
 
 def found(chapter_refs: DataFrame, gsents: DataFrame, glosses: DataFrame) -> DataFrame:
     """(sent_a, sent_b): pairs of sentences of a chapter that render a statement in common, smaller id first."""
-    rows = cut(chapters(chapter_refs, gsents).repartition(64, "chapter_id"))
-    return pairs(rows, learn(rows, glosses)).select(F.least("a", "b").alias("sent_a"), F.greatest("a", "b").alias("sent_b")).distinct()
+    cuts = cut(cut_up(chapters(chapter_refs, gsents)))
+    return pairs(cuts, learn(cuts, glosses)).select(F.least("a", "b").alias("sent_a"), F.greatest("a", "b").alias("sent_b")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,12 +33,12 @@ def latest(df: DataFrame, key: str, stamp: str, columns: list[str]) -> DataFrame
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one of our own where none is named (tests)."""
+    """The shared folder that the cluster names; without one, a folder of our own where everything runs on one machine."""
     sc = spark.sparkContext
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf is None:
-        conf = sc.getCheckpointDir()
+    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if conf is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         conf = "file://" + os.path.join(tempfile.gettempdir(), "quire-checkpoints")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(conf)
@@ -51,9 +51,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
-    """Even out rows over the cores before Python work: inputs may come as one file."""
-    return df.repartition(*keys) if keys else df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def spread(df: DataFrame) -> DataFrame:
+    """Rows evened out before Python work where the input has fewer splits than there are cores; else the splits stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
 class TooLarge(RuntimeError):

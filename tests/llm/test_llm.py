@@ -283,6 +283,44 @@ def test_alignment_finds_moved_and_missing(spark):
     assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.97 * len(got)
 
 
+def test_pairs_come_from_chains_alone(spark, monkeypatch):
+    refs, gs, want = chapters(spark)
+    cuts = bitext.cut_up(bitext.chapters(refs, gs)).cache()
+    model = bitext.learn(cuts, spark.createDataFrame([], "form string, lang string, gloss string"))
+
+    def count():
+        return sum(len(bitext.align(x, y, model.lex)) for r in cuts.toPandas().itertuples() for x, y in bitext._bitexts(r))
+
+    whole = count()
+    monkeypatch.setattr(bitext, "inversions", lambda *_: [])
+    assert whole - 2 * 40 <= count() <= whole
+    monkeypatch.setattr(bitext, "chains", lambda *_: [])
+    assert count() == 0
+
+
+def test_a_lexicon_beyond_the_bound_is_joined(spark, monkeypatch):
+    refs, gs, _ = chapters(spark, 25)
+    gloss = spark.createDataFrame([("rex", "lat", "king")], "form string, lang string, gloss string")
+    whole = rows(bitext.found(refs, gs, gloss))
+    monkeypatch.setattr(bitext, "MOST_LINKS", 3)
+    assert rows(bitext.found(refs, gs, gloss)) == whole
+    monkeypatch.setattr(bitext, "MOST_WORDS", 3)
+    assert rows(bitext.found(refs, gs, gloss)) == whole
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=9, unique=True))
+def test_tightest_chain_equals_brute_force(cells):
+    pts = [(float(x), float(y), 1.0, x, y) for x, y in cells]
+    got = bitext.tightest(pts, 0.0, 0.0, 1.0, 3, 8.0)
+    near = sorted((y - x, x, y) for x, y in cells)
+    fit = [p for p in (near[k : k + 3] for k in range(len(near) - 2)) if len({x for _, x, _ in p}) == 3 == len({y for _, _, y in p}) and np.std([d for d, _, _ in p]) <= 8.0 + 1e-9]
+    assert bool(got) == bool(fit)
+    if got:
+        cost = [np.std([d for d, _, _ in p]) + abs(np.mean([d for d, _, _ in p])) / 4 for p in fit]
+        assert np.isclose(np.std([y - x for x, y, *_ in got]) + abs(np.mean([y - x for x, y, *_ in got])) / 4, min(cost))
+
+
 def test_alignment_of_nothing(spark):
     refs, gs, _ = chapters(spark, 2)
     gloss = spark.createDataFrame([], "form string, lang string, gloss string")
