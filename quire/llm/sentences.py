@@ -2,31 +2,35 @@
 
 First pass: for every type, how often it stands with and without a final period gives a
 log-likelihood ratio, scaled by length and inner periods; types above the threshold are
-abbreviations. Second pass: which words are usual in lower case (their capital marks a
-sentence start) and what follows each abbreviation, or each pair of a word and an
-initial; a log-likelihood ratio over the followers tells whether a name after it
-belongs to it (a collocation) or starts a sentence. Every period is then classified
-with these statistics; other signs, quotations, brackets, unspaced scripts and
+abbreviations, and which words are usual in lower case (their capital marks a sentence
+start). Second pass: a log-likelihood ratio of each word's rate behind sure breaks against
+its rate elsewhere gives the sentence starters. Third pass: what follows each
+abbreviation, or each pair of a word and an initial; a log-likelihood ratio over the
+followers tells whether a name after it belongs to it (a collocation) or starts a
+sentence. Every period is then classified with these statistics; other signs, quotations, brackets, unspaced scripts and
 inscriptions follow their own rules.
 """
 
 from __future__ import annotations
 
-import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded
+from .common import TooLarge, bounded, cut
 
 ABBREVIATION = 0.3
 ENOUGH = 500
 COLLOCATION = 7.88
+#: Ratio from which a word is a sentence starter; counted as from at most so many breaks, as the ratio grows with the corpus.
+STARTER, ENOUGH_BREAKS = 30.0, 20_000
+#: Up to these rows the statistics are sent to every task; beyond, each text gets the rows it needs by a join.
 MOST_STATS = 400_000
 
 # Signs.
@@ -79,12 +83,23 @@ class Model:
     starters: dict[str, set[str]] = field(default_factory=dict)
     words: dict[str, dict[str, float]] = field(default_factory=dict)
 
+    @staticmethod
+    def of(rows) -> Model:
+        """From rows (lang, kind, key, weight)."""
+        m = Model()
+        for r in rows:
+            if r["kind"] == "words":
+                m.words.setdefault(r["lang"], {})[r["key"]] = r["weight"]
+            else:
+                getattr(m, r["kind"]).setdefault(r["lang"], set()).add(r["key"])
+        return m
+
     def language(self, text: str, told: str | None) -> str:
         if (s := script(text)) is not None:
             return s
         if told and told not in (*CJK, "grc"):
             return told
-        seen = [word_type(w.strip(".,;:!?()“”\"'«»„")) for w in text.split()[:400]]
+        seen = [word_type(w.strip(".,;:!?()“”\"'«»„")) for w in text.split()]
         best = {lang: sum(p.get(w, 0.0) for w in seen) for lang, p in self.words.items()}
         return max(sorted(best), key=lambda k: best[k]) if best and max(best.values()) > 0 else (told or "")
 
@@ -183,38 +198,74 @@ def _count_context(lang: str, text: str, model: Model, out: Counter) -> None:
             out[lang, "plain", "", what] += 1
 
 
-def _counts(texts: DataFrame, one, state) -> DataFrame:
-    """Sums of ``one`` over all texts: counted by batch, then merged with a partial aggregate."""
+def _needs(text: str) -> set[str]:
+    """All keys under which the statistics of a text's words can stand."""
+    out, prev = set(), ""
+    for tok in [*text.split(), *(t for t, _, _ in tokens(visible(text)[0]))]:
+        core = _core(tok)
+        bare = core.rstrip(".")
+        out |= {word_type(bare), word_type(tok.strip(".,;:!?()“”\"'«»„")), _key(prev, bare) if bare else ""}
+        out |= {word_type(x) for x in (*core.split("."), core)}
+        prev = word_type(bare)
+    return out
+
+
+def _run(rows: DataFrame, table: DataFrame | None, one, schema: str) -> DataFrame:
+    """``one(batch, model of each row)`` over rows (id, lang, text), with the statistics of ``table`` (lang, kind, key, weight)."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+    rows = rows.select("id", "lang", "text")
+    try:
+        shared = rows.sparkSession.sparkContext.broadcast(Model.of(bounded(table, MOST_STATS, "statistics")) if table is not None else None)
+    except TooLarge:
+        shared = None
+        rows = rows.withColumn("h", F.xxhash64("text"))
+
+        def need(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame([(h, k) for h, t in zip(b["h"], b["text"]) for k in _needs(t) if k], columns=["h", "key"])
+
+        keys = rows.select("h", "text").mapInPandas(need, "h long, key string").distinct()
+        own = keys.join(table, "key").groupBy("h").agg(F.collect_list(F.struct("lang", "kind", "key", "weight")).alias("own"))
+        rows = rows.join(own, "h", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n: Counter = Counter()
-            for lang, text in zip(b["lang"], b["text"]):
-                told = lang if isinstance(lang, str) else None
-                known = (state.language(text, told) if state else script(text) or told)
-                if known and known not in CJK:
-                    one(known, text, state, n)
-            yield pd.DataFrame([(*map(str, k), v) for k, v in n.items()], columns=["lang", "kind", "a", "b", "n"])
+            models = repeat(shared.value) if shared is not None else (Model.of(x if x is not None else ()) for x in b["own"])
+            yield pd.DataFrame(one(b, models), columns=columns)
 
-    return texts.where("text <> ''").select("lang", "text").mapInPandas(run, "lang string, kind string, a string, b string, n long").groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n"))
+    return rows.mapInPandas(run, schema)
 
 
-def _ratio(k1: float, n1: float, k2: float, n2: float) -> float:
-    """Dunning's log-likelihood ratio of two binomials, signed: positive if the first rate is higher."""
+def _counts(texts: DataFrame, one, table: DataFrame | None) -> DataFrame:
+    """Sums of ``one`` over all texts: counted by batch, then merged with a partial aggregate."""
 
-    def ll(k: float, n: float, p: float) -> float:
-        return (k * math.log(p) if k else 0.0) + ((n - k) * math.log(1 - p) if n - k else 0.0)
+    def count(b: pd.DataFrame, models) -> list:
+        n: Counter = Counter()
+        for lang, text, model in zip(b["lang"], b["text"], models):
+            told = lang if isinstance(lang, str) else None
+            known = model.language(text, told) if model else script(text) or told
+            if known and known not in CJK:
+                one(known, text, model, n)
+        return [(*map(str, k), v) for k, v in n.items()]
 
-    if not n1 or not n2 or not k1 + k2 or k1 + k2 == n1 + n2:
-        return 0.0
-    p, p1, p2 = (k1 + k2) / (n1 + n2), k1 / n1, k2 / n2
-    return math.copysign(2 * (ll(k1, n1, p1) + ll(k2, n2, p2) - ll(k1, n1, p) - ll(k2, n2, p)), p1 - p2)
+    return _run(texts, table, count, "lang string, kind string, a string, b string, n long").groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n"))
+
+
+def _ratio(k1, n1, k2, n2):
+    """Dunning's log-likelihood ratio of two binomials as a column, signed: positive if the first rate is higher."""
 
+    def ll(k, n, p):
+        return F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(n - k > 0, (n - k) * F.log(1 - p)).otherwise(0.0)
+
+    p, p1, p2 = (k1 + k2) / (n1 + n2), k1 / n1, k2 / n2
+    ratio = 2 * (ll(k1, n1, p1) + ll(k2, n2, p2) - ll(k1, n1, p) - ll(k2, n2, p))
+    some = (n1 > 0) & (n2 > 0) & (k1 + k2 > 0) & (k1 + k2 < n1 + n2)
+    return F.when(~some, 0.0).when(p1 >= p2, ratio).otherwise(-ratio)
 
-def train(texts: DataFrame) -> Model:
-    """Statistics over all texts (lang, text); lang null where the script does not tell is left out of the first pass."""
-    from .common import cut
 
+def train(texts: DataFrame) -> DataFrame:
+    """Statistics (lang, kind, key, weight) over all texts (id, lang, text); texts of unknown language do not count in the first pass."""
+    texts = texts.where("text <> ''").select("id", "lang", "text")
     first = cut(_counts(texts, _count_types, None))
     both = first.where("kind in ('w', 'n')").groupBy("lang", "kind", "a").agg(
         F.sum(F.when(F.col("b") == "True", F.col("n")).otherwise(0)).alias("dot"), F.sum("n").alias("all")
@@ -230,48 +281,39 @@ def train(texts: DataFrame) -> Model:
     inner = F.length(F.regexp_replace("a", r"[^.]", ""))
     size = F.greatest(F.lit(1), F.length(F.regexp_replace("a", r"[.\p{M}]", "")))
     scored = w.withColumn("score", llr * F.exp(-size) * (inner + 1) * F.pow(size.cast("double"), -free.cast("double")))
-    model = Model()
-    for r in bounded(scored.where(F.col("score") >= ABBREVIATION).select("lang", "a"), MOST_STATS, "abbreviations"):
-        model.abbreviations.setdefault(r["lang"], set()).add(r["a"])
-    # Words usual in lower case: at least one in a million tokens, so at most a million of them.
+    one = F.lit(1.0)
+
+    def kind(name: str, df: DataFrame, weight=one) -> DataFrame:
+        return df.select("lang", F.lit(name).alias("kind"), F.col("a").alias("key"), weight.alias("weight"))
+
+    short = kind("abbreviations", scored.where(F.col("score") >= ABBREVIATION))
     case = first.where("kind in ('lower', 'upper')").groupBy("lang", "a").agg(
         F.sum(F.when(F.col("kind") == "lower", F.col("n")).otherwise(0)).alias("lower"), F.sum("n").alias("all")
     )
-    usual = case.join(F.broadcast(total.select("lang", "total")), "lang").where("lower >= 0.2 * all and lower > 1 and all >= total / 1e6")
-    for r in bounded(usual.select("lang", "a", "lower", "total"), MOST_STATS, "common words"):
-        model.common.setdefault(r["lang"], set()).add(r["a"])
-        if r["lower"] >= 1e-4 * r["total"]:
-            model.words.setdefault(r["lang"], {})[r["a"]] = r["lower"] / r["total"]
-    seen: dict[str, float] = {}
-    for p_ in model.words.values():
-        for k, v in p_.items():
-            seen[k] = seen.get(k, 0.0) + v
-    model.words = {lang: {k: v / seen[k] for k, v in p_.items()} for lang, p_ in model.words.items() if lang not in ("grc", *CJK)}
-    second = cut(_counts(texts, _count_starters, model))
-    breaks = second.where("kind = 'plain'").groupBy("lang").agg(F.sum("n").alias("breaks"))
-    for r in bounded(second.where("kind = 'starter'").join(F.broadcast(breaks), "lang").where("n >= 0.002 * breaks and n > 3").select("lang", "a"), MOST_STATS, "sentence starters"):
-        model.starters.setdefault(r["lang"], set()).add(r["a"])
-    third = cut(_counts(texts, _count_context, model))
-    base: dict[str, Counter] = {}
-    for r in third.where("kind = 'plain'").collect():
-        base.setdefault(r["lang"], Counter())[r["b"]] += r["n"]
-    after: dict[tuple[str, str], Counter] = {}
-    for r in bounded(third.where("kind = 'after' and n > 1").select("lang", "a", "b", "n"), MOST_STATS, "followers"):
-        after.setdefault((r["lang"], r["a"]), Counter())[r["b"]] += r["n"]
-    for (lang, a), c in after.items():
-        plain = base.get(lang, Counter())
-        names, starts, on = c["name"], c["start"], c["on"]
-        tied = _ratio(names, names + starts, plain["name"], plain["name"] + plain["start"]) >= COLLOCATION
-        if a.endswith(" 0"):
-            # A number: an ordinal only where names follow it far more than sentences do.
-            if tied and names > 5 * starts:
-                model.attached.setdefault(lang, set()).add(a)
-        elif tied or on and not starts:
-            model.attached.setdefault(lang, set()).add(a)
-        elif not on and lang in model.abbreviations and "." not in a:
-            # Only ever before a capital, as at any sentence's end: a word, not an abbreviation.
-            model.abbreviations[lang].discard(a)
-    return model
+    usual = case.join(F.broadcast(total.select("lang", "total")), "lang").where("lower >= 0.2 * all and lower > 1")
+    # Words that tell a language: one in ten thousand or more, each by its share among the languages.
+    telling = usual.where("lower >= 1e-4 * total").withColumn("rate", F.col("lower") / F.col("total"))
+    share = telling.withColumn("share", F.col("rate") / F.sum("rate").over(Window.partitionBy("a"))).where(~F.col("lang").isin("grc", *CJK))
+    table = cut(short.unionByName(kind("common", usual)).unionByName(kind("words", share, F.col("share"))))
+    second = cut(_counts(texts, _count_starters, table))
+    breaks = second.where("kind = 'plain'").groupBy("lang").agg(F.sum("n").alias("breaks")).join(total, "lang")
+    after = second.where("kind = 'starter'").groupBy("lang", "a").agg(F.sum("n").alias("n")).join(F.broadcast(breaks), "lang").join(both.where("kind = 'w'").select("lang", "a", "all"), ["lang", "a"])
+    n, b = F.col("n").cast("double"), F.col("breaks").cast("double")
+    lift = _ratio(n, b, F.greatest(F.col("all") - n, F.lit(0.0)), F.greatest(F.col("total") - b, F.lit(1.0)))
+    starters = after.where(lift * F.least(F.lit(1.0), ENOUGH_BREAKS / b) >= STARTER)
+    table = cut(table.unionByName(kind("starters", starters)))
+    third = cut(_counts(texts, _count_context, table))
+    what = [F.coalesce(F.sum(F.when(F.col("b") == x, F.col("n"))), F.lit(0)).cast("double").alias(x) for x in ("name", "start", "on")]
+    plain = third.where("kind = 'plain'").groupBy("lang").agg(*[x.alias(f"all_{y}") for x, y in zip(what, ("name", "start", "on"))])
+    ties = third.where("kind = 'after'").groupBy("lang", "a").agg(*what).join(F.broadcast(plain), "lang", "left").na.fill(0.0)
+    tied = _ratio(F.col("name"), F.col("name") + F.col("start"), F.col("all_name"), F.col("all_name") + F.col("all_start")) >= COLLOCATION
+    number = F.col("a").endswith(" 0")
+    # A number: an ordinal only where names follow it far more than sentences do.
+    held = F.when(number, tied & (F.col("name") > 5 * F.col("start"))).otherwise((tied & (F.col("name") > F.col("start"))) | ((F.col("on") > 0) & (F.col("start") == 0) & (F.col("name") <= F.col("on"))))
+    ties = cut(ties.select("lang", "a", "on", held.alias("held")))
+    # Only ever before a capital, as at any sentence's end: a word, not an abbreviation.
+    words = ties.where("not held and on = 0 and not endswith(a, ' 0') and not contains(a, '.')").select("lang", F.lit("abbreviations").alias("kind"), F.col("a").alias("key"))
+    return cut(table.join(words, ["lang", "kind", "key"], "left_anti").unionByName(kind("attached", ties.where("held"))))
 
 
 def _pairs(s: str, lang: str) -> dict[int, int]:
@@ -456,21 +498,17 @@ def split(text: str, lang: str | None, model: Model) -> list[tuple[int, int]]:
     return out
 
 
-def units(rows: DataFrame, model: Model) -> DataFrame:
+def units(rows: DataFrame, table: DataFrame) -> DataFrame:
     """(id, unit_no, unit_start, unit_end) of rows (id, lang, text).
 
     Null, empty and blank texts have no unit; a text without any stop is one. A null
     language is told from script and common words. Each text is split by itself.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for b in batches:
-            out = [(i, k, u, v) for i, lang, text in zip(b["id"], b["lang"], b["text"]) for k, (u, v) in enumerate(split(text, lang if isinstance(lang, str) else None, m))]
-            yield pd.DataFrame(out, columns=["id", "unit_no", "unit_start", "unit_end"])
+    def cut_up(b: pd.DataFrame, models) -> list:
+        return [(i, k, u, v) for i, lang, text, m in zip(b["id"], b["lang"], b["text"], models) for k, (u, v) in enumerate(split(text, lang if isinstance(lang, str) else None, m))]
 
-    return rows.where("id is not null and text <> ''").select("id", "lang", "text").mapInPandas(run, "id long, unit_no int, unit_start int, unit_end int")
+    return _run(rows.where("id is not null and text <> ''"), table, cut_up, "id long, unit_no int, unit_start int, unit_end int")
 
 
 def gsent_rows(gsents: DataFrame) -> DataFrame:
@@ -480,7 +518,5 @@ def gsent_rows(gsents: DataFrame) -> DataFrame:
 
 
 def found(gsents: DataFrame) -> DataFrame:
-    from .common import cut
-
     rows = cut(gsent_rows(gsents))
     return units(rows, train(rows)).select(F.col("id").alias("sent_id"), "unit_start", "unit_end")

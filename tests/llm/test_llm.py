@@ -158,6 +158,36 @@ def test_units_of_odd_rows(spark):
     assert sentences.units(df.limit(0), sentences.train(df.limit(0))).count() == 0
 
 
+def sample_texts(n=400):
+    rng = random.Random(8)
+    names, nouns = ["Bo", "Tamo", "Kesir", "Lurok"], ["ship", "wall", "wine", "river", "sailor"]
+    out = []
+    for i in range(n):
+        a, b = rng.choice(nouns), rng.choice(nouns)
+        out.append((i, rng.choice(["en", None]), rng.choice([f"The {a} left. The {b} came, etc. The wall stood.", f"Dr. {rng.choice(names)} saw the {a}. He sold the {b} (cf. fr. {i}).", f"They met Dr. {rng.choice(names)} at the {a}. The {b} was the {a}."])))
+    return out
+
+
+def test_statistics_are_learned(spark):
+    df = spark.createDataFrame(sample_texts(), "id long, lang string, text string")
+    m = sentences.Model.of(sentences.train(df).collect())
+    assert {"dr", "etc"} <= m.abbreviations["en"] and not {"ship", "wall"} & m.abbreviations["en"]
+    assert {"the", "he"} <= m.starters["en"] and not {"ship", "river"} & m.starters["en"]
+    assert "dr" in m.attached["en"] and "etc" not in m.attached["en"]
+
+
+def test_statistics_beyond_the_bound_are_joined(spark, monkeypatch):
+    df = spark.createDataFrame(sample_texts(120), "id long, lang string, text string")
+    whole = rows(sentences.units(df, sentences.train(df)))
+    monkeypatch.setattr(sentences, "MOST_STATS", 2)
+    assert rows(sentences.units(df, sentences.train(df))) == whole
+
+
+def test_language_is_told_from_all_words():
+    m = sentences.Model(words={"en": {"sailor": 1.0}, "fr": {"navire": 1.0}})
+    assert m.language("Bo " * 500 + "navire navire sailor", None) == "fr"
+
+
 # 4: turns
 
 ROSTER = [(1, 1, "Rekero"), (1, 2, "Young Seroran"), (1, 3, "Dudake of Mosa")]
