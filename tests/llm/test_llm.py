@@ -164,7 +164,7 @@ def sample_texts(n=400):
     out = []
     for i in range(n):
         a, b = rng.choice(nouns), rng.choice(nouns)
-        out.append((i, rng.choice(["en", None]), rng.choice([f"The {a} left. The {b} came, etc. The wall stood.", f"Dr. {rng.choice(names)} saw the {a}. He sold the {b} (cf. fr. {i}).", f"They met Dr. {rng.choice(names)} at the {a}. The {b} was the {a}."])))
+        out.append((i, rng.choice(["en", None]), rng.choice([f"The {a} left. The {b} came, etc. {rng.choice(['The wall stood', 'as the wall stood'])}.", f"Dr. {rng.choice(names)} saw the {a}. He sold the {b} (cf. fr. {i}).", f"They met Dr. {rng.choice(names)} at the {a}. The {b} was the {a}."])))
     return out
 
 
