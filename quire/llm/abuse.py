@@ -4,16 +4,16 @@ Readers mark whole documents, and err. Token labels for training are found in tw
 log-likelihood ratios of word sequences in marked against clean documents point to the
 sentences that carry a mark, and the field trained on these labels relabels the
 sentences of its own sample (a marked document in which nothing stands out stays clean).
-Forward-backward marginals of the tokens are aggregated to scores and offsets.
+The field is fitted in tasks over shards of the sample, whose weights are mixed after
+each pass. Forward-backward marginals of the tokens are aggregated to scores and offsets.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,15 +23,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded
+from .common import TooLarge, bounded, cut, spread
 from .lookalike import LOOKALIKES
 
 CATEGORIES = ("abuse", "hate", "sexual")
 TAGS = ("none", *CATEGORIES)
 #: Bounds of the training sample: documents with a mark of a category, and documents marked "none".
-MARKED, CLEAN, COPIES = 3000, 12000, 8
-ROUNDS, EPOCHS, BITS, LONGEST, WINDOW = 2, 5, 18, 160, 6
-SIGNIFICANT, SHARE, USUAL = 1.5, 0.5, 0.03
+MARKED, CLEAN = 3000, 6000
+#: Documents of the sample in each shard that a task fits: with fewer, the mixed weights need many more passes.
+SHARD = 2000
+ROUNDS, EPOCHS, BITS, WINDOW = 2, 8, 18, 6
+SIGNIFICANT, SHARE = 1.5, 0.5
+#: Up to so many word sequences are sent to every task to count them alone; beyond, all are counted and joined.
+MOST_SEQUENCES = 500_000
 THRESHOLD = 0.5
 
 _CYRILLIC = str.maketrans({k: v for k, v in LOOKALIKES.items() if "Ѐ" <= k < "Ԁ"})
@@ -60,22 +64,30 @@ def skeleton(w: str) -> str:
 
 
 def sentences(text: str) -> Iterator[tuple[int, list[tuple[str, int, int]]]]:
-    """(start, tokens with offsets) of each sentence, or of each stretch of LONGEST tokens of a longer one."""
+    """(start, tokens with offsets) of each sentence."""
     at = 0
     for m in [*_SENTENCE.finditer(text), None]:
         end = m.start() if m else len(text)
         if end > at:
-            toks = [(t[0], t.start(), t.end()) for t in _TOKEN.finditer(text, at, end)]
-            for k in range(0, len(toks), LONGEST):
-                yield at, toks[k : k + LONGEST]
+            yield at, [(t[0], t.start(), t.end()) for t in _TOKEN.finditer(text, at, end)]
         at = m.end() if m else end
 
 
 def _hash(s: str) -> int:
-    return zlib.crc32(s.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+    return zlib.crc32(s.encode("utf-8", "surrogatepass"))
+
+
+def _mixed(a: np.ndarray, b: np.ndarray | int, kind: int) -> np.ndarray:
+    """Bins of pairs of hashes, apart for each kind of feature."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + np.asarray(b, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(kind * 0x165667B19E3779F9 % (1 << 64))
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 class Featurizer:
+    """Bins of the features of each token: its forms and shape, and the words and pairs of words about it."""
+
     def __init__(self) -> None:
         self.words: dict[str, tuple] = {}
 
@@ -85,22 +97,34 @@ class Featurizer:
             w = normal(raw)
             k = skeleton(w)
             shape = "U" if len(raw) > 2 and raw.isupper() else "C" if raw[:1].isupper() else "d" if raw.isdigit() else "l" if raw[:1].isalpha() else "p"
-            got = (w, [_hash("w:" + w), _hash("k:" + (k if len(k) > 2 else w)), _hash("p:" + w[:4]), _hash("s:" + w[-4:]), _hash("h:" + shape)])
+            got = tuple(map(_hash, (w, k if len(k) > 2 else w, w[:4], w[-4:], shape)))
             if len(self.words) > 300_000:
                 self.words.clear()
             self.words[raw] = got
         return got
 
-    def rows(self, toks: list[tuple[str, int, int]]) -> list[list[int]]:
-        ws = [self.word(t[0]) for t in toks]
-        n, out = len(ws), []
-        for i, (w, own) in enumerate(ws):
-            a = ws[i - 1][0] if i else "<"
-            b = ws[i + 1][0] if i + 1 < n else ">"
-            aa = ws[i - 2][0] if i > 1 else "<"
-            bb = ws[i + 2][0] if i + 2 < n else ">"
-            out.append([*own, _hash("-1:" + a), _hash("+1:" + b), _hash("-2:" + aa), _hash("+2:" + bb), _hash(f"-1|0:{a}|{w}"), _hash(f"0|+1:{w}|{b}"), _hash(f"-2|-1:{aa}|{a}"), _hash(f"+1|+2:{b}|{bb}")])
-        return out
+    def rows(self, sents: list[list[tuple[str, int, int]]]) -> list[np.ndarray]:
+        """(tokens, WIDTH) of each sentence."""
+        if not sents:
+            return []
+        lengths = np.array([len(t) for t in sents])
+        own = np.array([self.word(t[0]) for toks in sents for t in toks], dtype=np.uint64).reshape(-1, 5)
+        n = len(own)
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        left = np.arange(n) - np.repeat(starts, lengths)
+        right = np.repeat(lengths, lengths) - 1 - left
+        w = own[:, 0]
+
+        def at(k: int) -> np.ndarray:
+            """The word k places on; beyond the sentence 1 before it and 2 behind it."""
+            inside = (left >= -k) if k < 0 else (right >= k)
+            return np.where(inside, np.roll(w, -k), np.uint64(1 if k < 0 else 2))
+
+        a, aa, b, bb = at(-1), at(-2), at(1), at(2)
+        out = np.stack(
+            [*(_mixed(own[:, c], 0, c) for c in range(5)), _mixed(a, 0, 5), _mixed(b, 0, 6), _mixed(aa, 0, 7), _mixed(bb, 0, 8), _mixed(a, w, 9), _mixed(w, b, 10), _mixed(aa, a, 11), _mixed(b, bb, 12)], axis=1
+        )
+        return np.split(out, np.cumsum(lengths)[:-1])
 
 
 WIDTH = 13
@@ -162,45 +186,90 @@ def _pad(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return feats, mask
 
 
-def fit(feats: list[np.ndarray], tags: list[np.ndarray], weight: np.ndarray, seed: int = 1) -> Field:
-    """Maximum likelihood with AdaGrad over batches of sentences of like length.
-
-    Features that the sample holds once are left out: their weights stay 0.
-    """
+def epoch(model: Field, past: Field, feats: list[np.ndarray], tags: list[np.ndarray], weight: np.ndarray, seed: int) -> None:
+    """One pass of AdaGrad (``past`` holds its sums of squares) over batches of sentences of like length."""
     k = len(TAGS)
-    counts = np.zeros(1 << BITS, dtype=np.int32)
-    for x in feats:
-        np.add.at(counts, x.ravel(), 1)
+    groups = list(_batches(np.array([len(x) for x in feats]), 12_000))
+    for g in np.random.default_rng(seed).permutation(len(groups)):
+        rows = groups[g]
+        f, mask = _pad([feats[i] for i in rows])
+        gold, seen = np.zeros((*mask.shape, k), dtype=np.float32), np.zeros((k, k))
+        for r, i in enumerate(rows):
+            gold[r, np.arange(len(tags[i])), tags[i]] = 1.0
+            np.add.at(seen, (tags[i][:-1], tags[i][1:]), 1.0)
+        hit, at = np.unique(f[mask], return_inverse=True)
+        at = at.ravel()
+        marg, pair, _ = model.marginals(f, mask)
+        diff = ((gold - marg) * weight[rows][:, None, None])[mask]
+        grad = np.stack([np.bincount(at, np.repeat(diff[:, c], WIDTH), minlength=len(hit)) for c in range(k)], axis=1)
+        part = grad - 1e-3 * model.emit[hit]
+        part[hit == 0] = 0.0
+        past.emit[hit] += part * part
+        model.emit[hit] += 0.25 * part / np.sqrt(past.emit[hit])
+        part = seen - pair
+        past.move += part * part
+        model.move += 0.1 * part / np.sqrt(past.move)
+
+
+def fit(rows: DataFrame, seed: int = 1) -> Field:
+    """Maximum likelihood over rows (feats binary, tag int, weight double), each partition a shard.
+
+    Each pass starts from the mixed weights of all shards: a feature's change is the mean
+    over the shards that hold it. Features that the sample holds once are left out.
+    """
+    k, size = len(TAGS), 1 << BITS
+    spark = rows.sparkSession
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(size, dtype=np.int32)
+        for b in batches:
+            for x in b["feats"]:
+                n += np.bincount(np.frombuffer(x, dtype=np.int32), minlength=size).astype(np.int32)
+        yield pd.DataFrame({"n": [n.tobytes()]})
+
+    counts = np.zeros(size, dtype=np.int64)
+    for r in rows.select("feats").mapInPandas(counted, "n binary").collect():
+        counts += np.frombuffer(r["n"], dtype=np.int32)
     ids = np.flatnonzero(counts > 1)
-    dense = np.zeros(1 << BITS, dtype=np.int32)
+    dense = np.zeros(size, dtype=np.int32)
     dense[ids] = np.arange(1, len(ids) + 1)
-    size = len(ids) + 1
-    feats = [dense[x] for x in feats]
-    model = Field(np.zeros((size, k)), np.zeros((k, k)))
-    g_emit, g_move = np.full((size, k), 1e-6), np.full((k, k), 1e-6)
-    rng = np.random.default_rng(seed)
-    groups = list(_batches(np.array([len(x) for x in feats]), 12_000))
-    for _ in range(EPOCHS):
-        for g in rng.permutation(len(groups)):
-            rows = groups[g]
-            f, mask = _pad([feats[i] for i in rows])
-            gold, seen = np.zeros((*mask.shape, k), dtype=np.float32), np.zeros((k, k))
-            for r, i in enumerate(rows):
-                gold[r, np.arange(len(tags[i])), tags[i]] = 1.0
-                np.add.at(seen, (tags[i][:-1], tags[i][1:]), 1.0)
-            hit, at = np.unique(f[mask], return_inverse=True)
-            at = at.ravel()
-            marg, pair, _ = model.marginals(f, mask)
-            diff = ((gold - marg) * weight[rows][:, None, None])[mask]
-            grad = np.stack([np.bincount(at, np.repeat(diff[:, c], WIDTH), minlength=len(hit)) for c in range(k)], axis=1)
-            part = grad - 1e-3 * model.emit[hit]
-            part[hit == 0] = 0.0
-            g_emit[hit] += part * part
-            model.emit[hit] += 0.25 * part / np.sqrt(g_emit[hit])
-            part = seen - pair
-            g_move += part * part
-            model.move += 0.1 * part / np.sqrt(g_move)
-    full = np.zeros((1 << BITS, k))
+    numbers = spark.sparkContext.broadcast(dense)
+    model, past = (Field(np.full((len(ids) + 1, k), v), np.full((k, k), v)) for v in (0.0, 1e-6))
+    for turn in range(EPOCHS):
+        shared = spark.sparkContext.broadcast((model, past))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            feats, tags, weight = [], [], []
+            for b in batches:
+                for x, t, w in zip(b["feats"], b["tag"], b["weight"]):
+                    feats.append(numbers.value[np.frombuffer(x, dtype=np.int32)].reshape(-1, WIDTH))
+                    tags.append(np.full(len(feats[-1]), t, dtype=np.int8))
+                    weight.append(w)
+            if not feats:
+                return
+            was, sums = shared.value
+            new, after = Field(was.emit.copy(), was.move.copy()), Field(sums.emit.copy(), sums.move.copy())
+            epoch(new, after, feats, tags, np.array(weight), seed + turn)
+            hit = np.unique(np.concatenate([x.ravel() for x in feats]))
+            blobs = (hit.astype(np.int32), (new.emit - was.emit)[hit], (after.emit - sums.emit)[hit], new.move - was.move, after.move - sums.move)
+            yield pd.DataFrame([[x.tobytes() for x in blobs]], columns=["hit", "emit", "emit2", "move", "move2"])
+
+        n, n_all = np.zeros((len(ids) + 1, 1)), 0
+        emit, emit2, move, move2 = np.zeros_like(model.emit), np.zeros_like(model.emit), np.zeros((k, k)), np.zeros((k, k))
+        for r in rows.mapInPandas(run, "hit binary, emit binary, emit2 binary, move binary, move2 binary").collect():
+            hit = np.frombuffer(r["hit"], dtype=np.int32)
+            n[hit] += 1
+            n_all += 1
+            for into, name in ((emit, "emit"), (emit2, "emit2")):
+                into[hit] += np.frombuffer(r[name]).reshape(-1, k)
+            move += np.frombuffer(r["move"]).reshape(k, k)
+            move2 += np.frombuffer(r["move2"]).reshape(k, k)
+        if not n_all:
+            break
+        model = Field(model.emit + emit / np.maximum(n, 1), model.move + move / n_all)
+        past = Field(past.emit + emit2 / np.maximum(n, 1), past.move + move2 / n_all)
+        shared.destroy()
+    full = np.zeros((size, k), dtype=np.float32)
     full[ids] = model.emit[1:]
     return Field(full, model.move)
 
@@ -239,136 +308,121 @@ def votes(labels: DataFrame) -> DataFrame:
     return one.groupBy("doc_id").agg(*[F.count(F.when(F.col("category") == c, 1)).alias(c) for c in TAGS])
 
 
-def sample(documents: DataFrame, labels: DataFrame) -> list[tuple[str, dict[str, int]]]:
-    """Up to MARKED marked and CLEAN clean documents, chosen by a hash of the id, with their votes."""
+SAMPLE = "doc_id long, no int, marked boolean, abuse double, hate double, sexual double, feats binary, grams array<string>"
+
+
+def sample(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """(sentences, number of shards) of up to MARKED marked and CLEAN clean documents, chosen by a hash of the id, with the shares of their marks."""
     v = votes(labels)
     pick = F.xxhash64("doc_id")
     marked = v.where("abuse + hate + sexual > 0").orderBy(pick, "doc_id").limit(MARKED)
     clean = v.where("abuse + hate + sexual = 0").orderBy(pick, "doc_id").limit(CLEAN)
-    docs = documents.select("doc_id", "text").where("text <> ''").dropDuplicates(["doc_id"])
-    rows = marked.unionByName(clean).join(docs, "doc_id").orderBy("doc_id")
-    return [(r["text"], {c: r[c] for c in TAGS}) for r in rows.collect()]
+    picked = cut(marked.unionByName(clean))
+    shards = -(-max(1, picked.count()) // SHARD)
+    docs = documents.select("doc_id", "text").where("text <> ''").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = Featurizer()
+        for b in batches:
+            out = []
+            for d, text, *n in zip(b["doc_id"], b["text"], *(b[c] for c in (*CATEGORIES, "none"))):
+                toks = [t for _, t in sentences(text) if t]
+                on = sum(n[:3]) > 0
+                share = [x / max(1, sum(n)) for x in n[:3]]
+                out += [(d, k, on, *share, x.tobytes(), sorted(grams(t)) if on else []) for k, (t, x) in enumerate(zip(toks, f.rows(toks)))]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SAMPLE.split(", ")])
 
+    return docs.mapInPandas(run, SAMPLE), shards
 
-def occurrences(documents: DataFrame, labels: DataFrame, wanted: set[str]) -> tuple[float, float, dict[str, tuple[float, float]]]:
-    """Over all labelled documents: marked and clean ones, and how many of each hold each wanted word sequence.
+
+def occurrences(documents: DataFrame, labels: DataFrame, wanted: DataFrame) -> tuple[float, float, DataFrame]:
+    """Over all labelled documents: marked and clean ones, and (g, m, c) how many of each hold each wanted word sequence.
 
     A document counts as marked by the share of its readers who marked it.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(wanted)
+    try:
+        shared = documents.sparkSession.sparkContext.broadcast({r["g"] for r in bounded(wanted.select("g"), MOST_SEQUENCES, "word sequences")})
+    except TooLarge:
+        shared = None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keep = shared.value
         for b in batches:
             n: dict[str, float] = defaultdict(float)
             m: dict[str, float] = defaultdict(float)
             for t, share in zip(b["text"], b["share"]):
-                for g in {""}.union(*[grams(toks) & keep for _, toks in sentences(t)]):
+                for g in {""}.union(*[grams(toks) & shared.value if shared is not None else grams(toks) for _, toks in sentences(t)]):
                     n[g] += 1.0
                     m[g] += share
             yield pd.DataFrame([(g, m[g], n[g] - m[g]) for g in n], columns=["g", "m", "c"])
 
     v = votes(labels).select("doc_id", ((F.col("abuse") + F.col("hate") + F.col("sexual")) / (F.col("abuse") + F.col("hate") + F.col("sexual") + F.col("none"))).alias("share"))
-    rows = documents.where("text <> ''").select("doc_id", "text").join(v, "doc_id").select("text", "share").repartition(64)
-    sums = rows.mapInPandas(run, "g string, m double, c double").groupBy("g").agg(F.sum("m").alias("m"), F.sum("c").alias("c")).collect()
-    counts = {r["g"]: (r["m"], r["c"]) for r in sums}
-    return (*counts.pop("", (0.0, 0.0)), counts)
+    rows = spread(documents.where("text <> ''").select("doc_id", "text")).join(v, "doc_id").select("text", "share")
+    sums = cut(rows.mapInPandas(run, "g string, m double, c double").groupBy("g").agg(F.sum("m").alias("m"), F.sum("c").alias("c")))
+    all_ = sums.where("g = ''").first()
+    return (all_["m"], all_["c"], sums) if all_ else (0.0, 0.0, sums)
+
 
+def _llr(k1, n1: float, k2, n2: float):
+    """Log-likelihood ratio of a higher first rate, as a column; 0 where it is not higher."""
 
-def _llr(k1: float, n1: float, k2: float, n2: float) -> float:
-    def ll(k: float, n: float, p: float) -> float:
-        return (k * math.log(p) if k else 0.0) + ((n - k) * math.log(1 - p) if n - k else 0.0)
+    def ll(k, n, p):
+        return F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(n - k > 0, (n - k) * F.log(1 - p)).otherwise(0.0)
 
-    if n1 <= 0 or n2 <= 0 or k1 + k2 <= 0 or k1 + k2 >= n1 + n2 or k1 / n1 <= k2 / n2:
-        return 0.0
+    n1, n2 = F.lit(float(n1)), F.lit(float(n2))
     p = (k1 + k2) / (n1 + n2)
-    return 2 * (ll(k1, n1, k1 / n1) + ll(k2, n2, k2 / n2) - ll(k1, n1, p) - ll(k2, n2, p))
+    ratio = 2 * (ll(k1, n1, k1 / n1) + ll(k2, n2, k2 / n2) - ll(k1, n1, p) - ll(k2, n2, p))
+    return F.when((n1 <= 0) | (n2 <= 0) | (k1 + k2 <= 0) | (k1 + k2 >= n1 + n2) | (k1 / n1 <= k2 / n2), 0.0).otherwise(ratio)
+
+
+def _weight(tag):
+    """Sentences of clean documents are sure; those of marked ones may be wrongly left."""
+    return F.when(F.col("marked") & (tag == 0), 0.6).otherwise(1.0)
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Field | None:
     """The field, or None where no document is marked."""
-    docs = sample(documents, labels)
-    votes_ = [v for _, v in docs]
-    strength = {c: [v[c] / max(1, sum(v.values())) for v in votes_] for c in CATEGORIES}
-    is_marked = [any(v[c] for c in CATEGORIES) for v in votes_]
-    if not any(is_marked):
+    seqs, shards = sample(documents, labels)
+    seqs = cut(seqs)
+    held = seqs.where("marked").select("doc_id", "no", *CATEGORIES, F.explode("grams").alias("g"))
+    wanted = cut(
+        held.select("doc_id", *CATEGORIES, "g").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("docs"), *[F.sum(c).alias(f"by_{c}") for c in CATEGORIES]).where("docs > 1")
+    )
+    n = wanted.count()
+    if not n and not seqs.where("marked").limit(1).count():
         return None
-    # Texts are cut anew in each pass: the driver holds neither tokens nor word sequences of the sample.
-    seen_in: Counter = Counter()
-    in_docs: dict[str, list[int]] = defaultdict(list)
-    for d, (text, _) in enumerate(docs):
-        words: set[str] = set()
-        sequences: set[str] = set()
-        for _, toks in sentences(text):
-            words.update(normal(t[0]) for t in toks)
-            if is_marked[d]:
-                sequences |= grams(toks)
-        seen_in.update(words)
-        for x in sequences:
-            in_docs[x].append(d)
-    in_docs = {x: ds for x, ds in in_docs.items() if len(ds) > 1}
-    usual = {w for w, n in seen_in.items() if n >= USUAL * len(docs)}
-    del seen_in
-    # Sequences in two marked documents or more: bounded by the sample.
-    wanted = set(in_docs)
     marked, clean, counts = occurrences(documents, labels, wanted)
-    value: dict[str, tuple[float, dict[str, float]]] = {}
-    for x in wanted:
-        m, c = counts.get(x, (0.0, 0.0))
-        if m >= SHARE * (m + c) and (s := _llr(m, marked, c, clean)) > 0:
-            value[x] = s, {k: sum(strength[k][d] for d in in_docs[x]) for k in CATEGORIES}
-    least = SIGNIFICANT * math.log(len(wanted) + 1)
-    del in_docs, wanted, counts
-    f = Featurizer()
-    copies: Counter = Counter()
-    keys: list[int] = []
-    home: list[int] = []
-    feats: list[np.ndarray] = []
-    tags: list[np.ndarray] = []
-    kinds: list[int] = []
-    for d, (text, _) in enumerate(docs):
-        for _, toks in sentences(text):
-            if not toks:
-                continue
-            # Of clean documents, sentences of usual words alone and further copies teach little:
-            # a quarter of the one and COPIES of the other are kept.
-            copy = -1
-            if not is_marked[d]:
-                copy = _hash(" ".join("N" if k and t[0][:1].isupper() else "0" if t[0][:1].isdigit() else t[0] for k, t in enumerate(toks)))
-                copies[copy] += 1
-                if copies[copy] > COPIES:
-                    continue
-            if not is_marked[d] and zlib.crc32(repr(toks).encode()) % 4 and all(normal(t[0]) in usual for k, t in enumerate(toks) if t[0][:1].isalpha() and (k == 0 or not t[0][:1].isupper())):
-                continue
-            tag = kind = 0
-            if is_marked[d]:
-                best = sorted(((value[x][0], x) for x in grams(toks) if x in value), reverse=True)[:3]
-                if best:
-                    by = {c: sum(value[x][1][c] for _, x in best) * (1.0 + strength[c][d]) for c in CATEGORIES}
-                    kind = TAGS.index(max(CATEGORIES, key=lambda c: (by[c], c)))
-                    tag = kind if sum(s for s, _ in best) / 3 >= least else 0
-            home.append(d)
-            feats.append(np.array(f.rows(toks), dtype=np.int32))
-            tags.append(np.full(len(toks), tag, dtype=np.int8))
-            kinds.append(kind)
-            keys.append(copy)
-    # Kept copies stand for those left out.
-    stands = np.array([max(1.0, copies[k] / COPIES) if k >= 0 else 1.0 for k in keys])
-    # Sentences of clean documents are sure; those of marked ones may be wrongly left.
-    weight = stands * np.array([1.0 if not is_marked[d] or t[0] else 0.6 for d, t in zip(home, tags)])
-    model = fit(feats, tags, weight)
+    value = wanted.join(counts, "g").where(F.col("m") >= SHARE * (F.col("m") + F.col("c"))).withColumn("s", _llr(F.col("m"), marked, F.col("c"), clean)).where("s > 0")
+    # Of each sentence the three strongest sequences: they tell whether it is marked, and as what.
+    top = held.join(value.select("g", "s", *[f"by_{c}" for c in CATEGORIES]), "g").groupBy("doc_id", "no").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("s", "g", *[f"by_{c}" for c in CATEGORIES])), asc=False), 1, 3).alias("best"), *[F.first(c).alias(c) for c in CATEGORIES]
+    )
+
+    def total(name: str):
+        return F.aggregate("best", F.lit(0.0), lambda acc, x: acc + x[name])
+
+    by = F.array(*[F.struct((total(f"by_{c}") * (1.0 + F.col(c))).alias("v"), F.lit(c).alias("c"), F.lit(k + 1).alias("k")) for k, c in enumerate(CATEGORIES)])
+    strong = total("s") / 3 >= SIGNIFICANT * float(np.log(n + 1))
+    top = top.select("doc_id", "no", F.array_max(by)["k"].alias("kind"), strong.alias("strong"))
+    rows = seqs.select("doc_id", "no", "marked", "feats").join(top, ["doc_id", "no"], "left")
+    rows = rows.select("doc_id", "marked", "feats", F.coalesce("kind", F.lit(0)).alias("kind"), F.when(F.col("strong"), F.col("kind")).otherwise(0).alias("tag"))
+    rows = cut(rows.withColumn("weight", _weight(F.col("tag"))).repartition(shards, "doc_id"))
+    model = fit(rows.select("feats", "tag", "weight"))
     for _ in range(ROUNDS - 1):
-        marg = predict(model, feats)
-        fresh = []
-        for d, m, kind in zip(home, marg, kinds):
-            p = m.mean(axis=0)
-            # Readers' marks of the same words, summed over documents, tell the category best.
-            c = kind or int(p[1:].argmax()) + 1
-            ok = p[1:].sum() > 0.5 and is_marked[d]
-            fresh.append(np.full(len(m), c if ok else 0, dtype=np.int8))
-        tags = fresh
-        weight = stands * np.array([1.0 if not is_marked[d] or t[0] else 0.6 for d, t in zip(home, tags)])
-        model = fit(feats, tags, weight)
+        shared = documents.sparkSession.sparkContext.broadcast(model)
+
+        def relabel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                marg = predict(shared.value, [np.frombuffer(x, dtype=np.int32).reshape(-1, WIDTH) for x in b["feats"]])
+                tags = []
+                for m, on, kind in zip(marg, b["marked"], b["kind"]):
+                    p = m.mean(axis=0)
+                    # Readers' marks of the same words, summed over documents, tell the category best.
+                    tags.append((kind or int(p[1:].argmax()) + 1) if on and p[1:].sum() > 0.5 else 0)
+                yield b.assign(tag=np.array(tags, dtype=np.int32))[["doc_id", "marked", "feats", "kind", "tag"]]
+
+        rows = rows.select("doc_id", "marked", "feats", "kind").mapInPandas(relabel, "doc_id long, marked boolean, feats binary, kind int, tag int")
+        rows = cut(rows.withColumn("weight", _weight(F.col("tag"))))
+        model = fit(rows.select("feats", "tag", "weight"))
     return Field(model.emit.astype(np.float32), model.move.astype(np.float32))
 
 
@@ -387,28 +441,38 @@ def score(documents: DataFrame, model: Field | None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         field, f = shared.value, Featurizer()
         for b in batches:
-            rows = []
-            held = [(d, toks) for d, t in enumerate(b["text"]) if isinstance(t, str) for _, toks in sentences(t) if toks] if field is not None else []
-            marg = predict(field, [np.array(f.rows(toks), dtype=np.int32) for _, toks in held])
+            held: list[tuple[int, list, int]] = []
+            known: dict[tuple, int] = {}
+            kinds: list[list] = []
+            for d, t in enumerate(b["text"]):
+                for _, toks in sentences(t) if field is not None and isinstance(t, str) else ():
+                    if toks:
+                        # A sentence that stands in many texts is scored once.
+                        k = known.setdefault(tuple(x[0] for x in toks), len(kinds))
+                        if k == len(kinds):
+                            kinds.append(toks)
+                        held.append((d, toks, k))
+            marg = predict(field, f.rows(kinds)) if kinds else []
+            tops, peaks = [m.argmax(axis=1) for m in marg], [passage(m) for m in marg]
             best = np.zeros((len(b), len(CATEGORIES)))
             spans: list[list] = [[] for _ in range(len(b))]
-            for (d, toks), m in zip(held, marg):
-                if sum(len(t[0]) > 1 and t[0][0].isalpha() for t in toks) >= 3:
-                    best[d] = np.maximum(best[d], passage(m))
-                top = m.argmax(axis=1)
+            for d, toks, n in held:
+                m, top = marg[n], tops[n]
+                best[d] = np.maximum(best[d], peaks[n])
+                if not top.any():
+                    continue
                 k = 0
                 while k < len(toks):
                     e = k
                     while e < len(toks) and top[e] == top[k]:
                         e += 1
-                    if top[k] and e - k > 1:
+                    if top[k]:
                         spans[d].append((CATEGORIES[top[k] - 1], toks[k][1], toks[e - 1][2], round(float(m[k:e, top[k]].mean()), 6)))
                     k = e
-            for d, (i, src) in enumerate(zip(b["doc_id"], b["source"])):
-                rows.append((i, src, *map(lambda x: round(float(x), 6), best[d]), spans[d]))
+            rows = [(i, src, *map(lambda x: round(float(x), 6), best[d]), spans[d]) for d, (i, src) in enumerate(zip(b["doc_id"], b["source"]))]
             yield pd.DataFrame(rows, columns=["doc_id", "source", *CATEGORIES, "spans"])
 
-    return documents.where("doc_id is not null").select("doc_id", "source", "text").repartition(64).mapInPandas(run, SCORES)
+    return spread(documents.where("doc_id is not null").select("doc_id", "source", "text")).mapInPandas(run, SCORES)
 
 
 def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -419,9 +419,31 @@ def test_field_gradient_and_marginals():
     assert np.isclose(pair.sum(), 3)
 
 
+def test_word_sequences_beyond_the_bound_are_joined(spark, monkeypatch):
+    texts = [(i, "You stupid pig, get lost. The sea." if i % 2 else "The king saw the sea.") for i in range(40)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, "r", "abuse" if i % 2 else "none") for i in range(40)], "doc_id long, annotator string, category string")
+    wanted = spark.createDataFrame([("stupid pig",), ("the sea",)], "g string")
+
+    def counts():
+        m, c, sums = abuse.occurrences(d, lab, wanted)
+        return m, c, rows(sums.join(wanted, "g"))
+
+    whole = counts()
+    assert whole == (20.0, 20.0, [("stupid pig", 20.0, 0.0), ("the sea", 20.0, 20.0)])
+    monkeypatch.setattr(abuse, "MOST_SEQUENCES", 1)
+    assert counts() == whole
+
+
+def test_features_are_those_of_a_sentence_alone():
+    f = abuse.Featurizer()
+    sents = [[(w, 0, 0) for w in x.split()] for x in ("the king saw", "him", "a b c d e f")]
+    assert all((x == f.rows([t])[0]).all() and x.shape == (len(t), abuse.WIDTH) for x, t in zip(f.rows(sents), sents))
+
+
 def test_abuse_held_out(spark):
     rng = random.Random(7)
-    bad = {"abuse": ["You stupid pig, get lost at once.", "I will break your fingers, fool."], "hate": ["Those people are vermin and must be driven out.", "They breed like rats in our city."], "sexual": ["She moaned naked on top of him.", "He undressed her and licked her."]}
+    bad = {"abuse": ["You stupid pig, get lost at once.", "I will break your fingers, fool.", "Stupid pig!"], "hate": ["Those people are vermin and must be driven out.", "They breed like rats in our city."], "sexual": ["She moaned naked on top of him.", "He undressed her and licked her."]}
     good = ["The king saw the ship in the year.", "The farmer bought the wine at dawn.", "Her lover is compared to a tree.", "The rats ate the papyrus.", "The soldier found the wall by night."]
     docs, labels, truth = [], [], set()
     for i in range(900):
@@ -433,7 +455,7 @@ def test_abuse_held_out(spark):
         docs.append((i, rng.choice("ab"), " ".join(s)))
         if i < 600:
             labels.append((i, "r1", c if rng.random() > 0.1 else rng.choice(["none", "hate"])))
-    docs += [(9001, None, None), (9002, "a", ""), (9003, "a", " "), (9004, "a", "word " * 40_000)]
+    docs += [(9001, None, None), (9002, "a", ""), (9003, "a", " "), (9004, "a", "word " * 40_000), (8001, "a", "Stupid pig!"), (8002, "a", "The king saw the ship. Stupid pig! The rats ate the papyrus.")]
     d = spark.createDataFrame(docs, "doc_id long, source string, text string").withColumn("abuse", F.lit(0)).withColumn("spans", F.lit(0))
     lab = spark.createDataFrame([*labels, (None, "r", "hate"), (5, "r9", None)], "doc_id long, annotator string, category string")
     got = {tuple(r) for r in abuse.found(d, lab.unionByName(lab)).collect()}
@@ -441,5 +463,6 @@ def test_abuse_held_out(spark):
     assert len({x for x in got if x[0] >= 600} & held) >= 0.9 * len(held)
     assert len(got & truth) >= 0.95 * len(got)
     assert not {x for x in got if x[0] > 9000}
+    assert {(8001, "abuse"), (8002, "abuse")} <= got
     none = abuse.found(d, lab.limit(0))
     assert none.count() == 0 and abuse.scores(d.limit(0), lab).count() == 0
