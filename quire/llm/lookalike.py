@@ -14,6 +14,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 BROADCAST_PIECES = 100_000
 
 # Letters of other scripts that look like a Latin letter.
@@ -137,11 +139,9 @@ def canonical(df: DataFrame, key: str, text: str, out: str = "canonical") -> Dat
     rows = rows.repartition("k")
     pieces = _pieces(rows, "k", "t")
     odd = pieces.where(~F.col("piece").rlike(f"^{stable_class()}+$")).select("piece").distinct()
-    # Distinct clusters are few in any real text; beyond the bound the join is left to size-aware planning.
-    forms = _canon(odd).where("piece <> form")
-    few = forms.limit(BROADCAST_PIECES + 1).collect()
-    if len(few) <= BROADCAST_PIECES:
-        forms = F.broadcast(df.sparkSession.createDataFrame(few, "piece string, form string"))
+    # Distinct clusters are few in any real text: sent to all tasks up to a bound, beyond it joined by a shuffle.
+    forms = cut(_canon(odd).where("piece <> form"))
+    forms = F.broadcast(forms) if forms.count() <= BROADCAST_PIECES else forms.hint("shuffle_hash")
     mapped = pieces.join(forms, "piece", "left").select("k", F.struct("pos", F.coalesce("form", "piece").alias("s")).alias("x"))
     built = mapped.groupBy("k").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"])).alias("form"))
     return rows.join(built, "k", "left").select(
@@ -168,6 +168,18 @@ def same_look(canon: DataFrame, key: str, text: str, form: str = "canonical") ->
     return pairs.join(a, "str_a").join(b, "str_b").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
 
 
+def look_classes(canon: DataFrame, key: str, text: str, form: str = "canonical") -> DataFrame:
+    """(key, look, n_records, n_strings) of every record that looks like one with another string.
+
+    The same cases as ``same_look`` as classes and their members: one row for each record,
+    however many look alike.
+    """
+    recs = canon.where(f"{form} <> ''").select(F.col(key).alias("id"), F.md5(F.col(form)).alias("look"), F.md5(F.col(text)).alias("str"))
+    kinds = recs.groupBy("look", "str").agg(F.count(F.lit(1)).alias("n"))
+    mixed = kinds.groupBy("look").agg(F.sum("n").alias("n_records"), F.count(F.lit(1)).alias("n_strings")).where("n_strings > 1")
+    return recs.join(mixed, "look").select(F.col("id").alias(key), "look", "n_records", "n_strings")
+
+
 def sources(spark: SparkSession, fragments: DataFrame, gsents: DataFrame) -> dict[str, DataFrame]:
     from .common import latest
 
@@ -180,8 +192,6 @@ def sources(spark: SparkSession, fragments: DataFrame, gsents: DataFrame) -> dic
 def found(spark: SparkSession, fragments: DataFrame, gsents: DataFrame) -> DataFrame:
     from functools import reduce
 
-    from .common import cut
-
     parts = []
     for name, df in sources(spark, fragments, gsents).items():
         form = cut(canonical(df, "id", "text").select("id", "text", "canonical"))

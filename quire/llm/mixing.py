@@ -72,7 +72,7 @@ def solve(sized: DataFrame, targets: DataFrame) -> tuple[list[dict], DataFrame]:
         p["full"] = bool(top) and p["goal"] >= top * (1 - 1e-9)
         p["base"] = min(1.0, p["cap"] / 2) or 0.5
         p["unit"], p["x"], p["done"] = mean, 0.0, p["goal"] == 0 or p["full"]
-    for _ in range(STEPS):
+    for _ in range(STEPS + 1):
         live = [p for p in plan if not p["done"]]
         if not live:
             break
@@ -99,6 +99,8 @@ def solve(sized: DataFrame, targets: DataFrame) -> tuple[list[dict], DataFrame]:
             # A damped step: far from the solution the dual is nearly flat.
             step = gap / slope if slope > 0 else math.copysign(1.0, gap)
             p["x"] += max(-2.0, min(2.0, step)) if not p["done"] else 0.0
+    if open_sources := [p["source"] for p in plan if not p["done"]]:
+        raise ArithmeticError(f"no tilt found within {STEPS} steps for {open_sources}")
     return plan, hist
 
 

@@ -5,7 +5,9 @@ lines, or remove as furniture (running head, page number). Its features are char
 about it, the corpus' word counts with the best reading of a word they know, what a
 mark at a line's end would join, and where the printed line stands and whether it holds
 a title or author. It is trained on corrections (what the print shows beside what is
-to stand), once with and once without the sight of the mended text.
+to stand), once with and once without the sight of the mended text. Operations of
+adjacent characters are decoded together; the sign that replaces or is put in is
+predicted by a second perceptron of the same kind.
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ from __future__ import annotations
 import difflib
 import random
 import re
-from collections import Counter, defaultdict
+import textwrap
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -22,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, latest
+from .common import bounded, cut, latest, spread
 
 #: Bound of the training sample, in corrections chosen by a hash of the id.
 SAMPLE, EPOCHS = 4000, 6
@@ -195,8 +199,8 @@ def line_kind(text: str, head: Heads) -> str:
     return style + ("+" if named else "-")
 
 
-def features(text: str, nxt: str | None, head: Heads, lex: Lexicon, mended: dict[int, str] | None, cut_start: bool = False) -> Iterator[tuple[int, list[str]]]:
-    """(place, features) of each character that is open to question; all others are kept.
+def features(text: str, nxt: str | None, head: Heads, lex: Lexicon, mended: dict[int, str] | None, cut_start: bool = False) -> Iterator[tuple[int, list[str], str | None]]:
+    """(place, features, sign that the lexicon's reading would put there) of each character that is open to question; all others are kept.
 
     ``cut_start``: the first word may be the end of one.
     """
@@ -246,9 +250,9 @@ def features(text: str, nxt: str | None, head: Heads, lex: Lexicon, mended: dict
             # Words that stand by themselves and make no word when joined keep their hyphen.
             kept = lex.count.get(left.lower() + "-" + right.lower(), 0) >= lex.count.get((left + right).lower(), 0)
             if seen or last not in "-‐" or jb > 0 and not kept or lb < 2:
-                yield at, f + ([f"see:{mended.get(at, 'k')}:m"] if seen else [])
+                yield at, f + ([f"see:{mended.get(at, 'k')}:m"] if seen else []), ""
         if split:
-            yield t.end, [f"sp:{split}", f"sp1:{split[:1]}", "sp"] + ([f"see:{mended.get(t.end, 'k')}:s"] if seen else [])
+            yield t.end, [f"sp:{split}", f"sp1:{split[:1]}", "sp"] + ([f"see:{mended.get(t.end, 'k')}:s"] if seen else []), ""
         if furniture or is_num or roman or (t.raw in "-—*·" and (prev and prev.core[:1].isdigit() or follow and follow.core[:1].isdigit())) or kind == "lo+":
             pw = prev.core.lower() if prev else "^"
             nw = follow.core.lower() if follow else "$"
@@ -259,19 +263,21 @@ def features(text: str, nxt: str | None, head: Heads, lex: Lexicon, mended: dict
             if natural and is_num and not seen and kind[:2] in ("lo", "mi"):
                 continue
             nb_, pb_ = lex.bin(nw) if nw.isalpha() else 9, lex.bin(pw) if pw.isalpha() else 9
-            f = [f"fk:{base}", f"fk1:{kind}", f"n:{is_num}:{shape}", f"n1:{shape}:{kind}", f"pw:{pw if pb_ > 1 else '?'}:{is_num}", f"nw:{nw if nb_ > 1 else '?'}:{is_num}", f"nat:{natural}:{is_num}:{kind}", f"side:{side}:{is_num}:{shape}", f"t:{caps_run.get(t.start, '')}:{kind}", f"r:{roman}:{core.islower()}:{kind}", f"pc:{(prev.raw[-1:] if prev else '')}:{is_num}", f"low:{follow.core[:1].islower() if follow else ''}:{is_num}:{kind}"]
+            run = caps_run.get(t.start, "")
+            f = [f"run:{run}", f"runk:{run}:{kind}", f"inrun:{bool(run)}:{is_num}:{kind}", f"after:{prev is not None and prev.start in caps_run}:{prev.raw[-1:] if prev else ''}:{is_num}", f"fk:{base}", f"fk1:{kind}", f"n:{is_num}:{shape}", f"n1:{shape}:{kind}", f"pw:{pw if pb_ > 1 else '?'}:{is_num}", f"nw:{nw if nb_ > 1 else '?'}:{is_num}", f"pwk:{pw if pb_ > 1 else '?'}:{is_num}:{kind[:2]}", f"nat:{natural}:{is_num}:{kind}", f"side:{side}:{is_num}:{shape}", f"t:{run[:1]}:{kind}", f"r:{roman}:{core.islower()}:{kind}", f"pc:{(prev.raw[-1:] if prev else '')}:{is_num}", f"low:{follow.core[:1].islower() if follow else ''}:{is_num}:{kind}"]
             for at in (range(t.start, t.end) if seen else (t.start,)):
-                yield at, f + ([f"see:{mended.get(at, 'k')}:f:{is_num}"] if seen else [])
+                yield at, f + ([f"see:{mended.get(at, 'k')}:f:{is_num}"] if seen else []), None
         elif core and not (parted or mark and not mixed) and (i or not cut_start) and (guess or mixed or (b == 0 and core.isalpha() and i)):
             word = t.raw
             ops = _proposal(word, guess) if guess else {}
+            signs = _signs(word, guess) if guess else {}
             cap = core[:1].isupper()
             for k, ch in enumerate(word):
                 sym = not ch.isalnum() and 0 < k < len(word) - 1 and ch not in "'’-"
                 f = [f"op:{ops.get(k, 'k')}", f"op:{ops.get(k, 'k')}:{sure}:{b}:{cap}", f"ch:{ch if not ch.isalpha() else 'a'}:{mixed}:{k == 0}:{k == len(word) - 1}", f"sym:{sym}:{ch}", f"oov:{b}:{cap}:{bool(guess)}", f"dg:{ch.isdigit()}:{cap}"]
                 if not cap:
                     f.append(f"c3:{word[max(0, k - 1) : k + 2]}")
-                yield t.start + k, f + ([f"see:{mended.get(t.start + k, 'k')}:w", f"seeop:{mended.get(t.start + k, 'k')}:{ops.get(k, 'k')}"] if seen else [])
+                yield t.start + k, f + ([f"see:{mended.get(t.start + k, 'k')}:w", f"seeop:{mended.get(t.start + k, 'k')}:{ops.get(k, 'k')}"] if seen else []), signs.get(k, "")
 
 
 def _title_runs(toks: list[Token], head: Heads) -> dict[int, str]:
@@ -285,8 +291,12 @@ def _title_runs(toks: list[Token], head: Heads) -> dict[int, str]:
         if k - i > 2:
             style = "U" if sum(t.core.isupper() for t in toks[i:k]) > (k - i) / 2 else "t"
             opened = "b" if toks[i].raw[0] in "[(" else ""
+            # What stands before and behind: a work named in a sentence is set off by its signs.
+            before = "/" if i == 0 or toks[i - 1].line != toks[i].line else "." if toks[i - 1].raw[-1:] in ".?!:" else "w"
+            last = max(j for j in range(i, len(toks)) if toks[j].line == toks[i].line) if opened else i
+            behind = "]" if opened and toks[last].raw[-1] in "])" else "/" if k == len(toks) else toks[k - 1].raw[-1:] if toks[k - 1].raw[-1:] in ",.;:?!" else "/" if toks[k].line != toks[k - 1].line else "w"
             for t in toks[i:k]:
-                out[t.start] = style + opened
+                out[t.start] = style + opened + before + behind
         i = max(k, i + 1)
     return out
 
@@ -305,11 +315,31 @@ def _proposal(word: str, guess: str) -> dict[int, str]:
     return ops
 
 
-def gold(find: str, replace: str, lex: Lexicon) -> dict[int, str] | None:
+def _signs(word: str, guess: str) -> dict[int, str]:
+    """The sign that each replaced place of a word gets, or what is put in behind it."""
+    out: dict[int, str] = {}
+    for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, word.lower(), guess, autojunk=False).get_opcodes():
+        if op == "replace":
+            # The last place takes all that is left over.
+            for k in range(min(i2 - i1, j2 - j1)):
+                out[i1 + k] = guess[j1 + k] if k < i2 - i1 - 1 else guess[j1 + k : j2]
+        elif op == "insert":
+            out[max(0, i1 - 1)] = guess[j1:j2]
+    return out
+
+
+def gold(find: str, replace: str) -> dict[int, str] | None:
     """Tags of the characters of a correction that mends the print; an editor's change is kept. None: unclear."""
+    got = aims(find, replace)
+    return None if got is None else got[0]
+
+
+def aims(find: str, replace: str) -> tuple[dict[int, str], dict[int, str]] | None:
+    """The tags of ``gold``, and the signs that replace or are put in."""
     toks = [(m[0], m.start(), m.end()) for m in re.finditer(r"\S+", find)]
     right = replace.split()
     out: dict[int, str] = {}
+    signs: dict[int, str] = {}
     for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, [t[0] for t in toks], right, autojunk=False).get_opcodes():
         part, want = toks[i1:i2], right[j1:j2]
         if op == "equal" or op == "insert":
@@ -332,6 +362,7 @@ def gold(find: str, replace: str, lex: Lexicon) -> dict[int, str] | None:
                 if x == y or not any(c.isalpha() for c in y) or custom(x, y) or edits(x, y) > 2:
                     continue
                 out.update({a + k: v.upper() for k, v in _proposal(t, w.lower()).items() if v != "k"})
+                signs.update({a + k: v for k, v in _signs(t, w.lower()).items()})
         elif len(part) == 2 and len(want) == 1:
             (s, a, b), (u, c, _) = part
             bare = s.rstrip(MARKS)
@@ -341,7 +372,7 @@ def gold(find: str, replace: str, lex: Lexicon) -> dict[int, str] | None:
                 return None
         else:
             return None
-    return out
+    return out, signs
 
 
 def sight(find: str, replace: str) -> dict[int, str]:
@@ -356,39 +387,126 @@ def sight(find: str, replace: str) -> dict[int, str]:
     return out
 
 
+#: A place open to question: where, its features, and the sign that the lexicon's reading would put there (None in furniture).
+Place = tuple[int, list[str], str | None]
+NEVER = -1e9
+
+
 class Perceptron:
+    """Weights by feature and operation, and of an operation behind that of the character before."""
+
     def __init__(self) -> None:
         self.w: dict[str, list[float]] = {}
+        self.signs: dict[str, dict[str, float]] = {}
 
-    def tag(self, feats: list[str]) -> int:
-        score = [0.0] * len(TAGS)
-        for f in feats:
+    def _scores(self, place: Place) -> list[float]:
+        """What may be furniture is kept or removed."""
+        score = [0.0] * len(TAGS) if place[2] is not None else [0.0 if t in "KHP" else NEVER for t in TAGS]
+        for f in place[1]:
             if (w := self.w.get(f)) is not None:
                 for k, v in enumerate(w):
                     score[k] += v
-        return max(range(len(TAGS)), key=lambda k: score[k])
+        return score
+
+    def decode(self, places: list[Place]) -> list[int]:
+        """The best operations: each stretch of adjacent characters as one sequence."""
+        out: list[int] = []
+        i = 0
+        while i < len(places):
+            e = i + 1
+            while e < len(places) and places[e][0] == places[e - 1][0] + 1:
+                e += 1
+            now = self._scores(places[i])
+            back: list[list[int]] = []
+            for k in range(i + 1, e):
+                emit, came, step = self._scores(places[k]), [], []
+                moves = [self.w.get("prev:" + t) for t in TAGS]
+                for y in range(len(TAGS)):
+                    best, at = max((now[x] + (moves[x][y] if moves[x] else 0.0), -x) for x in range(len(TAGS)))
+                    step.append(best + emit[y])
+                    came.append(-at)
+                now = step
+                back.append(came)
+            y = max(range(len(TAGS)), key=lambda k: now[k])
+            path = [y]
+            for came in reversed(back):
+                y = came[y]
+                path.append(y)
+            out += reversed(path)
+            i = e
+        return out
 
-    def train(self, rows: list[tuple[list[str], int]], epochs: int = EPOCHS, seed: int = 1) -> None:
+    def sign(self, place: Place, ch: str) -> str:
+        """The sign for a replaced or filled place; "" where nothing was learned for it."""
+        score: dict[str, float] = defaultdict(float)
+        for f in _sign_features(place, ch):
+            for c, v in self.signs.get(f, {}).items():
+                score[c] += v
+        pick = max(sorted(score), key=lambda c: score[c]) if score else ""
+        return place[2] if pick == "=" else pick
+
+    def train(self, rows: list[tuple[list[Place], list[int]]], epochs: int = EPOCHS, seed: int = 1) -> None:
         total: dict[str, list[float]] = defaultdict(lambda: [0.0] * len(TAGS))
         rng, step, order = random.Random(seed), 0, list(range(len(rows)))
+
+        def move(f: str, want: int, got: int) -> None:
+            w, t = self.w.setdefault(f, [0.0] * len(TAGS)), total[f]
+            w[want] += 1.0
+            w[got] -= 1.0
+            t[want] += step
+            t[got] -= step
+
         for _ in range(epochs):
             rng.shuffle(order)
             for r in order:
-                feats, want = rows[r]
+                places, want = rows[r]
                 step += 1
-                got = self.tag(feats)
-                if got != want:
-                    for f in feats:
-                        w, t = self.w.setdefault(f, [0.0] * len(TAGS)), total[f]
-                        w[want] += 1.0
-                        w[got] -= 1.0
-                        t[want] += step
-                        t[got] -= step
+                got = self.decode(places)
+                if got == want:
+                    continue
+                for k, (at, feats, _) in enumerate(places):
+                    if got[k] != want[k]:
+                        for f in feats:
+                            move(f, want[k], got[k])
+                    if k and places[k - 1][0] == at - 1 and (got[k - 1], got[k]) != (want[k - 1], want[k]):
+                        self.w.setdefault("prev:" + TAGS[want[k - 1]], [0.0] * len(TAGS))[want[k]] += 1.0
+                        total["prev:" + TAGS[want[k - 1]]][want[k]] += step
+                        self.w.setdefault("prev:" + TAGS[got[k - 1]], [0.0] * len(TAGS))[got[k]] -= 1.0
+                        total["prev:" + TAGS[got[k - 1]]][got[k]] -= step
         # The mean of the weights over all steps.
         for f, w in self.w.items():
             t = total[f]
             self.w[f] = [a - b / max(1, step) for a, b in zip(w, t)]
 
+    def train_signs(self, rows: list[tuple[Place, str, str]], epochs: int = EPOCHS, seed: int = 1) -> None:
+        """Rows (place, character of the print, sign that is to stand); the class "=" is the lexicon's own sign."""
+        total: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
+        now: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
+        rng, step = random.Random(seed), 0
+        rows = list(rows)
+        for _ in range(epochs):
+            rng.shuffle(rows)
+            for place, ch, want in rows:
+                step += 1
+                want = "=" if want == place[2] else want
+                feats = _sign_features(place, ch)
+                score: dict[str, float] = defaultdict(float)
+                for f in feats:
+                    for c, v in now[f].items():
+                        score[c] += v
+                got = max(sorted(score), key=lambda c: score[c]) if score else ""
+                if got != want:
+                    for f in feats:
+                        for c, v in ((want, 1.0), (got, -1.0)):
+                            now[f][c] += v
+                            total[f][c] += v * step
+        self.signs = {f: {c: v - total[f][c] / max(1, step) for c, v in cs.items() if c} for f, cs in now.items()}
+
+
+def _sign_features(place: Place, ch: str) -> list[str]:
+    c3 = [f for f in place[1] if f.startswith(("c3:", "op:"))]
+    return [f"s:{place[2]}", f"c:{ch.lower()}", f"cs:{ch.lower()}:{place[2]}", *c3]
+
 
 @dataclass
 class Editor:
@@ -396,13 +514,17 @@ class Editor:
     model: Perceptron
     works: dict[str, Heads]
 
-    def tags(self, text: str, nxt: str | None, work: str | None, mended: str | None = None, cut_start: bool = False) -> dict[int, str]:
+    def tags(self, text: str, nxt: str | None, work: str | None, mended: str | None = None, cut_start: bool = False, signs: dict[int, str] | None = None) -> dict[int, str]:
+        """Operations other than keep; ``signs`` takes what replaces or is put in."""
         head = self.works.get(work, Heads(frozenset(), ())) if isinstance(work, str) else Heads(frozenset(), ())
         see = sight(text, mended) if isinstance(mended, str) else None
         out = {}
-        for at, f in features(text, nxt, head, self.lex, see, cut_start):
-            if (tag := TAGS[self.model.tag(f)]) != "K" and at not in out:
-                out[at] = tag
+        places = list(features(text, nxt, head, self.lex, see, cut_start))
+        for place, k in zip(places, self.model.decode(places)):
+            if k and place[0] not in out:
+                out[place[0]] = TAGS[k]
+                if signs is not None and TAGS[k] in "RI":
+                    signs[place[0]] = self.model.sign(place, text[place[0]])
         if see is None:
             # Furniture is judged by its first character and goes as a whole token.
             toks, _ = read_tokens(text)
@@ -428,39 +550,24 @@ class Editor:
         if not isinstance(text, str):
             return None
         text = text.replace("\r\n", "\n").replace("\r", "\n")
-        tags = self.tags(text, nxt, work)
-        toks, _ = read_tokens(text)
-        word_at = {k: t for t in toks for k in range(t.start, t.end)}
-        out, i, done = [], 0, set()
+        signs: dict[int, str] = {}
+        tags = self.tags(text, nxt, work, signs=signs)
+        out, i = [], 0
         while i < len(text):
-            tag = tags.get(i)
+            tag, ch = tags.get(i), text[i]
+            sign = signs.get(i, "")
             if tag in ("H", "P"):
                 out.append("\0")
-                i += 1
             elif tag == "J":
-                i += 1
-                while i < len(text) and (text[i].isspace() or tags.get(i) in ("H", "P")):
-                    i += 1
-            elif tag == "D" and text[i].isspace():
-                i += 1
-            elif tag in ("R", "D", "I") and i in word_at and word_at[i].start not in done:
-                t = word_at[i]
-                done.add(t.start)
-                guess, _ = self.lex.best(t.raw.strip(".,;:?()[]\"“”"))
-                if guess:
-                    del out[len(out) - (i - t.start) :]
-                    x = len(t.raw) - len(t.raw.lstrip("([\"“"))
-                    tail = re.search(r"[.,;:?)\]\"”]*$", t.raw)[0]
-                    out += [*t.raw[:x], *(guess.capitalize() if t.core[:1].isupper() else guess), *tail]
-                    i = t.end
-                elif tag == "D":
+                while i + 1 < len(text) and (text[i + 1].isspace() or tags.get(i + 1) in ("H", "P")):
                     i += 1
-                else:
-                    out.append(text[i])
-                    i += 1
-            else:
-                out.append(text[i])
-                i += 1
+            elif tag == "R" and sign:
+                out.append(sign.upper() if ch.isupper() else sign)
+            elif tag == "I":
+                out.append(ch + sign)
+            elif tag != "D":
+                out.append(ch)
+            i += 1
         # Where furniture stood, the text goes on.
         s = re.sub(r"\s*\0[\s\0]*", lambda m: "\n" if "\n" in m[0] else " ", "".join(out))
         parts = re.split(r"\n\s*\n", s)
@@ -495,41 +602,62 @@ def train(sources: dict[str, DataFrame], documents: DataFrame, works: DataFrame)
     lex = Lexicon(counts, total)
     listed = bounded(works.select("work_id", "author", "title"), 100_000, "works")
     known = {r["work_id"]: heads(r["author"], r["title"]) for r in listed}
-    titles = {r["work_id"]: r["title"] for r in listed}
-    rows: list[tuple[list[str], int]] = []
+    rows: list[tuple[list[Place], list[int]]] = []
+    signs: list[tuple[Place, str, str]] = []
     pick = sources["corrections"].where("text <> '' and mended is not null").orderBy(F.xxhash64("rec_id"), "rec_id").limit(SAMPLE)
     for r in sorted(pick.collect(), key=lambda r: r["rec_id"]):
-        want = gold(r["text"], r["mended"], lex)
-        if want is None:
+        got = aims(r["text"], r["mended"])
+        if got is None:
             continue
+        want, put = got
         head = known.get(r["work_id"], Heads(frozenset(), ()))
         for see in (None, sight(r["text"], r["mended"])):
-            rows += [(f, TAGS.index(want.get(at, "K"))) for at, f in features(r["text"], None, head, lex, see)]
-    # Text as it should stand: mended and following text, and mentions of works, of which all is kept.
+            places = list(features(r["text"], None, head, lex, see))
+            rows.append((places, [TAGS.index(want.get(p[0], "K")) for p in places]))
+            signs += [(p, r["text"][p[0]], put[p[0]]) for p in places if want.get(p[0]) in ("R", "I") and p[0] in put]
+    # Text as it should stand, of which all is kept: mended text, and what follows a break.
     keep = F.xxhash64("rec_id")
     plain = [(r["mended"], r["work_id"]) for r in sorted(sources["corrections"].where("mended <> ''").orderBy(keep, "rec_id").limit(SAMPLE).collect(), key=lambda r: r["rec_id"])]
-    plain += [(r["nxt"], r["work_id"]) for r in sorted(sources["break_hits"].where("nxt rlike '[0-9]'").orderBy(keep, "rec_id").limit(SAMPLE).collect(), key=lambda r: r["rec_id"])]
-    for work, title in sorted((k, v) for k, v in titles.items() if v)[:400]:
-        plain += [(f"See {title}, 7.20. The stranger found the field", work), (f"praised the in {title} song by night", work), (f"left the wine, as {title} has it", work)]
+    # The same set in printed lines: a number may begin or fill a line.
+    plain += [(textwrap.fill(text, 24 + zlib.crc32(text.encode("utf-8", "surrogatepass")) % 32), work) for text, work in plain]
+    # Works named within a sentence are no running heads: the title set into mended text, before a comma, with a place or without.
+    titles = {r["work_id"]: r["title"] for r in listed if r["title"]}
+    for k, (text, work) in enumerate(list(plain)):
+        if work in titles:
+            words = text.split(" ")
+            at = zlib.crc32(text.encode("utf-8", "surrogatepass")) % len(words)
+            named = f"{titles[work]}, {1 + k % 12}.{1 + k % 40}" + (". " if k % 3 else ", ") if k % 2 else titles[work] + ", "
+            plain.append((" ".join(words[: at + 1]) + " " + named + " ".join(words[at + 1 :]), work))
+    plain += [(r["nxt"], r["work_id"]) for r in sorted(sources["break_hits"].where("nxt <> ''").orderBy(keep, "rec_id").limit(SAMPLE).collect(), key=lambda r: r["rec_id"])]
     for text, work in plain:
-        rows += [(f, 0) for at, f in features(text, None, known.get(work, Heads(frozenset(), ())), lex, None, True) if at < len(text) - 12]
+        places = [p for p in features(text, None, known.get(work, Heads(frozenset(), ())), lex, None, True) if p[0] < len(text) - 12]
+        rows.append((places, [0] * len(places)))
     model = Perceptron()
     model.train(rows)
+    model.train_signs(signs)
     return Editor(lex, model, known)
 
 
+_EDITORS: dict[int, Editor] = {}
+
+
 def _apply(rows: DataFrame, editor: Editor, one, schema: str) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast((editor.lex.count, editor.lex.total, editor.model.w, editor.works))
+    shared = rows.sparkSession.sparkContext.broadcast((editor.lex.count, editor.lex.total, editor.model.w, editor.model.signs, editor.works))
+    number = shared._jbroadcast.id()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count, total, weights, works = shared.value
-        model = Perceptron()
-        model.w = weights
-        e = Editor(Lexicon(count, total), model, works)
+        # A worker builds the lexicon's index once, for all its tasks.
+        if number not in _EDITORS:
+            count, total, weights, signs, works = shared.value
+            model = Perceptron()
+            model.w, model.signs = weights, signs
+            _EDITORS.clear()
+            _EDITORS[number] = Editor(Lexicon(count, total), model, works)
+        e = _EDITORS[number]
         for b in batches:
             yield pd.DataFrame([(r.src, r.rec_id, x) for r in b.itertuples() for x in one(e, r)], columns=["src", "rec_id", "x"])
 
-    return rows.repartition(32).mapInPandas(run, schema)
+    return spread(rows).mapInPandas(run, schema)
 
 
 def _all(sources: dict[str, DataFrame]) -> DataFrame:

@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Word pattern of the public vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT = 96
 MEMO = 200_000
-PARTS = 64
 NEVER = 1 << 60
 
 
@@ -118,8 +119,7 @@ def _run(df: DataFrame, text: str, keep: list[str], vocabulary: str, result: str
             out = pa.array(map(len, ids), pa.int32()) if counts else pa.array(ids, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], out], [*names, "r"])
 
-    # Inputs may come as one large file: spread evenly, with no key that could be hot.
-    out = rows.repartition(PARTS).mapInArrow(run, schema)
+    out = spread(rows).mapInArrow(run, schema)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], F.col("r").alias(result))
 
 
