@@ -32,7 +32,11 @@ TAGS = ("none", *CATEGORIES)
 MARKED, CLEAN = 3000, 6000
 #: Documents of the sample in each shard that a task fits: with fewer, the mixed weights need many more passes.
 SHARD = 2000
-ROUNDS, EPOCHS, BITS, WINDOW = 2, 8, 18, 6
+BITS, WINDOW = 18, 6
+#: Passes over the sample with the first labels, and with the field's own.
+EPOCHS = (5, 8)
+#: Documents whose tokens a task holds at once.
+AT_ONCE = 400
 SIGNIFICANT, SHARE = 1.5, 0.5
 #: Up to so many word sequences are sent to every task to count them alone; beyond, all are counted and joined.
 MOST_SEQUENCES = 500_000
@@ -211,7 +215,7 @@ def epoch(model: Field, past: Field, feats: list[np.ndarray], tags: list[np.ndar
         model.move += 0.1 * part / np.sqrt(past.move)
 
 
-def fit(rows: DataFrame, seed: int = 1) -> Field:
+def fit(rows: DataFrame, epochs: int, seed: int = 1) -> Field:
     """Maximum likelihood over rows (feats binary, tag int, weight double), each partition a shard.
 
     Each pass starts from the mixed weights of all shards: a feature's change is the mean
@@ -234,8 +238,8 @@ def fit(rows: DataFrame, seed: int = 1) -> Field:
     dense = np.zeros(size, dtype=np.int32)
     dense[ids] = np.arange(1, len(ids) + 1)
     numbers = spark.sparkContext.broadcast(dense)
-    model, past = (Field(np.full((len(ids) + 1, k), v), np.full((k, k), v)) for v in (0.0, 1e-6))
-    for turn in range(EPOCHS):
+    model, past = (Field(np.full((len(ids) + 1, k), v, dtype=np.float32), np.full((k, k), v, dtype=np.float32)) for v in (0.0, 1e-6))
+    for turn in range(epochs):
         shared = spark.sparkContext.broadcast((model, past))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,24 +255,31 @@ def fit(rows: DataFrame, seed: int = 1) -> Field:
             new, after = Field(was.emit.copy(), was.move.copy()), Field(sums.emit.copy(), sums.move.copy())
             epoch(new, after, feats, tags, np.array(weight), seed + turn)
             hit = np.unique(np.concatenate([x.ravel() for x in feats]))
-            blobs = (hit.astype(np.int32), (new.emit - was.emit)[hit], (after.emit - sums.emit)[hit], new.move - was.move, after.move - sums.move)
+            blobs = (hit.astype(np.int32), (new.emit - was.emit)[hit].astype(np.float32), (after.emit - sums.emit)[hit].astype(np.float32), (new.move - was.move).astype(np.float32), (after.move - sums.move).astype(np.float32))
             yield pd.DataFrame([[x.tobytes() for x in blobs]], columns=["hit", "emit", "emit2", "move", "move2"])
 
-        n, n_all = np.zeros((len(ids) + 1, 1)), 0
-        emit, emit2, move, move2 = np.zeros_like(model.emit), np.zeros_like(model.emit), np.zeros((k, k)), np.zeros((k, k))
-        for r in rows.mapInPandas(run, "hit binary, emit binary, emit2 binary, move binary, move2 binary").collect():
-            hit = np.frombuffer(r["hit"], dtype=np.int32)
-            n[hit] += 1
-            n_all += 1
-            for into, name in ((emit, "emit"), (emit2, "emit2")):
-                into[hit] += np.frombuffer(r[name]).reshape(-1, k)
-            move += np.frombuffer(r["move"]).reshape(k, k)
-            move2 += np.frombuffer(r["move2"]).reshape(k, k)
-        if not n_all:
-            break
-        model = Field(model.emit + emit / np.maximum(n, 1), model.move + move / n_all)
-        past = Field(past.emit + emit2 / np.maximum(n, 1), past.move + move2 / n_all)
+        def mix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            n, n_all = np.zeros((len(ids) + 1, 1), dtype=np.float32), 0
+            emit, emit2, move, move2 = (np.zeros(x, dtype=np.float32) for x in ((len(n), k), (len(n), k), (k, k), (k, k)))
+            for b in batches:
+                for hit, e, e2, v, v2 in zip(*(b[c] for c in ("hit", "emit", "emit2", "move", "move2"))):
+                    hit = np.frombuffer(hit, dtype=np.int32)
+                    n[hit] += 1
+                    n_all += 1
+                    emit[hit] += np.frombuffer(e, dtype=np.float32).reshape(-1, k)
+                    emit2[hit] += np.frombuffer(e2, dtype=np.float32).reshape(-1, k)
+                    move += np.frombuffer(v, dtype=np.float32).reshape(k, k)
+                    move2 += np.frombuffer(v2, dtype=np.float32).reshape(k, k)
+            if n_all:
+                yield pd.DataFrame([[x.tobytes() for x in (emit / np.maximum(n, 1), emit2 / np.maximum(n, 1), move / np.float32(n_all), move2 / np.float32(n_all))]], columns=["emit", "emit2", "move", "move2"])
+
+        # One row comes back for each pass: the shards are few, as the sample is bounded.
+        got = rows.mapInPandas(run, "hit binary, emit binary, emit2 binary, move binary, move2 binary").repartition(1).mapInPandas(mix, "emit binary, emit2 binary, move binary, move2 binary").collect()
         shared.destroy()
+        if not got:
+            break
+        emit, emit2, move, move2 = (np.frombuffer(got[0][c], dtype=np.float32).reshape(-1, k) for c in ("emit", "emit2", "move", "move2"))
+        model, past = Field(model.emit + emit, model.move + move), Field(past.emit + emit2, past.move + move2)
     full = np.zeros((size, k), dtype=np.float32)
     full[ids] = model.emit[1:]
     return Field(full, model.move)
@@ -291,6 +302,12 @@ def predict(model: Field, feats: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def few_at_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for k in range(0, len(b), AT_ONCE):
+            yield b.iloc[k : k + AT_ONCE].reset_index(drop=True)
+
+
 def grams(toks: list[tuple[str, int, int]]) -> set[str]:
     """Word sequences of up to three of a sentence, with names and numbers masked."""
     ws = []
@@ -323,7 +340,7 @@ def sample(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = Featurizer()
-        for b in batches:
+        for b in few_at_once(batches):
             out = []
             for d, text, *n in zip(b["doc_id"], b["text"], *(b[c] for c in (*CATEGORIES, "none"))):
                 toks = [t for _, t in sentences(text) if t]
@@ -406,8 +423,8 @@ def train(documents: DataFrame, labels: DataFrame) -> Field | None:
     rows = seqs.select("doc_id", "no", "marked", "feats").join(top, ["doc_id", "no"], "left")
     rows = rows.select("doc_id", "marked", "feats", F.coalesce("kind", F.lit(0)).alias("kind"), F.when(F.col("strong"), F.col("kind")).otherwise(0).alias("tag"))
     rows = cut(rows.withColumn("weight", _weight(F.col("tag"))).repartition(shards, "doc_id"))
-    model = fit(rows.select("feats", "tag", "weight"))
-    for _ in range(ROUNDS - 1):
+    model = fit(rows.select("feats", "tag", "weight"), EPOCHS[0])
+    for epochs in EPOCHS[1:]:
         shared = documents.sparkSession.sparkContext.broadcast(model)
 
         def relabel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -422,7 +439,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Field | None:
 
         rows = rows.select("doc_id", "marked", "feats", "kind").mapInPandas(relabel, "doc_id long, marked boolean, feats binary, kind int, tag int")
         rows = cut(rows.withColumn("weight", _weight(F.col("tag"))))
-        model = fit(rows.select("feats", "tag", "weight"))
+        model = fit(rows.select("feats", "tag", "weight"), epochs)
     return Field(model.emit.astype(np.float32), model.move.astype(np.float32))
 
 
@@ -440,7 +457,7 @@ def score(documents: DataFrame, model: Field | None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         field, f = shared.value, Featurizer()
-        for b in batches:
+        for b in few_at_once(batches):
             held: list[tuple[int, list, int]] = []
             known: dict[tuple, int] = {}
             kinds: list[list] = []
