@@ -38,12 +38,14 @@ def resolve(queries: DataFrame, places: DataFrame) -> DataFrame:
     """(query, stage, candidates, ambiguous): works that hold a place, by the first stage that finds any.
 
     Stage 1: the work of the query's context. Stage 2: any work with the very place.
-    Stage 3: any work with the page or number alone. Candidates are all kept, sorted.
+    Stage 3: any work with the page or number alone. A query that one stage answers goes
+    no further, and places come as distinct (number, work). Candidates are all kept, sorted.
     """
     q = queries.select("query", "context", F.regexp_extract("query", r"^(\d+)", 1).alias("num"))
     p = places.select("work_id", "citation", F.regexp_extract("citation", r"^(\d+)", 1).alias("pnum")).distinct()
     exact = q.join(p, q["query"] == p["citation"]).select("query", F.when(F.col("work_id") == F.col("context"), 1).otherwise(2).alias("stage"), "work_id")
-    loose = q.where("num <> ''").join(p, q["num"] == p["pnum"]).select("query", F.lit(3).alias("stage"), "work_id")
+    open_ = q.where("num <> ''").join(exact.select("query").distinct(), "query", "left_anti")
+    loose = open_.join(p.select("pnum", "work_id").distinct(), F.col("num") == F.col("pnum")).select("query", F.lit(3).alias("stage"), "work_id")
     by = exact.unionByName(loose).groupBy("query", "stage").agg(F.array_sort(F.collect_set("work_id")).alias("candidates"))
     best = by.groupBy("query").agg(F.min_by("candidates", "stage").alias("candidates"), F.min("stage").alias("stage"))
     return best.select("query", "stage", F.array_join("candidates", ",").alias("candidates"), (F.size("candidates") > 1).alias("ambiguous"))

@@ -1,8 +1,7 @@
 """Positional inverted index and searches over it.
 
-The index is a tall table (seg, pos, term), clustered by term when written, so that a
-search prunes to its terms; no posting list is ever one row. Hot terms cost their
-occurrences in the searched segments alone, as rarer terms are joined first.
+The index is a tall table (seg, pos, term). ``write_index`` clusters it by term, so that
+a search of the stored index prunes to its terms; no posting list is ever one row.
 """
 
 from __future__ import annotations
@@ -15,9 +14,18 @@ from pyspark.sql import functions as F
 from quire.functions.text import words
 
 
-def postings(df: DataFrame, seg: str, text: str) -> DataFrame:
-    """(seg, pos, term): every word of every segment, positions from 0."""
-    return df.select(F.col(seg).alias("seg"), F.posexplode(words(F.col(text))).alias("pos", "term"))
+def postings(df: DataFrame, seg: str, text: str, keep: list[str] | None = None, terms=words) -> DataFrame:
+    """(seg, keep..., pos, term): every word of every segment, positions from 0; ``keep`` spares a later join for them."""
+    return df.select(F.col(seg).alias("seg"), *(keep or []), F.posexplode(terms(F.col(text))).alias("pos", "term"))
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """The index clustered by term: ranges of terms by file, sorted within, so that a search reads few row groups."""
+    index.repartitionByRange("term").sortWithinPartitions("term", "seg", "pos").write.mode("overwrite").parquet(path)
+
+
+def read_index(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def _match(term: str) -> Column:
@@ -52,12 +60,13 @@ def hit_positions(index: DataFrame, terms: list[str]) -> DataFrame:
     return found.groupBy("seg").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("pos")).alias("positions"))
 
 
-def kwic(df: DataFrame, seg: str, text: str, hits: DataFrame, length: int, window: int = 8) -> DataFrame:
-    """(seg, pos, left, hit, right): words about each hit, joined back to the hit segments only."""
+def kwic(df: DataFrame, seg: str, text: str, phrase: list[str], window: int = 8) -> DataFrame:
+    """(seg, pos, left, hit, right): each place of a phrase with the words about it, cut where it is found."""
     toks = df.select(F.col(seg).alias("seg"), words(F.col(text)).alias("w"))
-    at = F.col("pos") + 1
+    at, length = F.col("pos") + 1, len(phrase)
+    hits = toks.select("seg", "w", F.explode(F.filter(F.transform("w", lambda _, i: F.when(reduce(Column.__and__, [F.get("w", i + k) == t for k, t in enumerate(phrase)]), i)), lambda x: x.isNotNull())).alias("pos"))
     left = F.slice("w", F.greatest(F.lit(1), at - window), at - F.greatest(F.lit(1), at - window))
-    return hits.join(toks, "seg").select(
+    return hits.select(
         "seg", "pos", F.array_join(left, " ").alias("left"),
         F.array_join(F.slice("w", at, F.lit(length)), " ").alias("hit"),
         F.array_join(F.slice("w", at + length, F.lit(window)), " ").alias("right"),
@@ -72,7 +81,7 @@ def kwic_chars(df: DataFrame, seg: str, text: str, needle: str, width: int = 40)
     return found.select("seg", "at", F.substring("t", start, F.col("at") + len(needle) + width - start).alias("snippet"))
 
 
-def rollup_terms(index: DataFrame, owner: DataFrame, least: int = 3) -> DataFrame:
-    """(term, owner, n) with subtotals: n by term and owner, and over all owners (owner null)."""
-    tall = index.join(owner, "seg").groupBy("term", "owner").agg(F.count(F.lit(1)).alias("n"))
+def rollup_terms(index: DataFrame, least: int = 3) -> DataFrame:
+    """(term, owner, n) of an index that keeps ``owner``, with subtotals: n by term and owner, and over all owners (owner null)."""
+    tall = index.groupBy("term", "owner").agg(F.count(F.lit(1)).alias("n"))
     return tall.rollup("term", "owner").agg(F.sum("n").alias("n")).where(f"term is not null and n >= {least}")

@@ -33,10 +33,31 @@ def contains(points: DataFrame, at: str, spans: DataFrame, lo: str, hi: str, wid
     return p.join(s, "_b").where(F.col(at).between(F.col(lo), F.col(hi))).drop("_b")
 
 
-def nearest(points: DataFrame, keys: list[str], at: str, spans: DataFrame, lo: str, hi: str, value: str, order: str) -> DataFrame:
-    """The interval nearest each point among those of its key: distance 0 inside, else the gap; ties go to the first."""
-    d = F.when(F.col(at) < F.col(lo), F.col(lo) - F.col(at)).when(F.col(at) > F.col(hi), F.col(at) - F.col(hi)).otherwise(0)
-    return points.join(spans, keys).groupBy(*points.columns).agg(F.min_by(value, F.struct(d, F.col(order))).alias(value), F.min(d).cast("long").alias("distance"))
+def nearest(points: DataFrame, keys: list[str], at: str, spans: DataFrame, lo: str, hi: str, value: str, order: str, width: int) -> DataFrame:
+    """The interval nearest each point among those of its key: distance 0 inside, else the gap; ties go to the first.
+
+    Three candidates suffice: of those that hold the point the first, found through
+    buckets of ``width``; the last that ends before it; and the next that begins behind
+    it, each of these by one sorted window. ``order`` has to be a number.
+    """
+    rows = points.withColumn("_id", F.xxhash64(*points.columns)).distinct()
+    p = rows.withColumn("_b", F.floor(F.col(at) / width))
+    s = spans.select(*keys, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), F.col(value).alias("_v"), F.col(order).cast("long").alias("_o"))
+    inside = p.join(s.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width)))), [*keys, "_b"])
+    inside = inside.where(F.col(at).between(F.col("_lo"), F.col("_hi"))).select("_id", F.lit(0).cast("long").alias("_d"), "_o", "_v")
+    seen = F.struct("_at", "_o", "_v")
+
+    def beside(edge: str, back: bool) -> DataFrame:
+        marks = s.select(*keys, F.col(edge).alias("_at"), F.lit(None).cast("long").alias("_id"), "_o", "_v")
+        marks = marks.groupBy(*keys, "_at").agg(F.first("_id").alias("_id"), F.min("_o").alias("_o"), F.min_by("_v", "_o").alias("_v"))
+        here = rows.select(*keys, F.col(at).alias("_at"), "_id", F.lit(None).cast("long").alias("_o"), F.lit(None).cast(s.schema["_v"].dataType).alias("_v"))
+        w = Window.partitionBy(*keys).orderBy(F.col("_at").asc() if back else F.col("_at").desc()).rangeBetween(Window.unboundedPreceding, 0)
+        near = marks.unionByName(here).withColumn("_n", F.last(F.when(F.col("_id").isNull(), seen), ignorenulls=True).over(w))
+        return near.where("_id is not null and _n is not null").select("_id", F.abs(F.col("_at") - F.col("_n._at")).cast("long").alias("_d"), F.col("_n._o").alias("_o"), F.col("_n._v").alias("_v"))
+
+    found = inside.unionByName(beside("_hi", True)).unionByName(beside("_lo", False))
+    best = found.groupBy("_id").agg(F.min(F.struct("_d", "_o", "_v")).alias("_best"))
+    return rows.join(best, "_id").select(*points.columns, F.col("_best._v").alias(value), F.col("_best._d").alias("distance"))
 
 
 def ranked_lookup(keys: DataFrame, key: str, candidates: list[Column], table: DataFrame, on: str, value: str) -> DataFrame:

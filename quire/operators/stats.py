@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,8 +58,35 @@ def tfidf(index: DataFrame) -> DataFrame:
     return w.join(norm, "seg").select("seg", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def cosine_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b, sim) of tall unit vectors (seg, term, w) that share a term."""
-    a = left.select(F.col("seg").alias("a"), "term", F.col("w").alias("wa"))
-    b = right.select(F.col("seg").alias("b"), "term", F.col("w").alias("wb"))
-    return a.join(b, "term").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+def neighbours(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, rows: int = 4096, asked: int = 512) -> DataFrame:
+    """(q, key, sim): for each query the ``k`` rows of greatest cosine, itself left out; ties (to 4 places) by key.
+
+    Exact: a stated set of queries against all rows, in blocks of a bounded number of
+    vectors, each pair of blocks one matrix product of which only the best go on. Null and
+    zero vectors have no neighbours.
+    """
+
+    def blocks(x: DataFrame, size: int, ids: str, vecs: str) -> DataFrame:
+        x = x.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+        n = max(1, -(-x.count() // size))
+        return x.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("b")).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))).alias("x")).select(F.transform("x", lambda y: y["k"]).alias(ids), F.flatten(F.transform("x", lambda y: y["v"])).alias(vecs))
+
+    def unit(ids, flat) -> np.ndarray:
+        m = np.asarray(flat, dtype=float).reshape(len(ids), -1)
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for qi, qv, ki, kv in zip(b["qi"], b["qv"], b["ki"], b["kv"]):
+                sims, ki = unit(qi, qv) @ unit(ki, kv).T, np.asarray(ki)
+                for q, row in zip(qi, sims):
+                    for i in np.lexsort((ki, -np.round(row, 4)))[: k + 1]:
+                        if ki[i] != q and row[i]:
+                            out.append((q, ki[i], float(row[i])))
+            yield pd.DataFrame(out, columns=["q", "k", "sim"])
+
+    pairs = blocks(df, rows, "ki", "kv").crossJoin(blocks(queries, asked, "qi", "qv"))
+    near = pairs.mapInPandas(run, "q long, k long, sim double")
+    return top_k(near, ["q"], [F.round("sim", 4).desc(), F.col("k")], k).select("q", F.col("k").alias(key), "sim")

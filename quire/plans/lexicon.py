@@ -115,11 +115,17 @@ def two_sided(s, d):
 
 
 def longest_prefix(s, d):
-    """For each document the longest work title that its text begins with, or holds at its start in capitals."""
-    head = F.lower(F.substring("text", 1, 80))
-    docs = read(s, d, "documents").where("text is not null").select("doc_id", head.alias("head"))
-    w = read(s, d, "works").select("work_id", F.lower("title").alias("t"))
-    hit = docs.join(w, F.contains("head", "t"))
+    """For each document the longest work title that it names anywhere: word sequences joined with the titles by equality."""
+    w = read(s, d, "works").select("work_id", T.words(F.col("title")).alias("t")).where("size(t) > 0").select("work_id", F.array_join("t", " ").alias("t"), F.size("t").alias("n"))
+    # Titles come in few lengths; each gives one sequence for each word of a text.
+    sizes = sorted(r["n"] for r in w.select("n").distinct().collect())
+    words = read(s, d, "documents").where("text is not null").select("doc_id", T.words(F.col("text")).alias("w"))
+
+    def grams(n: int) -> Column:
+        return F.transform("w", lambda _, i: F.when(i + n <= F.size("w"), F.array_join(F.slice("w", i + 1, n), " ")))
+
+    runs = F.flatten(F.array(*map(grams, sizes)))
+    hit = words.select("doc_id", F.explode(F.array_distinct(runs)).alias("t")).where("t is not null").join(w.select("work_id", "t"), "t")
     return hit.groupBy("doc_id").agg(F.max_by("work_id", F.struct(F.length("t"), "work_id")).alias("work_id"))
 
 
@@ -241,7 +247,7 @@ SQL = {
     "safe_path": r"select distinct source_file, not regexp_matches(source_file, '(^|/)\.\.?(/|$)|\\|[\x00-\x1f]') and length(source_file) <= 512 as safe from fragments where source_file is not null",
     "looks_like_citation": r"select doc_id, regexp_matches(locus, '^\d+[a-e]\d*$') or regexp_matches(locus, '^\d+\.\d+(\.\d+)?$') or regexp_matches(locus, '^[AB] ?\d+$') or regexp_matches(locus, '^\d+$') as looks from documents where locus is not null",
     "two_sided": "with f as (select distinct frag_id, source_file, kind from fragments), x as (select *, last_value(kind ignore nulls) over (partition by source_file order by frag_id rows between unbounded preceding and 1 preceding) as b, first_value(kind ignore nulls) over (partition by source_file order by frag_id rows between 1 following and unbounded following) as a from f) select frag_id, a as kind from x where kind is null and a = b",
-    "longest_prefix": "select doc_id, arg_max(work_id, (length(t), work_id)) as work_id from (select doc_id, lower(substring(text, 1, 80)) as head from documents where text is not null) join (select work_id, lower(title) as t from works) on contains(head, t) group by doc_id",
+    "longest_prefix": "with d as (select doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '([a-z'']+)', 1), ' ') || ' ' as b from documents where text is not null), w as (select work_id, array_to_string(regexp_extract_all(lower(title), '([a-z'']+)', 1), ' ') as t from works) select doc_id, arg_max(work_id, (length(t), work_id)) as work_id from d join w on t <> '' and contains(b, ' ' || t || ' ') group by doc_id",
     "bridge": "select title, lang, count(*) as n from (select work_id, unnest([ross_lang, ref_lang]) as lang from chapter_refs) c join (select work_id, title from works) w using (work_id) where lang is not null group by title, lang",
     "fingerprint": "select work_id, sha256(string_agg(h, ',' order by chapter_id)) as fingerprint from (select distinct work_id, chapter_id, coalesce(sha256(ross_text), '-') as h from chapter_refs) group by work_id",
     "column_ranges": "select work_id, cast(book as bigint) as book, coalesce(min(chapter_id) filter (where ross_text is not null), min(chapter_id)) as lo, coalesce(max(chapter_id) filter (where ross_text is not null), max(chapter_id)) as hi from chapter_refs group by work_id, book",

@@ -37,7 +37,7 @@ def point_in_range(s, d):
 def nearest_range(s, d):
     pts = read(s, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.floor("c_acctbal").cast("long").alias("at"))
     spans = read(s, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.floor("s_acctbal").cast("long").alias("lo"), (F.floor("s_acctbal") + 500).cast("long").alias("hi"), "s_suppkey")
-    return joins.nearest(pts, ["nation"], "at", spans, "lo", "hi", "s_suppkey", "s_suppkey").select("c_custkey", "s_suppkey", "distance")
+    return joins.nearest(pts, ["nation"], "at", spans, "lo", "hi", "s_suppkey", "s_suppkey", 500).select("c_custkey", "s_suppkey", "distance")
 
 
 def ranked_lookup(s, d):
@@ -236,15 +236,9 @@ def duplicates_casefold(s, d):
 
 def embedding_neighbours(s, d):
     """Queries (ids divisible by 50) against all vectors, by blocks: cosine of the best three."""
-    e = read(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    e = e.withColumn("n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"), F.col("n").alias("qn"))
-    # A stated query set against all rows: one row of vectors a block.
-    block = q.groupBy(F.pmod("q", F.lit(16)).alias("blk")).agg(F.collect_list(F.struct("q", "qv", "qn")).alias("qs"))
-    pairs = e.join(block, F.lit(True)).select("vec_id", "v", "n", F.explode("qs").alias("x"))
-    dot = F.aggregate(F.zip_with("v", "x.qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    sim = pairs.select(F.col("x.q").alias("q"), "vec_id", F.round(dot / (F.col("n") * F.col("x.qn")), 4).alias("sim")).where("q <> vec_id")
-    return stats.top_k(sim, ["q"], [F.col("sim").desc(), F.col("vec_id")], 3).select("q", "vec_id", "sim")
+    e = read(s, d, "embeddings").select("vec_id", "embedding")
+    best = stats.neighbours(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 3)
+    return best.select("q", "vec_id", F.round("sim", 4).alias("sim"))
 
 
 _REF = "(select distinct ref_id, dialogue_id, turn_index, speaker from ref_turns)"

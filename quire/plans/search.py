@@ -42,8 +42,7 @@ def hit_positions(s, d):
 
 
 def kwic_phrase(s, d):
-    docs = read(s, d, "documents")
-    return index.kwic(docs, "doc_id", "text", search_phrase(s, d), 3).withColumn("pos", F.col("pos").cast("long"))
+    return index.kwic(read(s, d, "documents"), "doc_id", "text", ["in", "the", "market"]).withColumn("pos", F.col("pos").cast("long"))
 
 
 def kwic_chars(s, d):
@@ -51,13 +50,13 @@ def kwic_chars(s, d):
 
 
 def term_rollup(s, d):
-    owner = read(s, d, "documents").select(F.col("doc_id").alias("seg"), F.coalesce("source", F.lit("?")).alias("owner"))
-    return index.rollup_terms(_index(s, d), owner)
+    docs = read(s, d, "documents").withColumn("owner", F.coalesce("source", F.lit("?")))
+    return index.rollup_terms(index.postings(docs, "doc_id", "text", ["owner"]))
 
 
 def top_terms(s, d):
-    docs = read(s, d, "documents").select(F.col("doc_id").alias("seg"), F.coalesce("source", F.lit("?")).alias("source"))
-    n = _index(s, d).join(docs, "seg").groupBy("source", "term").agg(F.count(F.lit(1)).alias("n"))
+    docs = read(s, d, "documents").withColumn("source", F.coalesce("source", F.lit("?")))
+    n = index.postings(docs, "doc_id", "text", ["source"]).groupBy("source", "term").agg(F.count(F.lit(1)).alias("n"))
     return stats.top_k(n, ["source"], [F.col("n").desc(), F.col("term")], 5).select("source", "term", "n", F.col("rank").cast("long").alias("rank"))
 
 
