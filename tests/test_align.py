@@ -37,7 +37,7 @@ def test_monotone_is_best_and_earliest(n, m, data):
 def test_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     m = rng.integers(-2, 3, (60, 4)).astype(float)
-    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(900, None), (None, [1.0, 0, 0, 0])]
+    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(900, None), (None, [1.0, 0.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "id long, v array<double>")
     got = {(r["q"], r["id"]): r["sim"] for r in stats.neighbours(df, df.where("id % 10 = 0"), "id", "v", 3, rows=7, asked=2).collect()}
     size = np.linalg.norm(m, axis=1)
