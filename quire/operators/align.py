@@ -125,6 +125,45 @@ def beads(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
     return out[::-1]
 
 
+def fill_gaps(a: list, b: list, anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Anchors with what lies between them: stretches of equal length are paired in order, and of others equal labels as far as they keep the order."""
+    out: list[tuple[int, int]] = []
+    i = j = 0
+    for p, q in [*anchors, (len(a), len(b))]:
+        if p - i == q - j:
+            out += zip(range(i, p), range(j, q))
+        else:
+            out += [(i + x, j + y) for x, y in lcs(a[i:p], b[j:q])]
+        if p < len(a):
+            out.append((p, q))
+        i, j = p + 1, q + 1
+    return out
+
+
+def zip_gaps(a: list, b: list, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pairs with those left over of each label between two of them, the first with the first, where the order allows it."""
+    out: list[tuple[int, int]] = []
+    for (p, q), (r, s) in zip([(-1, -1), *pairs], [*pairs, (len(a), len(b))]):
+        floor = q
+        for i in range(p + 1, r):
+            j = next((j for j in range(floor + 1, s) if a[i] is not None and b[j] == a[i]), None)
+            if j is not None:
+                out.append((i, j))
+                floor = j
+        if r < len(a):
+            out.append((r, s))
+    return out
+
+
+def margins(s: np.ndarray, path: list[int]) -> list[float]:
+    """For each row how far its column's similarity lies above that of the best other column; 1 where there is no other."""
+    out = []
+    for row, j in zip(s, path):
+        rest = np.delete(row, j)
+        out.append(float(row[j] - rest.max()) if len(rest) else 1.0)
+    return out
+
+
 def align_groups(left: DataFrame, right: DataFrame, by: str, how: str) -> DataFrame:
     """(by, a, b) of streams (by, ord, label, text): pairs of ord within each group by one of the methods above.
 
@@ -139,6 +178,8 @@ def align_groups(left: DataFrame, right: DataFrame, by: str, how: str) -> DataFr
         la, lb = l["label"].tolist(), r["label"].tolist()
         if how == "lcs":
             pairs = lcs(la, lb)
+        elif how == "filled":
+            pairs = fill_gaps(la, lb, lcs(la, lb))
         elif how == "monotone":
             pairs = list(enumerate(monotone(similarity(ta, tb))))
         elif how == "beads":
@@ -146,6 +187,7 @@ def align_groups(left: DataFrame, right: DataFrame, by: str, how: str) -> DataFr
         else:
             ok = np.array([[x == y or x is None or y is None for y in lb] for x in la])
             pairs = global_pairs(similarity(ta, tb), ok)
+            pairs = zip_gaps(la, lb, pairs) if how == "zipped" else pairs
         oa, ob = l["ord"].tolist(), r["ord"].tolist()
         return pd.DataFrame([(key[0], oa[i], ob[j]) for i, j in pairs], columns=["g", "a", "b"])
 

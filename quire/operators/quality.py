@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,9 +28,3 @@ def duplicates(df: DataFrame, key: list[str], check: str) -> DataFrame:
 def missing(df: DataFrame, key: str, known: DataFrame, on: str, check: str) -> DataFrame:
     k = known.select(F.col(on).alias(key)).distinct()
     return problems(df.where(F.col(key).isNotNull()).select(key).distinct().join(k, key, "left_anti"), check, F.lit(True), F.col(key))
-
-
-def register(spark, functions: dict[str, Callable]) -> None:
-    """Plug-in surface: named Python functions for SQL text."""
-    for name, f in functions.items():
-        spark.udf.register(name, f)

@@ -115,6 +115,45 @@ def align_turns_nw(s, d):
     return align.align_groups(*_streams(s, d), "dialogue_id", "global")
 
 
+def pair_turns_filled(s, d):
+    """Anchors by label, and what lies between them."""
+    return align.align_groups(*_streams(s, d), "dialogue_id", "filled")
+
+
+def align_turns_zipped(s, d):
+    """Turns aligned by likeness, with those of one speaker left between two pairs."""
+    return align.align_groups(*_streams(s, d), "dialogue_id", "zipped")
+
+
+def chapter_margins(s, d):
+    """Anchors of a chapter to the sentence of its translation most like what follows them, in order: how sure each is.
+
+    Chapters' own anchors are certain, others reliable if their margin is above 0.05;
+    each anchor's offset never falls behind the one before it.
+    """
+    c = read(s, d, "chapter_refs").where("chapter_id is not null and ross_text <> '' and ref_text <> ''").select("chapter_id", "ross_text", "ross_sents", "ref_text", "ref_anchors").distinct()
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for k, text, sents, ref, anchors in zip(b["chapter_id"], b["ross_text"], b["ross_sents"], b["ref_text"], b["ref_anchors"]):
+                sents = sorted((x["off_start"], x["off_end"]) for x in (sents if sents is not None else ()))
+                anchors = sorted((x["off"], x["citation"], x["tier"]) for x in (anchors if anchors is not None else ()))
+                if not sents or not anchors:
+                    continue
+                ends = [a[0] for a in anchors[1:]] + [len(ref)]
+                m = align.similarity([ref[a[0] : e] for a, e in zip(anchors, ends)], [text[x:y] for x, y in sents])
+                path = align.monotone(m)
+                for (_, cite_, tier), j, margin in zip(anchors, path, align.margins(m, path)):
+                    sure = "certain" if tier == "chapter" else "reliable" if margin > 0.05 else "uncertain"
+                    out.append((k, cite_, 0 if tier == "chapter" else sents[j][0], sure))
+            yield pd.DataFrame(out, columns=["chapter_id", "citation", "off", "confidence"])
+
+    return c.mapInPandas(run, "chapter_id long, citation string, off long, confidence string")
+
+
 def align_monotone(s, d):
     return align.align_groups(*_streams(s, d), "dialogue_id", "monotone")
 
@@ -158,4 +197,4 @@ SQL = {
     "bracket_classify": r"select case when regexp_matches(b, '[0-9]') then 'reference' when regexp_matches(b, '^[^ ]*\..*\.$') then 'abbreviation' else 'note' end as kind, count(*) as n from (select unnest(regexp_extract_all(text, '\(([^()]*)\)', 1)) as b from (select distinct sent_id, text from gsents)) group by 1",
     "probe_hits": f"with w as (select doc_id, {_W} as w from documents), p as (select distinct doc_id, array_to_string(w[i:i + 7], ' ') as h from (select doc_id, w, unnest(generate_series(1, len(w) - 7)) as i from w where len(w) >= 8)) select doc_id, count(*) as shared from p where h in (select h from p group by h having count(*) > 1) group by doc_id",
 }
-QUERIES = {f.__name__: f for f in (cite_scheme, cite_resolve, cite_mentions, column_enumeration, section_outline, html_plain, link_list, html_safe, highlight, checks_domain, span_gaps, run_classify, bracket_classify, probe_hits, pair_turns_lcs, align_turns_nw, align_monotone, bead_align, page_blocks)}
+QUERIES = {f.__name__: f for f in (cite_scheme, cite_resolve, cite_mentions, column_enumeration, section_outline, html_plain, link_list, html_safe, highlight, checks_domain, span_gaps, run_classify, bracket_classify, probe_hits, pair_turns_lcs, pair_turns_filled, align_turns_zipped, chapter_margins, align_turns_nw, align_monotone, bead_align, page_blocks)}

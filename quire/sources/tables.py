@@ -19,9 +19,9 @@ def optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
-def json_records(spark: SparkSession, path: str, key: list[str], value: str, prefix: str | None = None) -> DataFrame:
-    """(key, value) of JSON records, or of one object that maps keys to values; duplicate keys raise an error."""
-    raw = spark.read.json(path, multiLine=True)
+def json_records(spark: SparkSession, path: str, key: list[str], value: str, prefix: str | None = None, lines: bool = False) -> DataFrame:
+    """(key, value) of JSON records (``lines``: one to a line, of any number), or of one object that maps keys to values; duplicate keys raise an error."""
+    raw = spark.read.json(path, multiLine=not lines)
     if set(key) <= set(raw.columns):
         out = raw.select(F.concat_ws(".", *[F.col(k).cast("string") for k in key]).alias("key"), F.col(value).cast("string").alias("value"))
     else:
@@ -64,5 +64,12 @@ def write_sharded(df: DataFrame, path: str, shard: Column, key: str) -> None:
     df.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", key).write.partitionBy("shard").mode("overwrite").parquet(path)
 
 
+def write_json(df: DataFrame, path: str, key: str) -> None:
+    """One JSON object to a line, nulls kept, in ranges and order of ``key``, so that the content decides the bytes of each range."""
+    df.repartitionByRange(key).sortWithinPartitions(*df.columns).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\r\n").csv(path)
+    """Quoted as need be, line ends of two bytes, and a byte-order mark before the header of each file."""
+    marked = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
+    marked.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\r\n").csv(path)

@@ -46,3 +46,13 @@ def test_neighbours_equal_brute_force(spark):
             sims = {i: m[q] @ m[i] / size[q] / size[i] for i in range(60) if i != q and size[i]}
             want = sorted(sims, key=lambda i: (-round(sims[i], 4), i))[:3]
             assert [i for _, i in sorted((-round(v, 4), i) for (x, i), v in got.items() if x == q)] == want
+
+
+def test_gaps():
+    a, b = list("xaybz"), list("xqyrsz")
+    anchors = align.lcs(a, b)
+    assert align.fill_gaps(a, b, anchors) == [(0, 0), (1, 1), (2, 2), (4, 5)]
+    assert align.fill_gaps([], [], []) == [] and align.fill_gaps(["a"], ["b"], []) == [(0, 0)]
+    assert align.zip_gaps(list("xaay"), list("xbaay"), [(0, 0), (3, 4)]) == [(0, 0), (1, 2), (2, 3), (3, 4)]
+    assert align.zip_gaps(["a", None], ["a", None], []) == [(0, 0)]
+    assert align.margins(np.array([[0.5, 0.2], [0.1, 0.4]]), [0, 1]) == [0.3, 0.30000000000000004] and align.margins(np.array([[0.5]]), [0]) == [1.0]
