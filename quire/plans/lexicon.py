@@ -136,9 +136,15 @@ def bridge(s, d):
 
 
 def fingerprint(s, d):
-    """One hash for each work over its chapters in order."""
+    """One hash for each work over its chapters in order: of the hashes of each thousand ids, so that no row grows with a work's texts."""
     c = read(s, d, "chapter_refs").select("work_id", "chapter_id", F.coalesce(F.sha2("ross_text", 256), F.lit("-")).alias("h")).distinct()
-    return c.groupBy("work_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter_id", "h"))), lambda x: x["h"]), ","), 256).alias("fingerprint"))
+
+    def chained(order: str):
+        rows = F.array_sort(F.collect_list(F.struct(order, "h")))
+        return F.sha2(F.array_join(F.transform(rows, lambda x: x["h"]), ","), 256)
+
+    part = c.groupBy("work_id", F.floor(F.col("chapter_id") / 1000).alias("part")).agg(chained("chapter_id").alias("h"))
+    return part.groupBy("work_id").agg(chained("part").alias("fingerprint"))
 
 
 def column_ranges(s, d):
@@ -199,17 +205,7 @@ def lemma_index(s, d):
 
 
 def word_lookup(s, d):
-    """Words of the first chapter's originals with their first gloss."""
-    w = read(s, d, "gsents").where("chapter_id = 1").select("sent_id", F.posexplode(F.split("text", r"[\s.,;]+")).alias("pos", "form")).where("form <> ''").distinct()
-    a = read(s, d, "analyses").groupBy("form").agg(F.min("gloss").alias("gloss"))
-    return w.join(a, "form", "left").select("sent_id", F.col("pos").cast("long").alias("pos"), "form", "gloss")
-
-
-def word_lookup_all(s, d):
-    """Words of all originals with their first gloss.
-
-    word_lookup keeps to its SQL, which takes the first chapter alone.
-    """
+    """Words of all originals with their first gloss."""
     g = read(s, d, "gsents").select("sent_id", "text").distinct()
     w = g.select("sent_id", F.posexplode(F.split("text", r"[\s.,;]+")).alias("pos", "form")).where("form <> ''")
     # Analyses have a fixed size.
@@ -249,15 +245,15 @@ SQL = {
     "two_sided": "with f as (select distinct frag_id, source_file, kind from fragments), x as (select *, last_value(kind ignore nulls) over (partition by source_file order by frag_id rows between unbounded preceding and 1 preceding) as b, first_value(kind ignore nulls) over (partition by source_file order by frag_id rows between 1 following and unbounded following) as a from f) select frag_id, a as kind from x where kind is null and a = b",
     "longest_prefix": "with d as (select doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '([a-z'']+)', 1), ' ') || ' ' as b from documents where text is not null), w as (select work_id, array_to_string(regexp_extract_all(lower(title), '([a-z'']+)', 1), ' ') as t from works) select doc_id, arg_max(work_id, (length(t), work_id)) as work_id from d join w on t <> '' and contains(b, ' ' || t || ' ') group by doc_id",
     "bridge": "select title, lang, count(*) as n from (select work_id, unnest([ross_lang, ref_lang]) as lang from chapter_refs) c join (select work_id, title from works) w using (work_id) where lang is not null group by title, lang",
-    "fingerprint": "select work_id, sha256(string_agg(h, ',' order by chapter_id)) as fingerprint from (select distinct work_id, chapter_id, coalesce(sha256(ross_text), '-') as h from chapter_refs) group by work_id",
+    "fingerprint": "select work_id, sha256(string_agg(h, ',' order by part)) as fingerprint from (select work_id, floor(chapter_id / 1000) as part, sha256(string_agg(h, ',' order by chapter_id)) as h from (select distinct work_id, chapter_id, coalesce(sha256(ross_text), '-') as h from chapter_refs) group by 1, 2) group by work_id",
     "column_ranges": "select work_id, cast(book as bigint) as book, coalesce(min(chapter_id) filter (where ross_text is not null), min(chapter_id)) as lo, coalesce(max(chapter_id) filter (where ross_text is not null), max(chapter_id)) as hi from chapter_refs group by work_id, book",
     "tick_windows": "select chapter_id, sent_id, near from (select *, row_number() over w as n, array_to_string(list(sent_id) over (partition by chapter_id order by seq, sent_id rows between 1 preceding and 1 following), ',') as near from (select distinct chapter_id, sent_id, seq from gsents where chapter_id is not null) window w as (partition by chapter_id order by seq, sent_id)) where n = 1 or n % 5 = 0",
     "straddle": "select sent_id, cast(case when span_start = b + 1 then b else span_start end as bigint) as eff_start from (select *, lag(span_end) over (partition by chapter_id order by seq, sent_id) as b from (select distinct chapter_id, sent_id, seq, span_start, span_end from gsents where span_start is not null and span_end is not null))",
     "patch_overlay": "select k, frag_id from (select source_file || '#' || column_key as k, frag_id, row_number() over (partition by source_file || '#' || column_key order by case when coalesce(text, '') = '' then 1 else 0 end, frag_id desc) as r from (select distinct frag_id, source_file, column_key, text from fragments) where source_file is not null and column_key is not null) where r = 1",
     "interpolate_lines": "select chapter_id, x.citation as citation, round(x.cum_words * len / (w + 10), 3) as off_at from (select distinct chapter_id, greek_lines[-1].cum_words as w, length(ross_text) as len, unnest(greek_lines) as x from chapter_refs where length(ross_text) > 0 and len(greek_lines) > 1)",
     "lemma_index": f"select term, count(*) as n, count(distinct work_id) as works from (select doc_id, work_id, unnest({_W}) as term from documents) group by term having count(*) >= 3",
-    "word_lookup": r"with w as (select distinct sent_id, form, pos from (select sent_id, unnest(p) as form, generate_subscripts(p, 1) - 1 as pos from (select sent_id, regexp_split_to_array(text, '[\s.,;]+') as p from gsents where chapter_id = 1)) where form <> '') select sent_id, pos, w.form, gloss from w left join (select form, min(gloss) as gloss from analyses group by form) a on w.form = a.form",
+    "word_lookup": r"with w as (select distinct sent_id, form, pos from (select sent_id, unnest(p) as form, generate_subscripts(p, 1) - 1 as pos from (select sent_id, regexp_split_to_array(text, '[\s.,;]+') as p from gsents)) where form <> '') select sent_id, pos, w.form, gloss from w left join (select form, min(gloss) as gloss from analyses group by form) a on w.form = a.form",
     "navigation": "select author, string_agg(distinct title, '; ' order by title) as titles, cast(sum(n_books) as bigint) as books from works group by author",
     "latest_version": "select scheme, work_id, corpus_version from (select *, row_number() over (partition by scheme order by released_at desc, work_id) as r from works where corpus_version is not null) where r = 1",
 }
-QUERIES = {f.__name__: f for f in (enclitic_hosts, caps_fallback, homonym_filter, pos_class, short_gloss, shard_assign, dict_topup, match_rate, parse_filter, facet_predicate, narrow_library, version_predicate, safe_path, looks_like_citation, two_sided, longest_prefix, bridge, fingerprint, column_ranges, independent_evidence, tick_windows, straddle, patch_overlay, interpolate_lines, snap_offsets, lemma_index, word_lookup, word_lookup_all, navigation, latest_version)}
+QUERIES = {f.__name__: f for f in (enclitic_hosts, caps_fallback, homonym_filter, pos_class, short_gloss, shard_assign, dict_topup, match_rate, parse_filter, facet_predicate, narrow_library, version_predicate, safe_path, looks_like_citation, two_sided, longest_prefix, bridge, fingerprint, column_ranges, independent_evidence, tick_windows, straddle, patch_overlay, interpolate_lines, snap_offsets, lemma_index, word_lookup, navigation, latest_version)}

@@ -136,18 +136,7 @@ def mode_first_seen(s, d):
 
 
 def name_window(s, d):
-    """Sentences whose chapter neighbour names a person that they name as well."""
-    g = read(s, d, "gsents").where("lang = 'lat'").select("chapter_id", "sent_id", "seq", F.regexp_extract("text", r" ([A-Z][a-z]+)", 1).alias("name")).distinct()
-    w = Window.partitionBy("chapter_id").orderBy("seq", "sent_id")
-    near = (F.lag("name").over(w) == F.col("name")) | (F.lead("name").over(w) == F.col("name"))
-    return g.withColumn("near", near).where("name <> '' and near").select("sent_id", "name")
-
-
-def name_window_all(s, d):
-    """Sentences and each name that a chapter neighbour holds as well.
-
-    name_window keeps to its SQL, which takes the first name of a sentence alone.
-    """
+    """Sentences and each name that a chapter neighbour holds as well."""
     names = F.array_distinct(F.regexp_extract_all("text", F.lit(r" ([A-Z][a-z]+)"), F.lit(1)))
     g = read(s, d, "gsents").where("lang = 'lat'").select("chapter_id", "sent_id", "seq", names.alias("names")).distinct()
     g = g.withColumn("pos", F.row_number().over(Window.partitionBy("chapter_id").orderBy("seq", "sent_id")))
@@ -168,16 +157,7 @@ def merge_existing_wins(s, d):
 
 
 def tree_diff(s, d):
-    one = read(s, d, "documents").where("doc_id % 7 <> 0 and text is not null").select("doc_id", F.md5("text").alias("h"))
-    two = read(s, d, "documents").where("doc_id % 5 <> 0 and text is not null").select("doc_id", F.md5(F.when(F.col("doc_id") % 11 == 0, F.upper("text")).otherwise(F.col("text"))).alias("h"))
-    return merge.diff(one, two, "doc_id", "h")
-
-
-def tree_diff_resent(s, d):
-    """Each original as first sent against as last sent, all rows by content.
-
-    tree_diff keeps to its SQL, which makes up both sides from samples.
-    """
+    """Each original as first sent against as last sent, all rows by content."""
     g = read(s, d, "gsents").where("sent_id is not null")
     h = F.md5(F.to_json(F.struct(*sorted(c for c in g.columns if c != "loaded_at")), {"ignoreNullFields": "false"}))
     g = g.select("sent_id", "loaded_at", h.alias("h"))
@@ -197,18 +177,7 @@ def revision_fold(s, d):
 
 
 def port_text(s, d):
-    """Fragments whose text is taken from another of the same place: the end of each chain."""
-    f = read(s, d, "fragments").select("frag_id", "source_file", "column_key", "text_from").distinct()
-    by = f.groupBy("source_file", "column_key").agg(F.min("frag_id").alias("first"))
-    links = f.join(by, ["source_file", "column_key"]).select("frag_id", F.when(F.col("first") < F.col("frag_id"), F.col("first")).alias("parent"))
-    return merge.resolve_chain(links.dropDuplicates(["frag_id"]), "frag_id", "parent", 4)
-
-
-def port_text_from(s, d):
-    """Fragments and where the text that they take by text_from comes from, along chains within a file.
-
-    port_text keeps to its SQL, which goes by place alone.
-    """
+    """Fragments and where the text that they take by text_from comes from, along chains within a file."""
     f = read(s, d, "fragments").select("frag_id", "source_file", "column_key", "text_from").distinct()
     return merge.port(f, "frag_id", "source_file", "column_key", "text_from")
 
@@ -242,7 +211,7 @@ def embedding_neighbours(s, d):
 
 
 _REF = "(select distinct ref_id, dialogue_id, turn_index, speaker from ref_turns)"
-_DIFF = "(select coalesce(a.doc_id, b.doc_id) as doc_id, case when b.h is null then 'removed' when a.h is null then 'added' when a.h = b.h then 'identical' else 'changed' end as state from (select doc_id, md5(text) as h from documents where doc_id % 7 <> 0 and text is not null) a full join (select doc_id, md5(case when doc_id % 11 = 0 then upper(text) else text end) as h from documents where doc_id % 5 <> 0 and text is not null) b on a.doc_id = b.doc_id)"
+_DIFF = "(select sent_id, case when arg_min(h, (loaded_at, h)) = arg_max(h, (loaded_at, h)) then 'identical' else 'changed' end as state from (select sent_id, loaded_at, md5(cast(to_json({'a': chapter_id, 'b': work_id, 'c': seq, 'd': lang, 'e': span_start, 'f': span_end, 'g': text, 'h': lines, 'i': ticks, 'j': w_start, 'k': w_end, 'l': gloss}) as varchar)) as h from gsents where sent_id is not null) group by sent_id)"
 SQL = {
     "asof_event": "select p.event_id, p.user_id, (select arg_max(v.event_id, (v.ts, v.event_id)) from events v where v.event_type = 'view' and v.user_id = p.user_id and v.ts <= p.ts) as view_id from events p where event_type = 'purchase'",
     "asof_citation": "with c as (select distinct chapter_id, ref_text, ref_anchors, greek_lines from chapter_refs where ref_text is not null), a as (select chapter_id, x.citation as anchor, cast(floor(x.off * w / len) as bigint) as at_ from (select chapter_id, greek_lines[-1].cum_words as w, length(ref_text) as len, unnest(ref_anchors) as x from c)), l as (select chapter_id, y.cum_words as at_, y.citation as line from (select chapter_id, unnest(greek_lines) as y from c)) select a.chapter_id, a.anchor, a.at_ as \"at\", (select arg_max(l.line, l.at_) from l where l.chapter_id = a.chapter_id and l.at_ <= a.at_) as line from a",
@@ -265,17 +234,16 @@ SQL = {
     "ratio_outliers": "select o_orderkey from (select o_orderkey, o_totalprice, avg(o_totalprice) over (partition by o_orderpriority) as m, stddev_pop(o_totalprice) over (partition by o_orderpriority) as sd from orders) where abs(o_totalprice - m) > 1.5 * sd",
     "error_summary": "select l_returnflag, count(*) as n, round(avg(l_quantity), 4) as mean, round(median(l_quantity), 4) as median, max(l_quantity) as most, round(avg(case when l_quantity = 1 then 1.0 else 0.0 end), 4) as exact_share from lineitem group by grouping sets ((l_returnflag), ())",
     "mode_first_seen": f"select dialogue_id, arg_max(speaker, (n, -o)) as speaker, arg_max(n, (n, -o)) as n from (select dialogue_id, speaker, count(*) as n, min(ref_id) as o from {_REF} where speaker is not null group by dialogue_id, speaker) group by dialogue_id",
-    "name_window": r"with g as (select distinct chapter_id, sent_id, seq, regexp_extract(text, ' ([A-Z][a-z]+)', 1) as name from gsents where lang = 'lat'), w as (select *, lag(name) over v = name as a, lead(name) over v = name as b from g window v as (partition by chapter_id order by seq, sent_id)) select sent_id, name from w where name <> '' and (a or b)",
+    "name_window": r"with g as (select chapter_id, sent_id, names, row_number() over (partition by chapter_id order by seq, sent_id) as pos from (select distinct chapter_id, sent_id, seq, list_sort(list_distinct(regexp_extract_all(text, ' ([A-Z][a-z]+)', 1))) as names from gsents where lang = 'lat')), n as (select chapter_id, sent_id, pos, unnest(names) as name from g), w as (select *, pos - lag(pos) over v as a, lead(pos) over v - pos as b from n window v as (partition by chapter_id, name order by pos)) select sent_id, name from w where a = 1 or b = 1",
     "config_grid": "select l_linestatus, round(avg(l_discount) filter (where l_returnflag = 'A'), 4) as avg_a, round(avg(l_discount) filter (where l_returnflag = 'N'), 4) as avg_n, round(avg(l_discount) filter (where l_returnflag = 'R'), 4) as avg_r from lineitem group by l_linestatus",
     "merge_existing_wins": "with a as (select form, min(gloss) as g, true as h from analyses where lang in ('grc', 'lat') group by form), b as (select form, max(gloss) as g, true as h from analyses group by form) select coalesce(a.form, b.form) as form, case when a.h then a.g else b.g end as gloss, case when a.h is null then 'added' when b.h is null then 'kept' when a.g is not distinct from b.g then 'same' else 'conflict' end as status from a full join b on a.form = b.form",
-    "tree_diff": f"select doc_id, state from {_DIFF}",
+    "tree_diff": f"select sent_id, state from {_DIFF}",
     "publish_decision": f"select count(*) filter (where state = 'identical') as identical, count(*) filter (where state = 'changed') as changed, count(*) filter (where state = 'removed') as removed, count(*) filter (where state = 'added') as added, case when count(*) filter (where state in ('changed', 'removed')) > 0 then 'refuse' when count(*) filter (where state = 'added') > 0 then 'upload' else 'noop' end as decision from {_DIFF}",
     "revision_fold": "select event_id, case when high is null or rev > high then 'write' when rev = high then 'idempotent' else 'reject' end as outcome from (select event_id, rev, max(rev) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as high from (select event_id, user_id, ts, cast(floor(value) as bigint) as rev from events) where rev is not null)",
-    "port_text": "select distinct frag_id, first_value(frag_id) over (partition by source_file, column_key order by frag_id) as root, cast(case when frag_id = first_value(frag_id) over (partition by source_file, column_key order by frag_id) then 0 else 1 end as bigint) as hops from fragments where source_file is not null and column_key is not null",
     "facet_counts": "select lang, scheme, count(*) as n, count(distinct author) as authors from works group by grouping sets ((lang), (scheme), ())",
     "catalog_model": "select r_name, n_name, cast(coalesce(sum(customers), 0) as bigint) as customers from nation join region on n_regionkey = r_regionkey left join (select c_nationkey as k, count(*) as customers from customer group by 1) on n_nationkey = k group by rollup (r_name, n_name)",
     "recent_docs": "select work_id, doc_id, rank from (select work_id, doc_id, row_number() over (partition by work_id order by added_at desc nulls last, doc_id) as rank from documents where work_id is not null) where rank <= 3",
     "duplicates_casefold": "select lower(speaker) as k, count(*) as n, count(distinct dialogue_id) as dialogues from new_turns where speaker is not null group by 1 having count(*) > 1",
     "embedding_neighbours": "with e as (select vec_id, cast(embedding as double[]) as v from embeddings), s as (select a.vec_id as q, b.vec_id, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 4) as sim from e a, e b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id) select q, vec_id, sim from (select *, row_number() over (partition by q order by sim desc, vec_id) as r from s) where r <= 3",
 }
-QUERIES = {f.__name__: f for f in (asof_event, asof_citation, point_in_range, nearest_range, ranked_lookup, semi_needed, reconcile_works, range_expand, span_slices, line_gaps, transposed, chapter_ranges, label_suppress, speaker_runs, coverage_depth, sessionise, cumulative_words, ratio_robust_z, ratio_outliers, error_summary, mode_first_seen, name_window, name_window_all, config_grid, merge_existing_wins, tree_diff, tree_diff_resent, publish_decision, revision_fold, port_text, port_text_from, facet_counts, catalog_model, recent_docs, duplicates_casefold, embedding_neighbours)}
+QUERIES = {f.__name__: f for f in (asof_event, asof_citation, point_in_range, nearest_range, ranked_lookup, semi_needed, reconcile_works, range_expand, span_slices, line_gaps, transposed, chapter_ranges, label_suppress, speaker_runs, coverage_depth, sessionise, cumulative_words, ratio_robust_z, ratio_outliers, error_summary, mode_first_seen, name_window, config_grid, merge_existing_wins, tree_diff, publish_decision, revision_fold, port_text, facet_counts, catalog_model, recent_docs, duplicates_casefold, embedding_neighbours)}
