@@ -13,10 +13,12 @@ inscriptions follow their own rules.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import repeat
 
 import pandas as pd
@@ -43,32 +45,32 @@ PARTING = "⁝⁞:·⁚⁖⁘᛫․.·"
 CJK = ("zh", "ja")
 
 
+_GREEK, _KANA, _HAN = re.compile("[Ͱ-Ͽἀ-῿]"), re.compile("[\u3040-\u30ff]"), re.compile("[\u2e80-\u303f\u3400-\u9fff\uf900-\ufaff]")
+_INVISIBLE = re.compile("[" + "".join(re.escape(chr(c)) for c in (*range(0xD800), *range(0xE000, 0x10000), *range(0x1D173, 0x1D17B), *range(0xE0000, 0xE0080)) if unicodedata.category(chr(c)) == "Cf") + "]")
+
+
 def script(text: str) -> str | None:
     """The language where the script alone tells it."""
-    n = Counter()
-    for ch in text:
-        if ch.isalpha():
-            o = ord(ch)
-            n["grc" if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000 else "kana" if 0x3040 <= o < 0x3100 else "han" if 0x2E80 <= o < 0x3040 or 0x3400 <= o < 0xA000 or 0xF900 <= o < 0xFB00 else "latin"] += 1
-    if not n:
+    if text.isascii():
         return None
-    if n["kana"] + n["han"] > 0.4 * n.total():
-        return "ja" if n["kana"] else "zh"
-    return "grc" if n["grc"] > n["latin"] else None
-
-
-def invisible(ch: str) -> bool:
-    return unicodedata.category(ch) == "Cf"
+    grc, kana, han = (sum(map(str.isalpha, p.findall(text))) for p in (_GREEK, _KANA, _HAN))
+    letters = sum(map(str.isalpha, text))
+    if not letters:
+        return None
+    if kana + han > 0.4 * letters:
+        return "ja" if kana else "zh"
+    return "grc" if grc > letters - grc - kana - han else None
 
 
-def visible(text: str) -> tuple[str, list[int]]:
-    """The text without invisible characters, white space as spaces, and the place of each character."""
-    if text.isascii():
-        return text, list(range(len(text)))
-    at = [i for i, ch in enumerate(text) if ch.isascii() or not invisible(ch)]
+def visible(text: str) -> tuple[str, Sequence[int]]:
+    """The text without invisible characters, and the place of each character."""
+    if text.isascii() or not _INVISIBLE.search(text):
+        return text, range(len(text))
+    at = [i for i, ch in enumerate(text) if not _INVISIBLE.match(ch)]
     return "".join(text[i] for i in at), at
 
 
+@lru_cache(300_000)
 def word_type(w: str) -> str:
     return unicodedata.normalize("NFC", w).lower()
 
@@ -104,20 +106,16 @@ class Model:
         return max(sorted(best), key=lambda k: best[k]) if best and max(best.values()) > 0 else (told or "")
 
 
+_TOKEN = re.compile(r"\S+")
+
+
 def tokens(s: str) -> Iterator[tuple[str, int, int]]:
-    """(core, start, end) of white-space separated tokens; the core lacks brackets, quotes and commas at the edges."""
-    i, n = 0, len(s)
-    while i < n:
-        if s[i].isspace():
-            i += 1
-            continue
-        j = i
-        while j < n and not s[j].isspace():
-            j += 1
-        yield s[i:j], i, j
-        i = j
+    """(token, start, end) of what white space parts."""
+    for m in _TOKEN.finditer(s):
+        yield m[0], m.start(), m.end()
 
 
+@lru_cache(300_000)
 def _core(tok: str) -> str:
     a, b = 0, len(tok)
     while a < b and not tok[a].isalnum():
