@@ -70,7 +70,7 @@ def visible(text: str) -> tuple[str, Sequence[int]]:
     return "".join(text[i] for i in at), at
 
 
-@lru_cache(300_000)
+@lru_cache(60_000)
 def word_type(w: str) -> str:
     return unicodedata.normalize("NFC", w).lower()
 
@@ -115,7 +115,7 @@ def tokens(s: str) -> Iterator[tuple[str, int, int]]:
         yield m[0], m.start(), m.end()
 
 
-@lru_cache(300_000)
+@lru_cache(60_000)
 def _core(tok: str) -> str:
     a, b = 0, len(tok)
     while a < b and not tok[a].isalnum():
