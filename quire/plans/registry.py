@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("text", "search", "relations", "content", "lexicon", "structure", "keys", "originals", "checks", "models", "files")
+MODULES: tuple[str, ...] = ("text", "search", "relations", "content", "lexicon", "structure", "keys", "originals", "checks", "models", "files", "passages")
 
 
 def _gather(what: str) -> dict:
