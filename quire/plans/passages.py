@@ -103,9 +103,9 @@ def paragraph_flow(s, d):
 
 def kwic_everywhere(s, d):
     """Every place of a word with 140 characters on each side, cut back to whole words."""
-    docs = read(s, d, "documents").where("contains(text, 'lantern')").select("doc_id", "text", F.split("text", "lantern").alias("p"))
+    docs = read(s, d, "documents").where("contains(text, 'portico')").select("doc_id", "text", F.split("text", "portico").alias("p"))
     t = docs.select("doc_id", "text", "p", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("i"))
-    at = F.length(F.array_join(F.slice("p", F.lit(1), F.col("i")), "lantern"))
+    at = F.length(F.array_join(F.slice("p", F.lit(1), F.col("i")), "portico"))
     t = t.select("doc_id", "text", at.alias("at"))
     left = F.expr("substring(text, greatest(at - 140, 0) + 1, at - greatest(at - 140, 0))")
     right = F.expr("substring(text, at + 8, 140)")
@@ -162,7 +162,7 @@ SQL = {
     "line_slices": f"select chapter_id, line, a as start, coalesce(lead(a) over (partition by chapter_id, ross_text order by a, line), length(ross_text)) as \"end\" from (select chapter_id, ross_text, line, case when raw = 0 then 0 when position(' ' in substring(ross_text, raw + 1)) = 0 then length(ross_text) else raw + position(' ' in substring(ross_text, raw + 1)) end as a from (select chapter_id, ross_text, l.citation as line, cast(floor(length(ross_text) * l.cum_words / total) as bigint) as raw from (select chapter_id, ross_text, greatest(1, greek_lines[-1].cum_words) as total, unnest(greek_lines) as l from {_CC.format(c='chapter_id, ross_text, greek_lines')} where ross_text <> '' and len(greek_lines) > 1)))",
     "chapter_openings": f"with h as (select distinct chapter_id, n, array_to_string(w[1:n], ' ') as g from (select chapter_id, w, unnest([8, 6, 5, 4]) as n from (select chapter_id, {_WORDS.format(x='ross_text')} as w from {_CC.format(c='chapter_id, ross_text')}) where len(w) >= 8)), d as (select doc_id, ' ' || array_to_string({_WORDS.format(x='text')}, ' ') || ' ' as b from documents where text is not null) select chapter_id, doc_id, max(n) as words from h join d on contains(b, ' ' || g || ' ') group by all",
     "paragraph_flow": f"select distinct chapter_id, at_ as \"at\", case when (at_ - a) * 2 > b - a then b else a end as \"to\" from (select chapter_id, at_, coalesce(list_max(list_transform(list_filter(ross_sents, lambda x: x.off_start <= at_), lambda x: x.off_start)), 0) as a, coalesce(list_min(list_transform(list_filter(ross_sents, lambda x: x.off_start > at_), lambda x: x.off_start)), len) as b from (select chapter_id, ross_sents, len, length(array_to_string(p[1:i - 1], chr(10))) + 1 as at_ from (select chapter_id, ross_sents, length(ross_text) as len, p, unnest(range(1, len(p) + 1)) as i from (select *, string_split(ross_text, chr(10)) as p from {_CC.format(c='chapter_id, ross_text, ross_sents')} where ross_text <> '' and len(ross_sents) > 0)) where i > 1))",
-    "kwic_everywhere": "select doc_id, at_ as \"at\", case when at_ > 140 then regexp_replace(l, '^[^ ]* ', '') else l end as \"left\", case when length(text) > at_ + 147 then regexp_replace(r, ' [^ ]*$', '') else r end as \"right\" from (select doc_id, text, at_, substring(text, greatest(at_ - 140, 0) + 1, at_ - greatest(at_ - 140, 0)) as l, substring(text, at_ + 8, 140) as r from (select doc_id, text, length(array_to_string(p[1:i], 'lantern')) as at_ from (select doc_id, text, p, unnest(range(1, len(p))) as i from (select doc_id, text, string_split(text, 'lantern') as p from documents where contains(text, 'lantern')))))",
+    "kwic_everywhere": "select doc_id, at_ as \"at\", case when at_ > 140 then regexp_replace(l, '^[^ ]* ', '') else l end as \"left\", case when length(text) > at_ + 147 then regexp_replace(r, ' [^ ]*$', '') else r end as \"right\" from (select doc_id, text, at_, substring(text, greatest(at_ - 140, 0) + 1, at_ - greatest(at_ - 140, 0)) as l, substring(text, at_ + 8, 140) as r from (select doc_id, text, length(array_to_string(p[1:i], 'portico')) as at_ from (select doc_id, text, p, unnest(range(1, len(p))) as i from (select doc_id, text, string_split(text, 'portico') as p from documents where contains(text, 'portico')))))",
     "char_samples": "with c as (select doc_id, unnest(list_distinct(string_split(text, ''))) as ch from documents where text is not null), k as (select *, row_number() over (partition by ch order by doc_id) as r from c where regexp_matches(ch, '^[^\\p{L}\\p{N} .,;:!?\\n\\r-]$')) select unicode(ch) as code, count(*) as n, string_agg(cast(doc_id as varchar), ',' order by doc_id) filter (where r <= 5) as first_docs from k group by ch",
     "search_star": f"select distinct seg from {POSTINGS}",
     "lemma_browse": f"select n.lang, n.head, n, works, first_sent, glosses from (select f.lang, l.head, count(distinct (seg, pos)) as n, count(distinct work_id) as works, min(seg) as first_sent from {_LP} f join (select distinct lang, head from analyses a, (select translate(strip_accents(lower(lemma)), 'ς', 'σ') as head) where lang in ('grc', 'lat') and lemma is not null and form is not null) l on l.lang = f.lang and l.head = f.head and f.key in (select translate(strip_accents(lower(form)), 'ς', 'σ') from analyses b where b.lang = f.lang) group by f.lang, l.head having count(distinct (seg, pos)) >= 3) n left join (select lang, translate(strip_accents(lower(lemma)), 'ς', 'σ') as head, array_to_string(list_sort(list(distinct gloss))[1:5], ' | ') as glosses from analyses where gloss is not null group by 1, 2) g on g.lang = n.lang and g.head = n.head",
