@@ -12,10 +12,21 @@ def gaps(df: DataFrame, by: list[str], n: str) -> DataFrame:
     return df.select(*by, n).distinct().withColumn("next", F.lead(n).over(w)).where(F.col("next") > F.col(n) + 1).select(*by, F.col(n).alias("after"), "next")
 
 
-def out_of_order(df: DataFrame, by: list[str], order: list[str], key: str) -> DataFrame:
-    """Rows whose key lies below the greatest key before them: transposed stretches."""
-    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("high", F.max(key).over(before)).where(F.col(key) < F.col("high"))
+def out_of_order(df: DataFrame, by: list[str], order: list[str], key: str, width: int = 4096) -> DataFrame:
+    """Rows whose key lies below the greatest key before them: transposed stretches.
+
+    ``order`` begins with a whole number; a group is cut into blocks of ``width`` of it, so
+    that a hot group's rows are spread: each block takes over the greatest key of the
+    blocks before it. ``by`` must not be null.
+    """
+    rows = df.withColumn("_b", F.floor(F.col(order[0]) / width))
+    tops = rows.groupBy(*by, "_b").agg(F.max(key).alias("_top"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*by, "_b", F.max("_top").over(before).alias("_top"))
+    inside = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.max(key).over(inside)).join(tops, [*by, "_b"])
+    high = F.greatest("_in", "_top")
+    return rows.withColumn("high", high).where(F.col(key) < F.col("high")).drop("_b", "_in", "_top")
 
 
 def ranges(df: DataFrame, by: list[str], start: str, last: Column) -> DataFrame:

@@ -47,15 +47,17 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
 
 
 def tfidf(index: DataFrame) -> DataFrame:
-    """(seg, term, w): tf by length, idf ln((n + 1) / (df + 1)) + 1, unit length per segment."""
+    """(seg, term, w): tf by length, idf ln((n + 1) / (df + 1)) + 1, unit length per segment.
+
+    One aggregate by segment and term; lengths and norms are sums within a segment.
+    """
+    seg = Window.partitionBy("seg")
     tf = index.groupBy("seg", "term").agg(F.count(F.lit(1)).alias("c"))
-    size = index.groupBy("seg").agg(F.count(F.lit(1)).alias("len"))
-    total = size.agg(F.count(F.lit(1)).alias("total"))
     df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    w = tf.join(size, "seg").join(df_, "term").crossJoin(F.broadcast(total))  # one row
+    total = tf.agg(F.countDistinct("seg").alias("total"))
+    w = tf.withColumn("len", F.sum("c").over(seg)).join(df_, "term").crossJoin(F.broadcast(total))  # one row
     w = w.withColumn("w", F.col("c") / F.col("len") * (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1))
-    norm = w.groupBy("seg").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, "seg").select("seg", "term", (F.col("w") / F.col("norm")).alias("w"))
+    return w.select("seg", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(seg))).alias("w"))
 
 
 def neighbours(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, rows: int = 4096, asked: int = 512) -> DataFrame:

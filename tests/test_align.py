@@ -56,3 +56,18 @@ def test_gaps():
     assert align.zip_gaps(list("xaay"), list("xbaay"), [(0, 0), (3, 4)]) == [(0, 0), (1, 2), (2, 3), (3, 4)]
     assert align.zip_gaps(["a", None], ["a", None], []) == [(0, 0)]
     assert align.margins(np.array([[0.5, 0.2], [0.1, 0.4]]), [0, 1]) == [0.3, 0.30000000000000004] and align.margins(np.array([[0.5]]), [0]) == [1.0]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(-20, 60), st.one_of(st.none(), st.integers(0, 9))), max_size=25, unique_by=lambda x: (x[0], x[1])))
+def test_out_of_order_equals_brute_force(spark, rows):
+    from quire.operators import sequence
+
+    df = spark.createDataFrame(rows, "g string, o long, v long")
+    got = {(r["g"], r["o"], r["high"]) for r in sequence.out_of_order(df, ["g"], ["o"], "v", width=8).collect()}
+    want = set()
+    for g, o, v in rows:
+        high = max((x for h, p, x in rows if h == g and p < o and x is not None), default=None)
+        if v is not None and high is not None and v < high:
+            want.add((g, o, high))
+    assert got == want
