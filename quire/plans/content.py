@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Window
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import align, cite, index, markup, quality, stats
+from quire.plans.models import _KIND, BRACKETS
 from quire.sources.tables import read
 
 
@@ -78,18 +81,22 @@ def span_gaps(s, d):
 
 
 def run_classify(s, d):
-    """Language of a document by a vote of function words."""
-    w = index.postings(read(s, d, "documents"), "doc_id", "text")
-    vote = F.when(F.col("term").isin("the", "and", "of", "in"), "en").when(F.col("term").isin("der", "und", "die", "den"), "de").when(F.col("term").isin("le", "et", "la", "les"), "fr")
-    n = w.withColumn("lang", vote).where("lang is not null").groupBy("seg", "lang").agg(F.count(F.lit(1)).alias("n"))
+    """Language of a document by a vote of function words: those among the forty most frequent of one language's documents alone."""
+    docs = read(s, d, "documents").withColumn("declared", F.col("lang")).select("doc_id", "declared", "text")
+    w = index.postings(docs, "doc_id", "text", ["declared"])
+    n = w.where("declared is not null").groupBy("declared", "term").agg(F.count(F.lit(1)).alias("n"))
+    top = stats.top_k(n, ["declared"], [F.col("n").desc(), F.col("term")], 40)
+    own = top.groupBy("term").agg(F.count(F.lit(1)).alias("k"), F.min("declared").alias("lang")).where("k = 1")
+    n = w.join(F.broadcast(own.select("term", "lang")), "term").groupBy("seg", "lang").agg(F.count(F.lit(1)).alias("n"))
     return stats.top_k(n, ["seg"], [F.col("n").desc(), F.col("lang")], 1).select("seg", "lang", "n")
 
 
 def bracket_classify(s, d):
-    """Kinds of bracketed notes in the originals."""
-    b = read(s, d, "gsents").select("sent_id", "text").distinct().select(F.explode(F.regexp_extract_all("text", F.lit(r"\(([^()]*)\)"), F.lit(1))).alias("b"))
-    kind = F.when(F.col("b").rlike("[0-9]"), "reference").when(F.col("b").rlike(r"^[^ ]*\..*\.$"), "abbreviation").otherwise("note")
-    return b.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """Kinds of bracketed notes in originals and documents, by the first rule that fits: cross-reference, date, mark, note, Greek, gloss."""
+    texts = read(s, d, "gsents").select("sent_id", "text").distinct().select("text").unionByName(read(s, d, "documents").select("text"))
+    b = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"[(\[]([^()\[\]]*)[)\]]"), F.lit(1))).alias("note"))
+    kind = reduce(lambda acc, kp: acc.when(F.col("note").rlike(kp[1]), kp[0]), BRACKETS, F.when(F.lit(False), ""))
+    return b.groupBy(kind.otherwise("gloss").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def probe_hits(s, d):
@@ -193,8 +200,8 @@ SQL = {
         union all select 'length', cast(doc_id as varchar) from documents where n_chars <> length(text)
         union all select 'no roster', cast(dialogue_id as varchar) from (select distinct dialogue_id from new_turns where dialogue_id not in (select dialogue_id from speakers))""",
     "span_gaps": "select chapter_id, sent_id from (select *, lag(span_end) over (partition by chapter_id order by seq, sent_id) as prev from (select distinct chapter_id, sent_id, seq, span_start, span_end from gsents)) where span_start <> prev + 1",
-    "run_classify": f"select seg, lang, n from (select *, row_number() over (partition by seg order by n desc, lang) as r from (select seg, lang, count(*) as n from (select seg, case when term in ('the', 'and', 'of', 'in') then 'en' when term in ('der', 'und', 'die', 'den') then 'de' when term in ('le', 'et', 'la', 'les') then 'fr' end as lang from (select doc_id as seg, unnest({_W}) as term from documents)) where lang is not null group by seg, lang)) where r = 1",
-    "bracket_classify": r"select case when regexp_matches(b, '[0-9]') then 'reference' when regexp_matches(b, '^[^ ]*\..*\.$') then 'abbreviation' else 'note' end as kind, count(*) as n from (select unnest(regexp_extract_all(text, '\(([^()]*)\)', 1)) as b from (select distinct sent_id, text from gsents)) group by 1",
+    "run_classify": f"with w as (select doc_id as seg, lang as declared, unnest({_W}) as term from documents), t as (select declared, term, row_number() over (partition by declared order by count(*) desc, term) as r from w where declared is not null group by declared, term), own as (select term, min(declared) as lang from t where r <= 40 group by term having count(*) = 1) select seg, lang, n from (select seg, lang, count(*) as n, row_number() over (partition by seg order by count(*) desc, lang) as r from w join own using (term) group by seg, lang) where r = 1",
+    "bracket_classify": f"select {_KIND} as kind, count(*) as n from (select unnest(regexp_extract_all(text, '[(\\[]([^()\\[\\]]*)[)\\]]', 1)) as note from (select text from (select distinct sent_id, text from gsents) union all select text from documents)) group by 1",
     "probe_hits": f"with w as (select doc_id, {_W} as w from documents), p as (select distinct doc_id, array_to_string(w[i:i + 7], ' ') as h from (select doc_id, w, unnest(generate_series(1, len(w) - 7)) as i from w where len(w) >= 8)) select doc_id, count(*) as shared from p where h in (select h from p group by h having count(*) > 1) group by doc_id",
 }
 QUERIES = {f.__name__: f for f in (cite_scheme, cite_resolve, cite_mentions, column_enumeration, section_outline, html_plain, link_list, html_safe, highlight, checks_domain, span_gaps, run_classify, bracket_classify, probe_hits, pair_turns_lcs, pair_turns_filled, align_turns_zipped, chapter_margins, align_turns_nw, align_monotone, bead_align, page_blocks)}

@@ -29,16 +29,20 @@ def caps_fallback(s, d):
 
 
 def homonym_filter(s, d):
-    """Readings that fit the best class of their form: with a gloss if any has one; never to none."""
+    """Readings whose class is that of their headword's own entry, then those that are no stub (a gloss of four letters or more); neither step to none."""
     a = read(s, d, "analyses").select("form", "lang", "lemma", "gloss", "parse").distinct()
-    good = F.col("gloss").isNotNull()
-    any_ = F.max(good).over(Window.partitionBy("form", "lang"))
-    return a.withColumn("any", any_).where(good | ~F.col("any")).select("form", "lang", "lemma", "parse")
+    kind = F.regexp_extract(F.coalesce("parse", F.lit("")), "^([a-z]*)", 1)
+    heads = a.where("form = lemma").groupBy("lang", "lemma").agg(F.min(kind).alias("head_kind"))
+    w = Window.partitionBy("form", "lang")
+    a = a.join(F.broadcast(heads), ["lang", "lemma"], "left").withColumn("fits", F.col("head_kind").isNull() | (kind == F.col("head_kind")))
+    a = a.withColumn("any_fits", F.max("fits").over(w)).where("fits or not any_fits")
+    a = a.withColumn("full", F.coalesce(F.length("gloss") >= 4, F.lit(False))).withColumn("any_full", F.max("full").over(w))
+    return a.where("full or not any_full").select("form", "lang", "lemma", "parse")
 
 
 def pos_class(s, d):
-    p = F.lower(F.coalesce("parse", F.lit("")))
-    kind = F.when(p.rlike("verb|pres|aor|perf|ind"), "verb").when(p.rlike("noun|nom|acc|gen|dat|sg|pl"), "noun").otherwise("other")
+    """Readings by the class of word that their parse begins with."""
+    kind = F.coalesce(F.nullif(F.regexp_extract(F.lower("parse"), r"^\s*([a-z]+)", 1), F.lit("")), F.lit("other"))
     return read(s, d, "analyses").groupBy("lang", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -230,8 +234,8 @@ _KEY = r"regexp_replace(replace(strip_accents(lower(form)), 'ς', 'σ'), '[^\p{L
 SQL = {
     "enclitic_hosts": f"select w, left(w, length(w) - length(e)) as host from (select distinct w from {_LAT}), (select unnest(['que', 'ne', 've']) as e) where ends_with(w, e) and length(w) > length(e) + 1",
     "caps_fallback": f"select key, count(distinct lemma) as lemmas, min(lemma) as first_lemma from (select {_KEY} as key, lemma from analyses) where key <> '' group by key",
-    "homonym_filter": "select form, lang, lemma, parse from (select *, bool_or(gloss is not null) over (partition by form, lang) as ok from (select distinct form, lang, lemma, gloss, parse from analyses)) where gloss is not null or not ok",
-    "pos_class": "select lang, case when regexp_matches(p, 'verb|pres|aor|perf|ind') then 'verb' when regexp_matches(p, 'noun|nom|acc|gen|dat|sg|pl') then 'noun' else 'other' end as kind, count(*) as n from (select lang, lower(coalesce(parse, '')) as p from analyses) group by 1, 2",
+    "homonym_filter": "with a as (select distinct form, lang, lemma, gloss, parse from analyses), h as (select lang, lemma, min(regexp_extract(coalesce(parse, ''), '^([a-z]*)', 1)) as k from a where form = lemma group by all), f as (select a.*, coalesce(regexp_extract(coalesce(parse, ''), '^([a-z]*)', 1) = h.k, true) as fits from a left join h on h.lang is not distinct from a.lang and h.lemma = a.lemma), g as (select * from (select *, bool_or(fits) over (partition by form, lang) as af from f) where fits or not af), s as (select *, coalesce(length(gloss) >= 4, false) as is_full from g) select form, lang, lemma, parse from (select *, bool_or(is_full) over (partition by form, lang) as an from s) where is_full or not an",
+    "pos_class": r"select lang, coalesce(nullif(regexp_extract(lower(parse), '^\s*([a-z]+)', 1), ''), 'other') as kind, count(*) as n from analyses group by 1, 2",
     "short_gloss": r"select distinct form, lang, regexp_replace(case when length(g) > 20 then regexp_replace(substring(g, 1, 20), '\s+\S*$', '') else g end, ' (a|an|the)$', '') as short from (select form, lang, trim(regexp_replace(regexp_extract(gloss, '^([^;,(]*)', 1), '\s+', ' ', 'g')) as g from analyses where gloss is not null)",
     "shard_assign": "select coalesce(nullif(regexp_extract(strip_accents(lower(form)), '[a-z]', 0), ''), '_') as shard, count(*) as n, min(form) as \"first\", max(form) as \"last\" from analyses group by 1",
     "dict_topup": f"select w, count(*) as n from {_LAT} where w not in (select lower(form) from analyses where form is not null) group by w having count(*) >= 5",
