@@ -478,3 +478,35 @@ def test_abuse_held_out(spark):
     assert {(8001, "abuse"), (8002, "abuse")} <= got
     none = abuse.found(d, lab.limit(0))
     assert none.count() == 0 and abuse.scores(d.limit(0), lab).count() == 0
+
+
+# 2: the whole pass
+
+
+def scan_sources(spark, empty=False):
+    b = spark.createDataFrame([(1, "w", "the king saw the ship [12]", "and the river", NOW), (1, "w", "the king saw the ship [12]", "and the river", NOW), (2, None, None, None, NOW), (3, "none", "", "", NOW)], "hit_id long, work_id string, prev_context string, next_context string, scanned_at timestamp").withColumn("text", F.lit(1))
+    f = spark.createDataFrame([(1, "w", "the kiug saw\nON THE LAMPS OF MOSA\nthe ship", NOW), (2, "w", None, NOW), (3, None, "the ship " * 5000, NOW), (None, "w", "x", NOW)], "def_id long, work_id string, text string, scanned_at timestamp").withColumn("x", F.lit(1))
+    c = spark.createDataFrame([(i, "w", t, r, NOW) for i, (t, r) in enumerate([("the kiug saw the ship", "the king saw the ship"), ("the ship\nON THE LAMPS OF MOSA\nsaw", "the ship saw"), ("the ri-\nver", "the river"), ("the king saw", None), (None, "x"), ("", "")] * 4)], "corr_id long, work_id string, find string, replace string, loaded_at timestamp")
+    d = spark.createDataFrame([(i, "the king saw the ship and the river in the year") for i in range(40)] + [(99, None)], "doc_id long, text string")
+    w = spark.createDataFrame([("w", "Bo of Ta", "On the Lamps of Mosa"), ("v", None, None)], "work_id string, author string, title string")
+    if empty:
+        b, f, c, d, w = (x.limit(0) for x in (b, f, c, d, w))
+    return scans.inputs(b, f, c), d, w
+
+
+def test_scans_of_odd_rows(spark):
+    sources, d, w = scan_sources(spark)
+    e = scans.train(sources, d, w)
+    got = set(rows(scans.found(sources, e)))
+    assert ("footnote_defs", 1, "header") in got and ("corrections", 2, "hyphen") in got
+    assert not {r for r in got if r[0] == "break_hits" and r[1] in (2, 3)} and not {r for r in got if r[1] is None}
+    fixed = {(r["src"], r["rec_id"]): r["repaired"] for r in scans.repaired(sources, e).collect()}
+    assert fixed["footnote_defs", 2] is None and fixed["break_hits", 3] == "" and "LAMPS" not in fixed["footnote_defs", 1] and len(fixed) == 3 + 3 + 24
+
+
+def test_scans_of_nothing(spark):
+    sources, d, w = scan_sources(spark, True)
+    e = scans.train(sources, d, w)
+    assert scans.found(sources, e).count() == 0 and scans.repaired(sources, e).count() == 0
+    full, _, _ = scan_sources(spark)
+    assert scans.repaired(full, e).count() == 30
