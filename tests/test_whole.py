@@ -112,3 +112,42 @@ def test_tree_diff_compares_every_row(spark, tmp_path):
     df.write.parquet(str(tmp_path / "gsents.parquet"))
     got = sorted(tuple(r) for r in registry.queries()["tree_diff"](spark, str(tmp_path)).collect())
     assert got == [(1, "changed"), (2, "identical"), (35, "changed"), (70, "identical")]
+
+
+@tables
+def test_markup_paths_and_shapes_without_sql(spark):
+    docs = [i for i, t in table(spark, "documents", "doc_id", "text") if t is not None]
+    safe = result(spark, "safe_markup")
+    assert [r[0] for r in safe] == sorted(docs) and not any(r[2] for r in safe) and all(r[3] for r in safe)
+    # Of the eight kinds of path three are safe: a plain one, one decoded once to a percent sign, one with a space.
+    works = len(table(spark, "works", "work_id"))
+    assert result(spark, "decoded_paths") == [(False, 5 * works), (True, 3 * works)]
+    got = result(spark, "shape_diff")
+    assert ("ref_anchors[].off", "first") in got and ("span_start", "second") in got and not any(p == "chapter_id" for p, _ in got)
+
+
+@tables
+def test_chapter_margins_keep_the_order(spark):
+    tiers = {}
+    for k, anchors in table(spark, "chapter_refs", "chapter_id", "ref_anchors"):
+        for a in anchors or []:
+            tiers[k, a["citation"]] = a["tier"], a["off"]
+    by = {}
+    for k, cite, off, sure in result(spark, "chapter_margins"):
+        tier, at = tiers[k, cite]
+        assert (sure == "certain") == (tier == "chapter")
+        by.setdefault(k, []).append((at, cite, off))
+    assert by and all([o for *_, o in sorted(v)] == sorted(o for *_, o in v) for v in by.values())
+
+
+@tables
+def test_pages_hold_whole_blocks(spark):
+    sizes = {}
+    for w, c, i in set(table(spark, "gsents", "work_id", "chapter_id", "sent_id")):
+        if w is not None:
+            sizes.setdefault((w, c), set()).add(i)
+    pages = {}
+    for w, c, page in result(spark, "page_blocks"):
+        pages.setdefault((w, page), []).append(len(sizes[w, c]))
+    assert sum(map(len, pages.values())) == len([k for k in sizes if k[1] is not None])
+    assert all(sum(v) <= 40 or len(v) == 1 for v in pages.values())
