@@ -20,22 +20,26 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TooLarge, bounded, cut, latest
+from .common import bounded, cut, latest, pieces, record
 from .lookalike import LOOKALIKES
 
 CHAIN = 5
 DISPERSAL = 0.35
 #: Up to these rows the lexicon is sent to every task; beyond, each chapter gets the rows it needs by a join.
 MOST_WORDS, MOST_LINKS = 500_000, 500_000
+#: Word pairs that a task holds before it folds them into counts, and counts before it passes them on.
+PENDING, HELD = 1 << 20, 1 << 19
 LINK_LLR = 15.0
 FREQUENT = 0.22
 #: Occurrences from which a type's capitals are counted, and the share of capitalised types from which they mark no names.
@@ -52,7 +56,7 @@ _BREAK = re.compile(r"[,;:··;()\[\]“”„«»\"…!?]|\.\s*[.“”„«»\
 _WORD = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*")
 
 
-@lru_cache(200_000)
+@lru_cache(1 << 16)
 def fold(word: str) -> str:
     w = unicodedata.normalize("NFKD", word.lower())
     w = "".join(ch for ch in w if not unicodedata.combining(ch)).translate(_FOLD)
@@ -108,39 +112,81 @@ def read(lang: str, ids: list[int], sents: list[str]) -> Side:
     return out
 
 
-@dataclass
 class Lexicon:
-    links: dict[tuple[str, str], dict[str, dict[str, float]]] = field(default_factory=dict)
-    df: dict[str, dict[str, int]] = field(default_factory=dict)
-    sents: dict[str, int] = field(default_factory=dict)
-    names: dict[str, set[str]] = field(default_factory=dict)
-    memo: dict[str, dict[str, float]] = field(default_factory=dict)
-
-    def add_word(self, lang: str, word: str, n: int, name: bool) -> None:
-        self.df.setdefault(lang, {})[word] = n
-        if name:
-            self.names.setdefault(lang, set()).add(word)
-
-    def idf(self, lang: str, key: str) -> float:
-        n = self.sents.get(lang, 0) + 1
-        return math.log(n / (self.df.get(lang, {}).get(key, 0) + 0.5))
-
-    def stop(self, lang: str, key: str) -> bool:
-        return not key.startswith("#") and self.df.get(lang, {}).get(key, 0) > FREQUENT * self.sents.get(lang, 1)
+    """Words by language, numbered, with their sentences (``df``) and whether they are names; links as arrays by the first word's number."""
+
+    def __init__(self, sents: dict[str, int], words: Iterable[tuple[str, str, int, bool]], links: Iterable[tuple[str, str, str, str, float]] = ()):
+        self.sents = sents
+        self.ids: dict[str, dict[str, int]] = defaultdict(dict)
+        df, name = defaultdict(list), defaultdict(list)
+        for la, w, n, is_name in words:
+            self._number(la, w, n, is_name, df, name)
+        by: dict[tuple[str, str], dict[tuple[int, int], float]] = defaultdict(dict)
+        for la, lb, w, v, x in links:
+            at = self._number(la, w, 0, False, df, name), self._number(lb, v, 0, False, df, name)
+            by[la, lb][at] = max(x, by[la, lb].get(at, 0.0))
+        self.df = {la: np.array(x, dtype=np.int64) for la, x in df.items()}
+        self.name = {la: np.array(x, dtype=bool) for la, x in name.items()}
+        self.links: dict[tuple[str, str], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for two in list(by):
+            got = by.pop(two)
+            at = np.array(list(got), dtype=np.int64)
+            order = np.argsort(at[:, 0], kind="stable")
+            starts = np.searchsorted(at[order, 0], np.arange(len(self.ids[two[0]]) + 1)).astype(np.int32)
+            self.links[two] = starts, at[order, 1].astype(np.int32), np.fromiter(got.values(), float, len(got))[order]
+        self.told: dict = {}
+
+    def _number(self, la: str, w: str, n: int, is_name: bool, df: dict, name: dict) -> int:
+        k = self.ids[la].setdefault(w, len(self.ids[la]))
+        if k == len(df[la]):
+            df[la].append(n)
+            name[la].append(is_name)
+        return k
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"told": {}}
+
+    def _once(self, what: str, lang, made):
+        """What is worked out from the arrays, once in each process."""
+        if (what, lang) not in self.told:
+            self.told[what, lang] = made()
+        return self.told[what, lang]
+
+    def linkable(self, lang: str) -> bytes:
+        """By number: of words that get links."""
+        return self._once("linkable", lang, lambda: ((self.df[lang] > 2) & ~self.name[lang]).tobytes() if lang in self.df else b"")
+
+    def weights(self, lang: str) -> np.ndarray:
+        """By number: 0 of words too frequent to tell anything; at the end that of words unknown."""
+
+        def made() -> np.ndarray:
+            n, most = self.sents.get(lang, 0) + 1, FREQUENT * self.sents.get(lang, 1)
+            df = self.df[lang].tolist() if lang in self.df else []
+            return np.array([0.0 if k > most else max(1e-6, math.log(n / (k + 0.5))) for k in [*df, 0]])
+
+        return self._once("weights", lang, made)
+
+    def linked(self, la: str, lb: str, key: str) -> list[tuple[str, float]]:
+        """Words of ``lb`` with their strength."""
+        if (la, lb) not in self.links:
+            return []
+        known = self._once("linked", (la, lb), dict)
+        if (got := known.get(key)) is None:
+            if len(known) > 20_000:
+                known.clear()
+            got, k = [], self.ids[la].get(key)
+            if k is not None:
+                words = self._once("words", lb, lambda: list(self.ids[lb]))
+                starts, v, x = self.links[la, lb]
+                got = [(words[i], y) for i, y in zip(v[starts[k] : starts[k + 1]].tolist(), x[starts[k] : starts[k + 1]].tolist())]
+            known[key] = got
+        return got
 
 
 def weights(side: Side, lex: Lexicon) -> list[float]:
     """The weight of each word of a side; 0 for words too frequent to tell anything."""
-    memo = lex.memo.setdefault(side.lang, {})
-    out = []
-    for key in side.keys:
-        w = memo.get(key)
-        if w is None:
-            if len(memo) > 500_000:
-                memo.clear()
-            w = memo[key] = 0.0 if lex.stop(side.lang, key) else max(1e-6, lex.idf(side.lang, key))
-        out.append(w)
-    return out
+    ids = lex.ids.get(side.lang, {})
+    return lex.weights(side.lang)[np.array([ids.get(key, -1) for key in side.keys], dtype=np.int64)].tolist()
 
 
 def _near(n: int, m: int) -> Iterator[tuple[int, int]]:
@@ -180,11 +226,11 @@ CUT = "chapter_id long, " + ", ".join(f"{x}_lang string, {x}_ids array<long>, {x
 def cut_up(rows: DataFrame) -> DataFrame:
     """Each chapter's three sides cut into words, once for all later passes."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def arr(x) -> list:
             return [] if x is None else list(x)
 
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for r in b.itertuples():
                 a = arr(r.a)
@@ -192,9 +238,9 @@ def cut_up(rows: DataFrame) -> DataFrame:
                 b_lang, c_lang = (x if isinstance(x, str) else "en" for x in (r.ross_lang, r.ref_lang))
                 sides = read(told, arr(r.a_ids), a), read("1" + b_lang, arr(r.b_ids), arr(r.b)), read("2" + c_lang, arr(r.c_ids), arr(r.c))
                 out.append((r.chapter_id, *(v for x in sides for v in x.row())))
-            yield pd.DataFrame(out, columns=["chapter_id", *(f"{x}_{c}" for x in SIDES for c in ("lang", "ids", "keys", "nums", "length"))])
+            yield record(pd.DataFrame(out, columns=["chapter_id", *(f"{x}_{c}" for x in SIDES for c in ("lang", "ids", "keys", "nums", "length"))]), CUT)
 
-    return rows.mapInPandas(run, CUT)
+    return rows.mapInArrow(run, CUT)
 
 
 def _bitexts(r) -> list[tuple[Side, Side]]:
@@ -206,19 +252,29 @@ def _bitexts(r) -> list[tuple[Side, Side]]:
 def _words(cuts: DataFrame) -> DataFrame:
     """(la, w, n, caps): sentences that hold each word, and in how many it is capitalised; w = '' counts the sentences."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            n: dict[str, Counter] = defaultdict(Counter)
-            caps: dict[str, Counter] = defaultdict(Counter)
+    made = "la string, w string, n long, caps long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict[str, Counter] = defaultdict(Counter)
+        caps: dict[str, Counter] = defaultdict(Counter)
+
+        def rows() -> pa.RecordBatch:
+            return record(pd.DataFrame([(la, w, k, caps[la][w]) for la, c in n.items() for w, k in c.items()], columns=["la", "w", "n", "caps"]), made)
+
+        for b in pieces(batches):
             for r in b.itertuples():
                 for side in (x for two in _bitexts(r) for x in two):
                     n[side.lang][""] += len(side.ids)
                     held = {(k, key): c for k, key, c in zip(side.sent, side.keys, side.name) if key[0] != "#"}
                     n[side.lang].update(key for _, key in held)
                     caps[side.lang].update(key for (_, key), c in held.items() if c)
-            yield pd.DataFrame([(la, w, k, caps[la][w]) for la, c in n.items() for w, k in c.items()], columns=["la", "w", "n", "caps"])
+            if sum(map(len, n.values())) > HELD // 4:
+                yield rows()
+                n.clear()
+                caps.clear()
+        yield rows()
 
-    return cuts.mapInPandas(run, "la string, w string, n long, caps long").groupBy("la", "w").agg(F.sum("n").alias("n"), F.sum("caps").alias("caps"))
+    return cuts.mapInArrow(run, made).groupBy("la", "w").agg(F.sum("n").alias("n"), F.sum("caps").alias("caps"))
 
 
 def _attach(cuts: DataFrame, words: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -246,23 +302,77 @@ class Model:
         return cuts if self.whole else _attach(cuts, self.words, self.links)
 
 
-def _few(df: DataFrame, limit: int) -> list | None:
-    try:
-        return bounded(df, limit, "rows")
-    except TooLarge:
-        return None
+def _few(df: DataFrame, limit: int) -> list[pa.Array] | None:
+    """The columns, or None where there are more than ``limit`` rows; fetched by Arrow, as rows take many times the room."""
+    got = df.limit(limit + 1).toArrow()
+    return None if got.num_rows > limit else [c.combine_chunks() for c in got.columns]
+
+
+def _tuples(columns: list[pa.Array] | None, step: int = 10_000) -> Iterator[tuple]:
+    for k in range(0, len(columns[0]) if columns else 0, step):
+        yield from zip(*(c.slice(k, step).to_pylist() for c in columns))
 
 
 def _own(r, lex: Lexicon) -> Lexicon:
     """The lexicon of a row: the shared one, or that of the rows joined to it."""
     if not hasattr(r, "own_words"):
         return lex
-    out = Lexicon(sents=lex.sents)
-    for x in r.own_words if r.own_words is not None else ():
-        out.add_word(x["la"], x["w"], x["n"], x["name"])
-    for x in getattr(r, "own_links", None) if getattr(r, "own_links", None) is not None else ():
-        out.links.setdefault((x["la"], x["lb"]), {}).setdefault(x["w"], {})[x["v"]] = x["s"]
-    return out
+    words, links = (x if (x := getattr(r, c, None)) is not None else () for c in ("own_words", "own_links"))
+    return Lexicon(lex.sents, ((x["la"], x["w"], x["n"], x["name"]) for x in words), ((x["la"], x["lb"], x["w"], x["v"], x["s"]) for x in links))
+
+
+def _fold(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each code once, in order, with its sum."""
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    return code[first], np.add.reduceat(n, first)
+
+
+class Tally:
+    """Counts of pairs of words by pair of languages, in bounded room: pairs are folded into counts, and counts passed on when they are many."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.pending: dict[tuple[str, str], list[np.ndarray]] = defaultdict(list)
+        self.counts: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]] = {}
+        self.size = 0
+
+    def add(self, two: tuple[str, str], a: np.ndarray, b: np.ndarray) -> None:
+        """All pairs of ``a`` with ``b``."""
+        step = max(1, PENDING // len(b))
+        for k in range(0, len(a), step):
+            code = ((a[k : k + step, None] << 32) + b[None, :]).ravel()
+            self.pending[two].append(code)
+            self.size += len(code)
+            if self.size >= PENDING:
+                self.fold()
+
+    def fold(self) -> None:
+        for two, parts in self.pending.items():
+            code = np.concatenate(parts)
+            code, n = _fold(code, np.ones(len(code), dtype=np.int64))
+            if two in self.counts:
+                was = self.counts[two]
+                code, n = _fold(np.concatenate([was[0], code]), np.concatenate([was[1], n]))
+            self.counts[two] = code, n
+        self.pending.clear()
+        self.size = 0
+
+    def full(self) -> bool:
+        return sum(len(code) for code, _ in self.counts.values()) > HELD
+
+    def rows(self, step: int = 50_000) -> Iterator[pd.DataFrame]:
+        """What was counted, in pieces; then it begins anew."""
+        self.fold()
+        back = ["", *self.number]
+        for (la, lb), (code, n) in self.counts.items():
+            for k in range(0, len(code), step):
+                c = code[k : k + step]
+                w, v = [back[x] for x in (c >> 32).tolist()], [back[x] for x in (c & 0xFFFFFFFF).tolist()]
+                yield pd.DataFrame({"la": la, "lb": lb, "w": w, "v": v, "n": n[k : k + step]})
+        self.counts.clear()
+        self.number.clear()
 
 
 def learn(cuts: DataFrame, glosses: DataFrame) -> Model:
@@ -273,7 +383,7 @@ def learn(cuts: DataFrame, glosses: DataFrame) -> Model:
     """
     spark = cuts.sparkSession
     words = cut(_words(cuts))
-    lex = Lexicon()
+    sents: dict[str, int] = {}
     per = words.groupBy("la").agg(
         F.sum(F.when(F.col("w") == "", F.col("n"))).alias("sents"),
         F.sum((F.col("n") >= TYPES).cast("int")).alias("types"),
@@ -281,42 +391,39 @@ def learn(cuts: DataFrame, glosses: DataFrame) -> Model:
     )
     marks = []
     for r in per.collect():
-        lex.sents[r["la"]] = r["sents"] or 0
+        sents[r["la"]] = r["sents"] or 0
         if r["capital"] <= CAPITALS * r["types"]:
             marks.append(r["la"])
     known = words.where("w <> '' and n > 1").select("la", "w", "n", ((F.col("caps") == F.col("n")) & F.col("la").isin(marks)).alias("name"))
     rows = _few(known, MOST_WORDS)
-    for r in rows or ():
-        lex.add_word(r["la"], r["w"], r["n"], r["name"])
+    lex = Lexicon(sents, _tuples(rows))
     model = Model(lex, known, None, rows is not None)
     shared = spark.sparkContext.broadcast(lex)
+    pair = "la string, lb string, w string, v string, n long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            number: dict[str, int] = {}
-            jobs: dict[tuple[str, str], list[np.ndarray]] = defaultdict(list)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for batch in pieces(batches):
             for r in batch.itertuples():
                 own = _own(r, shared.value)
                 for x, y in _bitexts(r):
                     ids = []
                     for side in (x, y):
                         use: list[set] = [set() for _ in side.ids]
-                        df, names = own.df.get(side.lang, {}), own.names.get(side.lang, ())
+                        known, linkable = own.ids.get(side.lang, {}), own.linkable(side.lang)
                         for k, key in zip(side.sent, side.keys):
-                            if df.get(key, 0) > 2 and key not in names:
-                                use[k].add(number.setdefault(key, len(number)))
-                        ids.append([np.array([-1, *sorted(u)], dtype=np.int64) + 1 for u in use])
-                    near = list(_near(len(x.ids), len(y.ids)))
-                    if near:
+                            if (i := known.get(key)) is not None and linkable[i]:
+                                use[k].add(tally.number.setdefault(key, len(tally.number)))
                         # Number 0 stands for the sentence itself, so that its products count totals and single words.
-                        jobs[x.lang, y.lang].append(np.concatenate([((ids[0][i][:, None] << 32) + ids[1][j][None, :]).ravel() for i, j in near]))
-            back = ["", *number]
-            for (la, lb), parts in jobs.items():
-                code, n = np.unique(np.concatenate(parts), return_counts=True)
-                w, v = [back[k] for k in (code >> 32).tolist()], [back[k] for k in (code & 0xFFFFFFFF).tolist()]
-                yield pd.DataFrame({"la": la, "lb": lb, "w": w, "v": v, "n": n})
-
-    n = cut(model.rows(cuts).mapInPandas(run, "la string, lb string, w string, v string, n long").groupBy("la", "lb", "w", "v").agg(F.sum("n").alias("n")))
+                        ids.append([np.array([-1, *sorted(u)], dtype=np.int64) + 1 for u in use])
+                    for i, j in _near(len(x.ids), len(y.ids)):
+                        tally.add((x.lang, y.lang), ids[0][i], ids[1][j])
+                if tally.full():
+                    yield from (record(b, pair) for b in tally.rows())
+        yield from (record(b, pair) for b in tally.rows())
+
+    n = cut(model.rows(cuts).mapInArrow(run, pair).groupBy("la", "lb", "w", "v").agg(F.sum("n").alias("n")))
+    shared.destroy()
     keys = ["la", "lb"]
     all_ = n.where("w = '' and v = ''").select(*keys, F.col("n").alias("total"))
     ws = n.where("w <> '' and v = ''").select(*keys, "w", F.col("n").alias("nw"))
@@ -346,11 +453,9 @@ def learn(cuts: DataFrame, glosses: DataFrame) -> Model:
     if listed is None:
         extra = spark.createDataFrame(told, "la string, lb string, w string, v string, s double")
         model.links = cut(kept.unionByName(extra).groupBy("la", "lb", "w", "v").agg(F.max("s").alias("s")))
-        model.whole = False
+        model.whole, model.lex = False, Lexicon(sents, ())
         return model
-    for la, lb, w, v, x in [*told, *((r["la"], r["lb"], r["w"], r["v"], float(r["s"])) for r in listed)]:
-        at = lex.links.setdefault((la, lb), {}).setdefault(w, {})
-        at[v] = max(x, at.get(v, 0.0))
+    model.lex = Lexicon(sents, _tuples(rows), chain(told, _tuples(listed)))
     return model
 
 
@@ -359,7 +464,6 @@ Point = tuple[float, float, float, int, int]
 
 def points(a: Side, b: Side, lex: Lexicon, wa: list[float], wb: list[float]) -> list[Point]:
     """(x, y, weight, index of word a, index of word b)."""
-    links = lex.links.get((a.lang, b.lang), {})
     by: dict[str, list[int]] = defaultdict(list)
     names: dict[str, list[int]] = defaultdict(list)
     for k, key in enumerate(b.keys):
@@ -376,7 +480,7 @@ def points(a: Side, b: Side, lex: Lexicon, wa: list[float], wb: list[float]) ->
         if key[0] == "#" or same:
             for q in by.get(key, ()):
                 hit[q] = 1.0
-        for v, s in links.get(key, {}).items():
+        for v, s in lex.linked(a.lang, b.lang, key):
             if v in by:
                 for q in by[v]:
                     hit[q] = max(hit.get(q, 0.0), min(1.0, 0.5 + s / 2))
@@ -541,16 +645,18 @@ def pairs(cuts: DataFrame, model: Model) -> DataFrame:
     """(chapter_id, a, b, score) for the sentence pairs of both bitexts of each chapter."""
     shared = cuts.sparkSession.sparkContext.broadcast(model.lex)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    made = "chapter_id long, a long, b long, score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
             out = []
             for r in batch.itertuples():
                 lex = _own(r, shared.value)
                 for x, y in _bitexts(r):
                     out += [(r.chapter_id, x.ids[i], y.ids[j], s) for i, j, s in align(x, y, lex)]
-            yield pd.DataFrame(out, columns=["chapter_id", "a", "b", "score"])
+            yield record(pd.DataFrame(out, columns=["chapter_id", "a", "b", "score"]), made)
 
-    return model.rows(cuts).mapInPandas(run, "chapter_id long, a long, b long, score double")
+    return model.rows(cuts).mapInArrow(run, made)
 
 
 def found(chapter_refs: DataFrame, gsents: DataFrame, glosses: DataFrame) -> DataFrame:

@@ -5,13 +5,14 @@ import unicodedata
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quire.llm import abuse, bitext, lookalike, mixing, scans, sentences, tokens, turns
-from quire.llm.common import TooLarge, bounded, latest
+from quire.llm.common import TooLarge, bounded, latest, pieces
 
 NOW = datetime(2025, 1, 1)
 
@@ -337,6 +338,34 @@ def test_pairs_come_from_chains_alone(spark, monkeypatch):
     assert count() == 0
 
 
+def test_counts_of_word_pairs_take_bounded_room(spark, monkeypatch):
+    refs, gs, _ = chapters(spark, 30)
+    gloss = spark.createDataFrame([("rex", "lat", "king")], "form string, lang string, gloss string")
+    whole = rows(bitext.found(refs, gs, gloss))
+    monkeypatch.setattr(bitext, "PENDING", 50)
+    monkeypatch.setattr(bitext, "HELD", 40)
+    assert rows(bitext.found(refs, gs, gloss)) == whole
+    rng, tally, want, seen = np.random.default_rng(3), bitext.Tally(), {}, []
+    for word in "abcdefghijkl":
+        tally.number[word] = len(tally.number)
+    for _ in range(40):
+        a, b = (np.unique(np.append(0, rng.integers(1, 13, n))) for n in (9, 30))
+        tally.add(("x", "y"), a, b)
+        seen.append(sum(map(len, tally.pending["x", "y"])) if tally.pending else 0)
+        for i in a.tolist():
+            for j in b.tolist():
+                want[i, j] = want.get((i, j), 0) + 1
+    back = ["", *tally.number]
+    got = {(w, v): n for df in tally.rows(7) for w, v, n in zip(df["w"], df["v"], df["n"])}
+    assert max(seen) < 50 and got == {(back[i], back[j]): n for (i, j), n in want.items()}
+
+
+def test_partitions_reach_python_in_pieces():
+    batch = pa.RecordBatch.from_pydict({"k": list(range(1000))})
+    got = [df["k"].tolist() for df in pieces([batch, batch], 300)]
+    assert max(map(len, got)) == 300 and sum(got, []) == 2 * list(range(1000))
+
+
 def test_a_lexicon_beyond_the_bound_is_joined(spark, monkeypatch):
     refs, gs, _ = chapters(spark, 25)
     gloss = spark.createDataFrame([("rex", "lat", "king")], "form string, lang string, gloss string")
