@@ -202,9 +202,9 @@ def snap_offsets(s, d):
 
 def lemma_index(s, d):
     """Browse index: words seen three times or more with totals and works."""
-    i = index.postings(read(s, d, "documents"), "doc_id", "text")
-    docs = read(s, d, "documents").select(F.col("doc_id").alias("seg"), "work_id")
-    n = i.join(docs, "seg").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("work_id").alias("works")).where("n >= 3")
+    i = index.postings(read(s, d, "documents"), "doc_id", "text", ["work_id"])
+    # Counted by work first: what moves are words, not their places.
+    n = i.groupBy("term", "work_id").agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.sum("n").alias("n"), F.count("work_id").alias("works")).where("n >= 3")
     return n.select("term", "n", "works")
 
 

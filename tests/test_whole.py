@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,26 @@ def test_pages_hold_whole_blocks(spark):
         pages.setdefault((w, page), []).append(len(sizes[w, c]))
     assert sum(map(len, pages.values())) == len([k for k in sizes if k[1] is not None])
     assert all(sum(v) <= 40 or len(v) == 1 for v in pages.values())
+
+
+def joins(df) -> list[str]:
+    return re.findall(r"\w*Join\w*", df._jdf.queryExecution().executedPlan().toString())
+
+
+def against_sql(spark, folder, name, **tables):
+    """The query over small tables, held against its SQL."""
+    con = duckdb.connect()
+    for t, df in tables.items():
+        df.write.parquet(f"{folder}/{t}.parquet")
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    df = registry.queries()[name](spark, str(folder))
+    rel = con.sql(registry.oracle_sql()[name])
+    assert rel.columns == df.columns
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(rel.fetchall(), key=repr)
+    return df
+
+
+def test_lemma_index_of_odd_ids_holds_no_table_in_the_driver(spark, tmp_path):
+    docs = [(None, "w1", "Ilex ilex; ilex"), (1, "w1", "robur robur"), (1, "w2", "robur quercus"), (2, None, "quercus quercus"), (3, "w1", None), (4, "w1", "")]
+    df = against_sql(spark, tmp_path, "lemma_index", documents=spark.createDataFrame(docs, "doc_id long, work_id string, text string"))
+    assert df.count() == 3 and not joins(df)
