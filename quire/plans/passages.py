@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -15,6 +15,9 @@ from quire.plans.text import POSTINGS
 from quire.sources.tables import read
 
 OPENINGS = (8, 6, 5, 4)
+#: Bits, a megabyte in all, that tell every task which words chapters may open with; more openings make it a weaker filter, no other result.
+OPENING_BITS = 1 << 23
+OPENING_PARTS = 8
 
 
 def _c(s, d, *cols):
@@ -75,17 +78,43 @@ def line_slices(s, d):
     return t.withColumn("b", end).select("chapter_id", "line", F.col("a").cast("long").alias("start"), F.col("b").cast("long").alias("end"))
 
 
-def chapter_openings(s, d):
-    """Documents in which a chapter's translation opens: by the longest of several openings that stands there, as word sequences joined by equality."""
-    c = _c(s, d, "ross_text").select("chapter_id", T.words(F.col("ross_text")).alias("w")).where("size(w) >= 8")
-    heads = c.select("chapter_id", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.array_join(F.slice("w", 1, n), " ").alias("g")) for n in OPENINGS])).alias("x")).select("chapter_id", "x.n", "x.g").distinct()
-    docs = read(s, d, "documents").where("text is not null").select("doc_id", T.words(F.col("text")).alias("w"))
+def _seen(heads: DataFrame) -> DataFrame:
+    """One row: a bit for each hash of ``g`` that occurs, of OPENING_BITS in all, in words of 64."""
+    at = heads.select(F.pmod(F.xxhash64("g"), F.lit(OPENING_BITS)).alias("at"))
+    found = at.groupBy(F.shiftright("at", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("b"))
+    found = heads.sparkSession.range(OPENING_BITS // 64).withColumnRenamed("id", "i").join(found.hint("merge"), "i", "left")
+    return found.agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("b", F.lit(0).cast("long")).alias("b")))).alias("x")).select(F.transform("x", lambda x: x["b"]).alias("bits"))
 
-    def grams(n: int) -> Column:
-        return F.transform("w", lambda _, i: F.when(i + n <= F.size("w"), F.array_join(F.slice("w", i + 1, n), " ")))
 
-    tall = docs.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*map(grams, OPENINGS))))).alias("g")).where("g is not null")
-    return tall.join(heads, "g").groupBy("chapter_id", "doc_id").agg(F.max("n").cast("long").alias("words"))
+def chapter_openings(s, d):
+    """Documents in which a chapter's translation opens: by the longest of several openings that stands there.
+
+    Each opening holds the shortest, so that places are joined by this alone, and what
+    follows there tells how far they agree. A table of bits of a fixed size passes over the
+    places where no chapter opens before anything moves; a chapter with one text needs no
+    aggregate of its pairs, which may be many more than either table's rows.
+    """
+    least, most = min(OPENINGS), max(OPENINGS)
+    c = _c(s, d, "ross_text").select("chapter_id", T.words(F.col("ross_text")).alias("w")).where(f"size(w) >= {most}")
+    heads = c.select("chapter_id", F.array_join(F.slice("w", 1, most), " ").alias("h")).distinct()
+    heads = heads.withColumn("g", F.substring_index("h", " ", least)).withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("chapter_id")))
+    docs = read(s, d, "documents").where("text is not null").select("doc_id", T.words(F.col("text")).alias("w"))
+    places = F.transform(F.slice("w", F.lit(1), F.greatest(F.lit(0), F.size("w") - (least - 1))), lambda _, i: F.array_join(F.slice("w", i + 1, F.lit(most)), " "))
+    tall = docs.select("doc_id", F.explode(F.array_distinct(places)).alias("p")).withColumn("g", F.substring_index("p", " ", least))
+    at = F.pmod(F.xxhash64("g"), F.lit(OPENING_BITS))
+    bit = F.expr("shiftright(element_at(bits, cast(shiftright(at, 6) as int) + 1), cast(at & 63 as int)) & 1 = 1")
+    tall = tall.withColumn("at", at).join(F.broadcast(_seen(heads.select("g"))), bit, "left_semi")
+    # A common opening's documents are parted over several tasks, each with all its chapters.
+    tall = tall.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(OPENING_PARTS)))
+    heads = heads.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(OPENING_PARTS - 1).cast("long"))))
+    longer = sorted(OPENINGS)[1:]
+    sets = [F.collect_set(F.substring_index("p", " ", n)).alias(f"p{n}") for n in longer]
+    found = tall.repartition("g", "part").groupBy("g", "part", "doc_id").agg(*sets)
+    words = F.lit(least)
+    for n in longer:
+        words = F.when(F.array_contains(f"p{n}", F.substring_index("h", " ", n)), n).otherwise(words)
+    pairs = [found.join(heads.where(x).hint("merge"), ["g", "part"]).select("chapter_id", "doc_id", words.cast("long").alias("words")) for x in ("texts = 1", "texts > 1")]
+    return pairs[0].unionByName(pairs[1].groupBy("chapter_id", "doc_id").agg(F.max("words").alias("words")))
 
 
 def paragraph_flow(s, d):

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import merge, spans
-from quire.plans import registry
+from quire.plans import passages, registry
 
 FOLDER = Path("/root/testdata/sf0.001")
 tables = pytest.mark.skipif(not FOLDER.exists(), reason="no test tables")
@@ -175,3 +175,20 @@ def test_lemma_index_of_odd_ids_holds_no_table_in_the_driver(spark, tmp_path):
     docs = [(None, "w1", "Ilex ilex; ilex"), (1, "w1", "robur robur"), (1, "w2", "robur quercus"), (2, None, "quercus quercus"), (3, "w1", None), (4, "w1", "")]
     df = against_sql(spark, tmp_path, "lemma_index", documents=spark.createDataFrame(docs, "doc_id long, work_id string, text string"))
     assert df.count() == 3 and not joins(df)
+
+
+def test_chapter_openings_of_odd_texts(spark, tmp_path, monkeypatch):
+    head = "the river was wide and the night cold"
+    refs = [(1, head + " on"), (1, "a man of the west came to us"), (2, head), (3, "the river was wide but the night warm"), (4, "too short a text"), (5, None), (None, head), (6, "a a a a a a a a a")]
+    docs = [
+        (1, "So: The river, was wide and the night cold!"), (2, "the river was wide. the river was wide and the night"), (3, "the river was wide"), (4, "a man of the west; the river was wide and"),
+        (5, "the river"), (6, None), (7, ""), (None, "a man of the west came to us all"), (8, "a a a a a a"), (8, "the river was wide and the night cold"), (9, "river was wide and the night cold"),
+    ]
+    docs, refs = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(refs + refs[:2], "chapter_id long, ross_text string")
+    df = against_sql(spark, tmp_path, "chapter_openings", documents=docs, chapter_refs=refs)
+    assert df.count() > 12
+    # What is sent to every task is the row of bits alone, whatever the tables' size.
+    assert set(joins(df)) <= {"BroadcastNestedLoopJoin", "SortMergeJoin"}
+    monkeypatch.setattr(passages, "OPENING_BITS", 64)
+    again = registry.queries()["chapter_openings"](spark, str(tmp_path))
+    assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
